@@ -11,6 +11,7 @@ from tessella.llm.frames import held_out, table
 from tessella.llm.packing import pack_documents
 from tessella.llm.quality import score_quality
 from tessella.llm.simhash import simhash_components
+from tessella.llm.suffix_dedup import remove_repeats
 from tessella.llm.toxicity import score_toxicity
 from tessella.llm.url_trie import Rule, filter_urls
 
@@ -42,6 +43,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, table(spark, sf_dir, "labels"), ~out).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -54,7 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op4_exact_dedup, op5_quality, op7_simhash, op9_url_filter, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op4_exact_dedup, op5_quality, op6_suffix_dedup, op7_simhash, op9_url_filter, op10_packing)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""
