@@ -12,6 +12,8 @@ from tessella.llm.packing import pack_documents
 from tessella.llm.quality import score_quality
 from tessella.llm.simhash import simhash_components
 from tessella.llm.suffix_dedup import remove_repeats
+from tessella.llm.toolcalls import link_tool_calls
+from tessella.llm.topk import exact_top_k
 from tessella.llm.toxicity import score_toxicity
 from tessella.llm.url_trie import Rule, filter_urls
 
@@ -24,6 +26,17 @@ URL_RULES = (
     Rule("block", "com", "/de/"),
 )
 
+#: What the tool-call query's tools take (fixed values).
+TOOL_SCHEMAS = {
+    "search": {
+        "type": "object",
+        "properties": {"query": {"type": "string", "minLength": 1, "maxLength": 400}, "limit": {"type": "integer", "minimum": 1, "maximum": 6}},
+        "required": ["query", "limit"],
+        "additionalProperties": False,
+    },
+    "translate": {"type": "object", "properties": {"query": {"type": "string"}}, "required": ["query", "target"]},
+}
+
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents").select("doc_id", "text"), held_out("doc_id", 4, 2)
@@ -34,6 +47,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -52,6 +69,28 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def tool_messages(conversations: DataFrame) -> DataFrame:
+    """Conversations as tool traffic: a user's turn is asked of a tool, the turn after it answers, each builds on the last.
+
+    A user's turn makes a call (``search`` or, for every third turn, ``translate``) with its whole text and its number;
+    the turn that follows it, whoever's it is but a user's, is the result. A call builds on the one two turns before.
+    """
+    ident = F.concat(F.lit("c"), "conv_id", F.lit("_"), "turn")
+    before = F.concat(F.lit("c"), "conv_id", F.lit("_"), F.col("turn") - 2)
+    asked = F.concat(F.lit("c"), "conv_id", F.lit("_"), F.col("turn") - 1)
+    name = F.when(F.col("turn") % 3 == 2, "translate").otherwise("search")
+    arguments = F.to_json(F.struct(F.col("text").alias("query"), (F.col("turn") + 1).alias("limit")))
+    call = F.to_json(F.struct(F.array(F.struct(ident.alias("id"), name.alias("name"), arguments.alias("arguments"), before.alias("after"))).alias("tool_calls")))
+    result = F.to_json(F.struct(asked.alias("tool_call_id"), F.col("text").alias("content")))
+    user = F.col("role") == "user"
+    return conversations.select("conv_id", "turn", F.when(user, "assistant").otherwise("tool").alias("role"), F.when(user, call).otherwise(result).alias("text"))
+
+
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = link_tool_calls(tool_messages(table(spark, sf_dir, "conversations")), TOOL_SCHEMAS)
+    return linked.withColumn("json_sha256", F.sha2("json", 256)).drop("json")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
@@ -60,9 +99,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op4_exact_dedup, op5_quality, op6_suffix_dedup, op7_simhash, op9_url_filter, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_top_k, op4_exact_dedup, op5_quality, op6_suffix_dedup, op7_simhash, op8_tool_calls, op9_url_filter, op10_packing)}
 
 ORACLE_SQL = {
+    "op3_top_k": """
+        WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS c FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.c, v.c), lambda p: p[1] * p[2]))::BIGINT AS score
+              FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+        r AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20""",
     "op4_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
