@@ -25,7 +25,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: pre-token never crosses the end of such a chunk, so chunks can be encoded apart and remembered.
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Chunks remembered by a worker, and the longest of them in characters.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 1_000_000, 64
 
 
 def byte_letters() -> list[str]:
