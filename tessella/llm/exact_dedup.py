@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: A text is hot if it holds more than one row in so many; so at most this many texts are hot.
 HOT_SHARE = 1024
+#: Characters of a text that splitters are sampled from; a hash of the whole text follows them.
+PREFIX = 64
 #: Parts into which the rows of a hot text are dealt.
 SALTS = 64
 
@@ -22,7 +24,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Splitters sampled by Spark range-partition the normalised bytes, each partition is sorted (spilling to disk), and
     a window over the sorted run compares whole neighbouring texts; the smallest id of a run stays. The window asks
-    for no further exchange, as the range partitioning already holds equal texts together.
+    for no further exchange, as the range partitioning already holds equal texts together. Texts are ordered by their
+    first ``PREFIX`` characters, a hash and then the whole text, so the driver's sample of splitters holds no whole
+    texts, and a first line that many texts share can still be split.
 
     A text with more than a ``1 / hot_share`` part of all rows would make one partition large. Such texts are found
     by counting 64-bit hashes; there are fewer than ``hot_share`` of them, so the table of their smallest id and count,
@@ -44,11 +48,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     # sha2 is only worked out for rows whose hash is among the hot ones
     marked = rows.join(F.broadcast(hot), (rows["h"] == hot["h"]) & (F.sha2(rows["norm"], 256) == hot["hot_sha"]), "left").select(
-        "row", "id", "norm", "hot_id", "hot_size", F.when(F.col("hot_size").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(salts))).otherwise(F.lit(0)).alias("salt")
+        "row", "id", "norm", F.left("norm", F.lit(PREFIX)).alias("prefix"), rows["h"].alias("h"), "hot_id", "hot_size", F.when(F.col("hot_size").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(salts))).otherwise(F.lit(0)).alias("salt")
     )
-    run = W.partitionBy("norm", "salt")
+    order = ["prefix", "h", "salt"]
+    run = W.partitionBy(*order, "norm")
     return (
-        marked.repartitionByRange("norm", "salt")
+        marked.repartitionByRange(*order)
         .withColumn("n", F.row_number().over(run.orderBy(F.col("id").asc_nulls_last())))
         .withColumn("first_id", F.min("id").over(run))
         .withColumn("size", F.count("*").over(run))
