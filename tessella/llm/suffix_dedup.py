@@ -19,9 +19,9 @@ LENGTH = 100
 #: Bytes hashed for an anchor. Every window of LENGTH bytes holds LENGTH - GRAM + 1 of them and takes the smallest.
 GRAM = 32
 #: Bytes of text looked at in one numpy pass, and anchors gathered before they are sent.
-PASS_BYTES, SENT = 2_000_000, 1_000_000
+PASS_BYTES, SENT = 500_000, 400_000
 #: Bytes of segments in one suffix array.
-ARRAY_BYTES = 1_000_000
+ARRAY_BYTES = 500_000
 #: Segments of one anchor beyond which its windows are compared by shuffles and not in one suffix array.
 HOT = 20_000
 
@@ -395,7 +395,7 @@ def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = _keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text").select("id", "th", F.col("text_").alias("text"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = texts.where(F.octet_length("text") >= length).mapInPandas(gather(buckets, length, gram), "bucket int, blob binary, id long, th int, s int, e int")
-    found = cut(packed.repartition(buckets, "bucket").mapInPandas(settle(length, hot), _FOUND))
+    found = cut(packed.repartitionById(buckets, F.col("bucket")).mapInPandas(settle(length, hot), _FOUND))
     gone = found.where("h = -1").select("id", "th", "s", "e")
     asked = found.where("h <> -1").groupBy("id", "th").agg(F.collect_list(F.struct("h", "s", "e", "hot")).alias("asked"))
 
