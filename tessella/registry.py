@@ -19,7 +19,7 @@ def query(sql: str | None = None) -> Callable:
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
         if sql is not None:
             text = sql.strip()
-            ORACLE_SQL[f.__name__] = f"WITH {VIEWS_SQL}" + (f", {text[5:]}" if text.startswith("WITH ") else f" {text}")
+            ORACLE_SQL[f.__name__] = f"WITH RECURSIVE {VIEWS_SQL}" + (f", {text[5:]}" if text.startswith("WITH ") else f" {text}")
         return f
 
     return registered

@@ -1,0 +1 @@
+"""Event logic over batches and streams."""
