@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.frames import held_out, table
 from tessella.llm.packing import pack_documents
 from tessella.llm.simhash import simhash_components
+from tessella.llm.suffix_dedup import remove_repeats
 from tessella.llm.toxicity import score_toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -32,12 +32,18 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 100 bytes or more that also occur earlier go; every document stays, with what is left of it."""
+    left = remove_repeats(docs.select(*COLUMNS), as_text=True)
+    return left.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*COLUMNS)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, as sequences of tokens."""
     return pack_documents(docs)
 
 
-STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("near dedup", near), ("packing", pack)]
+STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("near dedup", near), ("repeated passages", repeats), ("packing", pack)]
 
 #: The classifier and the tokenizer cannot be written in SQL.
 ORACLE_SQL = None

@@ -424,11 +424,12 @@ def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return gone.union(late)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, as_text: bool = False) -> DataFrame:
     """``docs`` with ``kept``, the remaining bytes, ``n_bytes``, ``n_removed`` and ``n_spans`` (maximal removed runs).
 
     A byte goes if a string of ``length`` bytes that covers it also starts earlier: in a document of smaller id, or
-    earlier in the same one; strings never cross documents and are judged on the input.
+    earlier in the same one; strings never cross documents and are judged on the input. With ``as_text``, ``kept`` is text
+    without the characters of which only a part remains.
 
     Null text counts as empty. Null ids come last. Rows of one id and equal text are one document, given more than once:
     they are no repeats of each other and get equal results. Rows of one id and different texts are documents in the
@@ -438,7 +439,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = ("kept", "n_bytes", "n_removed", "n_spans")
     gone = repeated_stretches(docs, id_col, text_col, length, gram, hot).groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("gone"))
 
-    @F.pandas_udf("kept binary, n_bytes long, n_removed long, n_spans long")
+    @F.pandas_udf(f"kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
     def apply(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
         rows = []
         for text, stretches in zip(texts, gone, strict=True):
@@ -450,7 +451,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             _, s, e = _merged(np.zeros(len(s), "i8"), s, e)
             kept = [raw[a:b] for a, b in zip([0, *e.tolist()], [*s.tolist(), len(raw)], strict=True)]
             rows.append((b"".join(kept), len(raw), int((e - s).sum()), len(s)))
-        return pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans"])
+        out = pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans"])
+        return out.assign(kept=out["kept"].map(lambda b: b.decode(errors="ignore"))) if as_text else out
 
     own = [c for c in docs.columns if c.lower() not in names]
     rows = _keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(id_col).alias("id_"), F.col(text_col).alias("text__")), "id_", "text__")
