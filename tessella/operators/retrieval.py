@@ -299,7 +299,7 @@ def matter(page: Column, pages: Column, heading: Column) -> tuple[Column, Column
     holds = lambda marks: F.coalesce(low.rlike("|".join(marks)), F.lit(False))
     known = F.when(pages > 0, pages)
     first = F.coalesce(page <= 10, F.lit(False))
-    last = F.coalesce(page >= F.greatest(F.lit(1), known - 10), F.lit(False))
+    last = F.coalesce(known.isNotNull() & (page >= F.greatest(F.lit(1), known - 10)), F.lit(False))
     far = F.coalesce(known.isNull() & (page >= 320), F.lit(False))
     toc = holds(FRONT_MARKERS) | holds(BACK_MARKERS)
     reasons = F.array_compact(F.array(F.when(first, "page_in_first_10"), F.when(last, "page_in_last_10"), F.when(far, "page_fallback_gte_320"), F.when(toc, "heading_path_contains_toc")))
