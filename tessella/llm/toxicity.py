@@ -87,7 +87,8 @@ def train_toxicity(sample: list[tuple[str, int]], s: Settings = Settings()) -> t
 
     The loss is the mean log loss over the sample, plus ``counterfactual`` times the mean squared difference between
     the logits of each sentence with its groups and with swapped groups, plus an L1 term. It is lowered by proximal
-    steps with a rate of its own for each weight. With one class or no rows the weights are zero and the bias tells
+    steps with a rate of its own for each weight. Weights are not negative: a word may tell of toxicity or of nothing, so a
+    long text is not cleared by many harmless words. With one class or no rows the weights are zero and the bias tells
     the share of label 1.
     """
     y = np.array([label for _, label in sample], "f8")
@@ -112,8 +113,7 @@ def train_toxicity(sample: list[tuple[str, int]], s: Settings = Settings()) -> t
         grad = np.bincount(cols, vals * ((p - y) / n)[rows], m) + s.counterfactual * 2 / n * np.bincount(dc, dv * apart[dr], m)
         seen += grad**2
         step = s.rate / np.sqrt(seen)
-        w -= step * grad
-        w = np.sign(w) * np.maximum(np.abs(w) - step * s.l1, 0)
+        w = np.maximum(w - step * (grad + s.l1), 0)
         g = (p - y).mean()
         bias_seen += g * g
         bias -= s.rate * g / math.sqrt(bias_seen)
