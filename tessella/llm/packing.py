@@ -44,8 +44,8 @@ def tokenizer(path: str) -> tuple[tiktoken.Encoding, set[str]]:
 def encode(path: str, text: str) -> bytes:
     """Ids of a whole text, as little-endian 32-bit numbers."""
     encoding, special = tokenizer(path)
-    ids = encoding.encode(text, allowed_special=special) if any(s in text for s in special) else encoding.encode_ordinary(text)
-    return np.array(ids, "<u4").tobytes()
+    allowed = special if any(s in text for s in special) else set()
+    return encoding.encode_to_numpy(text, allowed_special=allowed, disallowed_special=()).astype("<u4").tobytes()
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
