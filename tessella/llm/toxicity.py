@@ -6,7 +6,6 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,7 +25,7 @@ IDENTITY_TERMS = (
 ).split()
 WORD = re.compile(r"\w+")
 #: Rows and characters of the training sample.
-MAX_ROWS, MAX_CHARS = 6000, 32_000
+MAX_ROWS, MAX_CHARS = 4000, 32_000
 #: Words that a worker remembers.
 REMEMBERED = 300_000
 
@@ -66,20 +65,17 @@ def swap_terms(words: set[str], terms: tuple[str, ...], rng: random.Random) -> t
     return words | named, words - named | set(others)
 
 
-def _matrix(sets: list[set[str]], s: Settings, columns: dict[int, int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, int]]:
-    """Compressed rows: how many distinct words of each text have each feature; features of few texts are dropped."""
-    counted = [Counter(f for w in sorted(ws) for f in word_features(w, s)) for ws in sets]
-    if columns is None:
-        docs = Counter(f for c in counted for f in c)
-        columns = {f: i for i, f in enumerate(sorted(f for f, n in docs.items() if n >= s.min_docs))}
-    rows, cols, vals = [], [], []
-    for i, c in enumerate(counted):
-        for f, n in c.items():
-            if (j := columns.get(f)) is not None:
-                rows.append(i)
-                cols.append(j)
-                vals.append(n)
-    return np.array(rows, "i8"), np.array(cols, "i8"), np.array(vals, "f8"), columns
+def _counts(words: set[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's features, and how many distinct words have each."""
+    found = np.fromiter((f for w in words for f in word_features(w, s)), "i4")
+    ids, counts = np.unique(found, return_counts=True)
+    return ids, counts.astype("f4")
+
+
+def _rows(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, hashes and counts of texts, laid end to end."""
+    rows = np.repeat(np.arange(len(parts), dtype="i4"), [len(ids) for ids, _ in parts])
+    return rows, np.concatenate([ids for ids, _ in parts]), np.concatenate([counts for _, counts in parts])
 
 
 def train_toxicity(sample: list[tuple[str, int]], s: Settings = Settings()) -> tuple[np.ndarray, float]:
@@ -98,14 +94,22 @@ def train_toxicity(sample: list[tuple[str, int]], s: Settings = Settings()) -> t
     if len(set(y)) < 2:
         return weights, bias
     rng = random.Random(s.seed)
-    sets = [words_of(text) for text, _ in sample]
-    rows, cols, vals, columns = _matrix(sets, s, None)
-    pairs = [swap_terms(ws, s.terms, rng) for ws in sets]
-    known = columns | {f: len(columns) + i for i, f in enumerate(sorted({f for t in s.terms for f in word_features(t, s)} - set(columns)))}
-    ar, ac, av, _ = _matrix([a - b for a, b in pairs], s, known)
-    br, bc, bv, _ = _matrix([b - a for a, b in pairs], s, known)
-    dr, dc, dv = np.concatenate([ar, br]), np.concatenate([ac, bc]), np.concatenate([av, -bv])
-    n, m = len(y), len(known)
+    texts, groups, others = [], [], []
+    for text, _ in sample:  # only arrays are kept of a text
+        words = words_of(text)
+        own, swapped = swap_terms(words, s.terms, rng)
+        texts.append(_counts(words, s))
+        groups.append(_counts(own - swapped, s))
+        others.append(_counts(swapped - own, s))
+    rows, hashes, vals = _rows(texts)
+    used = np.bincount(hashes, minlength=1 << s.bits) >= s.min_docs
+    used[[f for t in s.terms for f in word_features(t, s)]] = True
+    column = np.cumsum(used) - 1
+    fit = used[hashes]
+    rows, cols, vals = rows[fit], column[hashes[fit]], vals[fit]
+    (ar, ah, av), (br, bh, bv) = _rows(groups), _rows(others)
+    dr, dc, dv = np.concatenate([ar, br]), column[np.concatenate([ah, bh])], np.concatenate([av, -bv])
+    n, m = len(y), int(used.sum())
     w, seen, bias_seen = np.zeros(m), np.full(m, 1e-12), 1e-12
     for _ in range(s.rounds):
         p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(rows, vals * w[cols], n), -40, 40)))
@@ -117,7 +121,7 @@ def train_toxicity(sample: list[tuple[str, int]], s: Settings = Settings()) -> t
         g = (p - y).mean()
         bias_seen += g * g
         bias -= s.rate * g / math.sqrt(bias_seen)
-    weights[list(known)] = w[list(known.values())]
+    weights[used] = w
     return weights, float(bias)
 
 
