@@ -418,3 +418,40 @@ def image_guard(v: Views) -> DataFrame:
     images = v.chunks.where("chunk_type = 'image'").select("id", "doc_id", F.sha2("caption", 256).alias("sha"), (size * 30).alias("bytes"), (100 + F.col("id") % 200).alias("width"))
     kept = images.where("width >= 150 AND bytes >= 5120")
     return kept.groupBy("sha").agg(F.min(F.struct("id", "doc_id")).alias("first")).select("first.id", "first.doc_id")
+
+
+def _nodes(v: Views, kind: str) -> DataFrame:
+    node = F.filter(F.from_json(F.get_json_object("tree", "$.kids"), "array<string>"), lambda x: F.get_json_object(x, "$.type") == kind)[0]
+    return trees(v).select("doc_id", node.alias("node"))
+
+
+@query("""WITH w AS (SELECT doc_id, string_split(text, ' ')[1:6] AS w FROM documents), c AS (SELECT doc_id, list_transform(w, lambda x: trim(replace(replace(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '|', '\\|'), chr(10), ' '))) AS w FROM w)
+    SELECT doc_id, '| ' || array_to_string(list_concat(w, list_transform(range(greatest(2 - len(w), 0)), lambda i: '')), ' | ') || ' |' || chr(10) || '| ' || array_to_string(list_transform(range(greatest(len(w), 2)), lambda i: '---'), ' | ') || ' |' || chr(10)
+    || '| ' || array_to_string(list_concat(['a\\|b'], list_transform(range(greatest(len(w), 2) - 1), lambda i: '')), ' | ') || ' |' AS md FROM c""", name="table_markdown")
+def tables_as_markdown(v: Views) -> DataFrame:
+    @F.pandas_udf("string")
+    def rendered(nodes: pd.Series) -> pd.Series:
+        return nodes.map(lambda n: table_markdown(json.loads(n)))
+
+    return _nodes(v, "table").select("doc_id", rendered("node").alias("md"))
+
+
+@query("""WITH w AS (SELECT doc_id, string_split(text, ' ')[1:6] AS w FROM documents)
+    SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(w, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), lambda x: '- ' || x), chr(10)) AS md FROM w""", name="list_markdown")
+def lists_as_markdown(v: Views) -> DataFrame:
+    @F.pandas_udf("string")
+    def rendered(nodes: pd.Series) -> pd.Series:
+        return nodes.map(lambda n: list_markdown(json.loads(n)))
+
+    return _nodes(v, "ul").select("doc_id", rendered("node").alias("md"))
+
+
+@query("SELECT doc_id, [1.0, 2.0, doc_id, 4.0]::DOUBLE[] IS NOT NULL AS has_box, doc_id::DOUBLE AS third FROM documents")
+def bbox_parse(v: Views) -> DataFrame:
+    """Boxes of layout nodes as four numbers."""
+
+    @F.pandas_udf("array<double>")
+    def boxes(nodes: pd.Series) -> pd.Series:
+        return nodes.map(lambda n: box(json.loads(n)))
+
+    return _nodes(v, "h1").select("doc_id", boxes("node").alias("b")).select("doc_id", F.col("b").isNotNull().alias("has_box"), F.col("b")[2].alias("third"))

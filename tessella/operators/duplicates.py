@@ -40,7 +40,7 @@ def hashes(v: Views) -> DataFrame:
 HASHES = """h AS (SELECT vec_id AS id, list_sum(list_transform(range(56), lambda i: CASE WHEN floor((embedding[(i // 7) * 8 + i % 7 + 1]::DOUBLE + 1) * 127.5) < floor((embedding[(i // 7) * 8 + i % 7 + 2]::DOUBLE + 1) * 127.5) THEN 1::BIGINT << i::INT ELSE 0 END))::BIGINT AS h FROM embeddings)"""
 
 
-@query(f"WITH {HASHES} SELECT id, h FROM h")
+@query(f"WITH {HASHES} SELECT id, h FROM h", name="dhash")
 def dhash_of(v: Views) -> DataFrame:
     return hashes(v)
 

@@ -91,7 +91,7 @@ def normalize_url(v: Views) -> DataFrame:
     return image_urls(v).select("page_id", "pos", normal_image_url(F.col("image_url")).alias("base"))
 
 
-@query(f"WITH {NORM} SELECT page_id, pos, width FROM norm")
+@query(f"WITH {NORM} SELECT page_id, pos, width FROM norm", name="cdn_width")
 def cdn_width_of(v: Views) -> DataFrame:
     return image_urls(v).select("page_id", "pos", cdn_width(F.col("image_url")).alias("width"))
 
@@ -112,7 +112,7 @@ def url_variant_dedup(v: Views) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(CASE WHEN doc_id % 7 = 0 THEN '\ufffd\ufffd' || text WHEN doc_id % 11 = 0 THEN repeat('\ufffd', 60) WHEN doc_id % 13 = 0 THEN repeat('#', 50) || left(text, 5) ELSE text END, '\ufffd+', ' ', 'g'), '\\s+', ' ', 'g')) AS c FROM documents)
-    SELECT doc_id, CASE WHEN c <> '' AND NOT (length(c) > 40 AND length(regexp_replace(c, '[^\\p{L}\\p{N}]', '', 'g')) / length(c) < 0.2) THEN sha256(c) END AS clean_sha FROM t""")
+    SELECT doc_id, CASE WHEN c <> '' AND NOT (length(c) > 40 AND length(regexp_replace(c, '[^\\p{L}\\p{N}]', '', 'g')) / length(c) < 0.2) THEN sha256(c) END AS clean_sha FROM t""", name="embedding_input")
 def embedding_input_of(v: Views) -> DataFrame:
     bad = "\ufffd"
     text = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit(bad * 2), "text")).when(F.col("doc_id") % 11 == 0, F.repeat(F.lit(bad), 60)).when(F.col("doc_id") % 13 == 0, F.concat(F.repeat(F.lit("#"), 50), F.left("text", F.lit(5)))).otherwise(F.col("text"))

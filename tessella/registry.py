@@ -12,14 +12,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable:
-    """Registers a function of ``Views``. ``sql`` may use the views and begin with ``WITH``."""
+def query(sql: str | None = None, name: str | None = None) -> Callable:
+    """Registers a function of ``Views``, under its own name or another. ``sql`` may use the views and begin with ``WITH``."""
 
     def registered(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        QUERIES[name or f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
         if sql is not None:
             text = sql.strip()
-            ORACLE_SQL[f.__name__] = f"WITH RECURSIVE {VIEWS_SQL}" + (f", {text[5:]}" if text.startswith("WITH ") else f" {text}")
+            ORACLE_SQL[name or f.__name__] = f"WITH RECURSIVE {VIEWS_SQL}" + (f", {text[5:]}" if text.startswith("WITH ") else f" {text}")
         return f
 
     return registered
