@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,11 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.frames import labelled_sample, small_batches
+from tessella.llm.hashing import Words
 
 #: Rows and characters of the training sample.
 MAX_ROWS, MAX_CHARS = 4000, 32_000
 #: Words that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 
 @dataclass(frozen=True)
@@ -30,28 +29,29 @@ class Settings:
     seed: int = 11
 
 
-def _hash(part: str) -> int:
-    return zlib.crc32(part.encode())
+def word_features(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each feature of each word the word's number and the bucket, and the words' hashes.
 
-
-def word_features(word: str, s: Settings) -> list[int]:
-    """Buckets of the word and of its character n-grams between marks of begin and end."""
-    marked = f"<{word}>"
-    parts = [word, *(f"{n}{marked[i : i + n]}" for n in s.grams for i in range(len(marked) - n + 1))]
-    return [_hash(p) & (1 << s.bits) - 1 for p in parts]
+    A word's features are itself and its character n-grams between marks of begin and end.
+    """
+    w = Words([f"<{x}>" for x in words])
+    parts = [(np.arange(len(words)), w.whole()), *map(w.grams, s.grams)]
+    buckets = (np.concatenate([h for _, h in parts]) >> np.uint64(64 - s.bits)).astype("i4")
+    return np.concatenate([a for a, _ in parts]), buckets, parts[0][1]
 
 
 def pair_features(hashes: np.ndarray, s: Settings) -> np.ndarray:
     """Buckets of neighbouring words; a word and itself share one bucket, as repetition tells more than the word."""
-    a, b = hashes[:-1].astype("u8"), hashes[1:].astype("u8")
-    mixed = (a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - s.bits)
-    return np.where(a == b, np.uint64(1), mixed).astype("i8")
+    a, b = hashes[:-1], hashes[1:]
+    with np.errstate(over="ignore"):
+        mixed = (a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - s.bits)
+    return np.where(a == b, np.uint64(1), mixed).astype("i4")
 
 
 def _document(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of a text and each one's share of all its features."""
-    hashes = np.array([_hash(w) for w in words], "u8")
-    found = np.concatenate([np.array([f for w in words for f in word_features(w, s)], "i8"), pair_features(hashes, s)])
+    _, own, hashes = word_features(words, s)
+    found = np.concatenate([own, pair_features(hashes, s)])
     ids, counts = np.unique(found, return_counts=True)
     return ids, counts / max(len(found), 1)
 
@@ -97,27 +97,26 @@ def quality_score(spark, buckets: np.ndarray, bias: float, s: Settings = Setting
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         buckets, bias = model.value
         place: dict[str, int] = {}
-        sums, counts, hashes = np.zeros(1024), np.zeros(1024), np.zeros(1024, "u8")
-
-        def logit(text: str) -> float:
-            nonlocal sums, counts, hashes
-            words = text.split()
-            if len(place) + len(words) > REMEMBERED:
-                place.clear()
-            for w in words:
-                if w not in place:
-                    i = place[w] = len(place)
-                    if i >= len(sums):
-                        sums, counts, hashes = (np.concatenate([x, np.zeros_like(x)]) for x in (sums, counts, hashes))
-                    found = word_features(w, s)
-                    sums[i], counts[i], hashes[i] = math.fsum(buckets[found]), len(found), _hash(w)
-            ids = np.fromiter(map(place.__getitem__, words), "i8", len(words))
-            pairs = pair_features(hashes[ids], s)
-            n = counts[ids].sum() + len(pairs)
-            return bias + (sums[ids].sum() + buckets[pairs].sum()) / max(n, 1)
-
+        sums, counts, hashes = np.empty(0), np.empty(0), np.empty(0, "u8")
         for texts in batches:
-            yield pd.Series(1 / (1 + np.exp(-np.clip(np.array([logit(t or "") for t in texts], "f8"), -40, 40))))
+            docs = [(t or "").split() for t in texts]
+            new = list(dict.fromkeys(w for words in docs for w in words if w not in place))
+            if len(place) + len(new) > REMEMBERED:
+                place.clear()
+                sums, counts, hashes = sums[:0], counts[:0], hashes[:0]
+                new = list(dict.fromkeys(w for words in docs for w in words))
+            of, found, own = word_features(new, s)
+            place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
+            sums = np.concatenate([sums, np.bincount(of, buckets[found], len(new))])
+            counts = np.concatenate([counts, np.bincount(of, minlength=len(new))])
+            hashes = np.concatenate([hashes, own])
+            logits = []
+            for words in docs:
+                ids = np.fromiter(map(place.__getitem__, words), "i8", len(words))
+                pairs = pair_features(hashes[ids], s)
+                n = counts[ids].sum() + len(pairs)
+                logits.append(bias + (sums[ids].sum() + buckets[pairs].sum()) / max(n, 1))
+            yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(logits, "f8"), -40, 40))))
 
     return score
 
