@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import random
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -15,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.frames import labelled_sample, small_batches
+from tessella.llm.hashing import Words
 
 #: Groups that a sentence may name without being toxic (fixed values).
 IDENTITY_TERMS = (
@@ -27,7 +27,7 @@ WORD = re.compile(r"\w+")
 #: Rows and characters of the training sample.
 MAX_ROWS, MAX_CHARS = 4000, 32_000
 #: Words that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 
 @dataclass(frozen=True)
@@ -43,10 +43,11 @@ class Settings:
     seed: int = 7
 
 
-def word_features(word: str, s: Settings) -> list[int]:
-    """Hashes of the whole word and of its beginnings."""
-    parts = ["w:" + word, *("p:" + word[:k] for k in s.prefixes if len(word) >= k)]
-    return [zlib.crc32(p.encode()) & (1 << s.bits) - 1 for p in parts]
+def features(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """For each feature of each word, the word's number and the feature's hash: the whole word and its beginnings."""
+    w = Words(words)
+    parts = [(np.arange(len(words)), w.whole()), *map(w.prefixes, s.prefixes)]
+    return np.concatenate([a for a, _ in parts]), (np.concatenate([h for _, h in parts]) >> np.uint64(64 - s.bits)).astype("i4")
 
 
 def words_of(text: str) -> set[str]:
@@ -67,7 +68,7 @@ def swap_terms(words: set[str], terms: tuple[str, ...], rng: random.Random) -> t
 
 def _counts(words: set[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of a text's features, and how many distinct words have each."""
-    found = np.fromiter((f for w in words for f in word_features(w, s)), "i4")
+    _, found = features(list(words), s)
     ids, counts = np.unique(found, return_counts=True)
     return ids, counts.astype("f4")
 
@@ -103,7 +104,7 @@ def train_toxicity(sample: list[tuple[str, int]], s: Settings = Settings()) -> t
         others.append(_counts(swapped - own, s))
     rows, hashes, vals = _rows(texts)
     used = np.bincount(hashes, minlength=1 << s.bits) >= s.min_docs
-    used[[f for t in s.terms for f in word_features(t, s)]] = True
+    used[features(list(s.terms), s)[1]] = True
     column = np.cumsum(used) - 1
     fit = used[hashes]
     rows, cols, vals = rows[fit], column[hashes[fit]], vals[fit]
@@ -134,17 +135,16 @@ def toxicity_score(spark, weights: np.ndarray, bias: float, s: Settings = Settin
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights, bias = model.value
         known: dict[str, float] = {}
-
-        def of(word: str) -> float:
-            if (v := known.get(word)) is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                v = known[word] = math.fsum(weights[word_features(word, s)])
-            return v
-
         for texts in batches:
+            sets = [words_of(t or "") for t in texts]
+            new = list({w for ws in sets for w in ws if w not in known})
+            if len(known) + len(new) > REMEMBERED:
+                known.clear()
+                new = list(set().union(*sets))
+            of, found = features(new, s)
+            known.update(zip(new, np.bincount(of, weights[found], len(new)).tolist(), strict=True))
             # fsum rounds once, so the order of a set does not matter
-            logits = [bias + math.fsum(map(of, words_of(t or ""))) for t in texts]
+            logits = [bias + math.fsum(map(known.__getitem__, ws)) for ws in sets]
             yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(logits, "f8"), -40, 40))))
 
     return score

@@ -59,7 +59,7 @@ def test_counterfactual_term_takes_weight_from_group_mentions():
     def gap(strength):
         s = X.Settings(counterfactual=strength, l1=1e-4)
         w, b = X.train_toxicity(sample, s)
-        logit = lambda t: b + sum(w[X.word_features(x, s)].sum() for x in X.words_of(t))
+        logit = lambda t: b + w[X.features(sorted(X.words_of(t)), s)[1]].sum()
         return abs(logit("w1 w2 muslims") - logit("w1 w2 women")), logit("w1 idiot") - logit("w1 w2")
 
     free, bound = gap(0.0), gap(5.0)
@@ -74,6 +74,19 @@ def test_swapping_terms():
     assert len(own) == len(swapped) == 2 and own != swapped
 
 
+def test_hashes_of_parts_do_not_depend_on_their_place():
+    from tessella.llm.hashing import Words
+
+    a, b = Words(["", "abab", "é😀", "x" * 70_000]), Words(["ab"])
+    word, hashes = a.grams(2)
+    ab = b.grams(2)[1][0]
+    assert [(w, h == ab) for w, h in zip(word[:4].tolist(), hashes[:4], strict=True)] == [(1, True), (1, False), (1, True), (2, False)]
+    assert len(word) == 3 + 1 + 69_999 and len(set(hashes[4:].tolist())) == 1
+    long, first = a.prefixes(2)
+    assert long.tolist() == [1, 2, 3] and first[0] == ab
+    assert Words(["abab"]).whole()[0] == a.whole()[1] and len(Words([]).whole()) == 0
+
+
 def test_quality_features():
     s = Q.Settings()
     ids, shares = Q._document("a a b".split(), s)
