@@ -114,6 +114,32 @@ ORACLE_SQL = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
         FROM n""",
+    "op6_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        pieces AS (SELECT doc_id, start, substr(h, 2 * start + 1, 1198) AS piece FROM (SELECT doc_id, h, unnest(generate_series(0, length(h) // 2 - 100, 500)) AS start FROM d)),
+        m AS (SELECT doc_id, start, unnest(list_transform(range(least(500, length(piece) // 2 - 99)), lambda i: {'i': i, 'k': md5(substr(piece, 2 * i::INT + 1, 200))})) AS m FROM pieces),
+        w AS (SELECT doc_id, start + m.i AS i, row_number() OVER (PARTITION BY m.k ORDER BY doc_id, start + m.i) > 1 AS again FROM m),
+        g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM w WHERE again),
+        n AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+        s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM n GROUP BY doc_id, run),
+        p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+        k AS (SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
+    "op8_tool_calls": """
+        WITH c AS (SELECT conv_id, turn, 'c' || conv_id || '_' || turn AS id, CASE WHEN turn % 3 = 2 THEN 'translate' ELSE 'search' END AS name, min(text) AS text, count(*) AS copies
+                   FROM conversations WHERE role = 'user' GROUP BY conv_id, turn),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS n FROM c),
+        l AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, turn - 2 * n ORDER BY turn) - 1 AS level FROM o),
+        r AS (SELECT conv_id, turn, 'c' || conv_id || '_' || (turn - 1) AS id, min(text) AS content, count(*) AS copies FROM conversations WHERE role <> 'user' GROUP BY conv_id, turn),
+        b AS (SELECT coalesce(l.conv_id, r.conv_id) AS conv_id, coalesce(l.id, r.id) AS call_id, l.name, l.level, l.turn AS call_turn, r.turn AS result_turn, l.text, r.content, coalesce(l.copies, r.copies) AS copies,
+                     CASE WHEN l.id IS NULL THEN 'orphan' WHEN r.id IS NULL THEN 'unanswered' ELSE 'linked' END AS status FROM l FULL JOIN r ON l.conv_id = r.conv_id AND l.id = r.id),
+        e AS (SELECT *, CASE WHEN name IS NULL THEN 'no call' WHEN name = 'translate' THEN '$.target: missing' ELSE
+                     concat_ws('; ', CASE WHEN call_turn + 1 > 6 THEN '$.limit: above maximum' END, CASE WHEN length(text) > 400 THEN '$.query: too long' WHEN length(text) < 1 THEN '$.query: too short' END) END AS errors FROM b)
+        SELECT conv_id, call_id, name, level, call_turn, result_turn, status, copies, errors = '' AS valid, errors,
+               sha256('{"arguments":' || CASE WHEN name IS NULL THEN 'null' ELSE '{"limit":' || (call_turn + 1) || ',"query":' || to_json(text)::VARCHAR || '}' END || ',"id":"' || call_id || '","name":' || coalesce('"' || name || '"', 'null')
+                      || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}') AS json_sha256 FROM e""",
     "op9_url_filter": r"""
         WITH u AS (
             SELECT page_id,
