@@ -334,10 +334,10 @@ def extract_article(v: Views) -> DataFrame:
     return tiers.select("page_id", F.when(long("a"), 1).when(long("b"), 2).otherwise(3).alias("tier"), F.when(long("a"), F.col("a")).when(long("b"), F.col("b")).otherwise(F.col("c")).alias("text"))
 
 
-@query("""WITH n AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('mmrag:' || filename)) AS h FROM docs)
+@query("""WITH n AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('doc:' || filename)) AS h FROM docs)
     SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8', '9', 'a', 'b'][(('0x' || h[17])::INT & 3) + 1] || h[18:20] || '-' || h[21:32] AS uuid FROM n""")
 def uuid5_ids(v: Views) -> DataFrame:
-    return v.docs.select("doc_id", uuid5(F.concat(F.lit("mmrag:"), "filename")).alias("uuid"))
+    return v.docs.select("doc_id", uuid5(F.concat(F.lit("doc:"), "filename")).alias("uuid"))
 
 
 def uuid5(name: Column, namespace: str = "6ba7b8119dad11d180b400c04fd430c8") -> Column:

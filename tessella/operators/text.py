@@ -155,10 +155,10 @@ def mask_secrets(v: Views) -> DataFrame:
 
 def asked_with_filter() -> Column:
     """Turns with filters before some of them."""
-    return F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("@rss "), "text")).when(F.col("conv_id") % 4 == 1, F.concat(F.lit("@BMW&Co "), "text")).when(F.col("conv_id") % 4 == 2, F.concat(F.lit("@ "), "text")).otherwise(F.col("text"))
+    return F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("@rss "), "text")).when(F.col("conv_id") % 4 == 1, F.concat(F.lit("@A&B "), "text")).when(F.col("conv_id") % 4 == 2, F.concat(F.lit("@ "), "text")).otherwise(F.col("text"))
 
 
-ASKED = "asked AS (SELECT conv_id, turn, role, CASE conv_id % 4 WHEN 0 THEN '@rss ' || text WHEN 1 THEN '@BMW&Co ' || text WHEN 2 THEN '@ ' || text ELSE text END AS q FROM conversations)"
+ASKED = "asked AS (SELECT conv_id, turn, role, CASE conv_id % 4 WHEN 0 THEN '@rss ' || text WHEN 1 THEN '@A&B ' || text WHEN 2 THEN '@ ' || text ELSE text END AS q FROM conversations)"
 
 
 @query(f"""WITH {ASKED}, t AS (SELECT conv_id, turn, q, regexp_extract(q, '^@([^ ]*) ', 1) AS token, regexp_matches(q, '^@[^ ]* ') AS has FROM asked WHERE role = 'user')

@@ -103,7 +103,7 @@ def test_embedding_isolates_what_fails():
 
 
 def test_uuid5(spark):
-    names = ["mmrag:a.pdf", "mmrag:rss:https://x/ü?q=1", ""]
+    names = ["doc:a.pdf", "doc:feed:https://x/ü?q=1", ""]
     got = spark.createDataFrame([(n,) for n in names], "n string").select(C.uuid5(F.col("n"))).collect()
     assert [r[0] for r in got] == [str(uuid.uuid5(uuid.NAMESPACE_URL, n)) for n in names]
 
