@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.functions.vectors import cosine, norm
+from tessella.functions.vectors import cosine, cosine_to, norm
 from tessella.operators.corpus import meta
 from tessella.registry import query
 from tessella.sources.views import Views
@@ -30,14 +30,10 @@ GUARDED = MERGED + """, g AS (SELECT *, CASE WHEN score < 0.2 THEN 'image_score_
 
 def scored(chunks: DataFrame, docs: DataFrame, question: DataFrame) -> DataFrame:
     """Chunks that have a vector, with their document's name and pages and the cosine to the question's one vector."""
-    asked = F.broadcast(question.limit(1))  # one row
-    return (
-        chunks.where("embedding IS NOT NULL")
-        .crossJoin(asked)
-        .withColumn("score", F.round(cosine(F.col("embedding"), F.col("q")), 6))
-        .drop("q", "embedding")
-        .join(docs.select("doc_id", "filename", "pages"), "doc_id")
-    )
+    asked = question.first()  # one row
+    rows = chunks.where("embedding IS NOT NULL" if asked else "false")
+    score = cosine_to(asked["q"])(F.col("embedding")) if asked else F.lit(None).cast("double")
+    return rows.withColumn("score", F.round(score, 6)).drop("embedding").join(docs.select("doc_id", "filename", "pages"), "doc_id")
 
 
 def filtered(rows: DataFrame, threshold: float = THRESHOLD, doc_filter: str | None = None, source_type: str | None = None, chunk_type: str | None = None) -> DataFrame:

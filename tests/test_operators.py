@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.functions.vectors import cosine, unit
+from tessella.functions.vectors import cosine, cosine_to, unit
 from tessella.operators import duplicates as D
 from tessella.operators import retrieval as R
 from tessella.operators import text as T
@@ -24,6 +24,12 @@ def test_vectors(spark):
     assert got[0][0] == 0 and got[0][1] is None and math.isclose(got[1][0], 1) and got[1][1] == [0.6, 0.8]
 
 
+def test_cosine_to_one_vector(spark):
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, None), (3, [0.0, 0.0])], "i int, a array<float>")
+    got = [r[0] for r in rows.orderBy("i").select(cosine_to([1.0, 0.0])(F.col("a"))).collect()]
+    assert math.isclose(got[0], 0.6) and got[1:] == [None, 0.0]
+
+
 def test_hamming_chain_is_one_cluster_and_leaders_are_not(spark):
     rows = spark.createDataFrame([(1, 0), (2, 0b1111), (3, 0b11111111), (4, 0b1111)], "id long, h long")
     assert {tuple(r) for r in D.hamming_pairs_within(rows, 4).collect()} == {(1, 2), (2, 3), (2, 4)}
