@@ -38,8 +38,9 @@ def _powers(base: int, size: int) -> np.ndarray:
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """Spreads a 64-bit number over all bits; one to one."""
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
 
 
@@ -184,7 +185,8 @@ def gather(buckets: int, length: int, gram: int):
             d, a, b = _merged(doc[~new & ~same], lo[~new & ~same], hi[~new & ~same] + length)
             gone = _found(own[of[d]], tags[of[d]], a, b)
             doc, h, s, lo, hi = (x[new] for x in (doc, h, s, lo, hi))
-            bucket = ((h >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype("i8")
+            # anchors are the smallest hashes around, so their upper bits alone would fill the first buckets
+            bucket = ((_mix(h) >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype("i8")
             by = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
             rows = [(k, _pack(own[of], tags[of], doc[p], h[p], s[p], lo[p], hi[p])) for k in range(buckets) if len(p := by[edges[k] : edges[k + 1]])]
