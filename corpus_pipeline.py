@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.frames import held_out, table
+from tessella.llm.near_copies import near_copies
 from tessella.llm.packing import pack_documents
-from tessella.llm.simhash import simhash_components
 from tessella.llm.suffix_dedup import remove_repeats
 from tessella.llm.toxicity import score_toxicity
 
@@ -27,9 +27,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the smallest id stays."""
-    gone = simhash_components(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of texts linked by a Jaccard similarity of 0.8 or more, over shingles of five words, the row with the smallest id stays."""
+    return near_copies(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
