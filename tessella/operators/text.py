@@ -249,7 +249,7 @@ def embed_text(v: Views) -> DataFrame:
 def markdown_toc(v: Views) -> DataFrame:
     """Headings of Markdown with level and anchor."""
     source = F.concat(F.lit("# "), F.replace("text", F.lit(". "), F.lit("\n## ")))
-    lines = v.table("documents").where("doc_id % 10 = 0").select("doc_id", F.posexplode(F.split(source, "\n")).alias("n", "line")).select("doc_id", "n", F.trim("line").alias("t")).where("t LIKE '#%'")
+    lines = v.table("documents").select("doc_id", F.posexplode(F.split(source, "\n")).alias("n", "line")).select("doc_id", "n", F.trim("line").alias("t")).where("t LIKE '#%'")
     heads = lines.select("doc_id", "n", F.length(F.regexp_extract("t", "^#+", 0)).alias("level"), F.trim(F.regexp_replace("t", "^#+", "")).alias("title")).where("title <> ''")
     return heads.withColumn("slug", F.regexp_replace(F.replace(F.lower("title"), F.lit(" "), F.lit("-")), r"[^\p{L}\p{N}-]", ""))
 
