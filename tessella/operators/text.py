@@ -208,10 +208,10 @@ def image_intent(v: Views) -> DataFrame:
 
 @query("""WITH m AS (SELECT conv_id, turn, CASE WHEN role IN ('user', 'assistant') THEN role ELSE 'user' END AS role, left(trim(text), 8000) AS content FROM conversations),
     r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM m WHERE content <> '') SELECT conv_id, turn, role, content FROM r WHERE back <= 3""")
-def sanitize_messages(v: Views, keep: int = 3) -> DataFrame:
+def sanitize_messages(v: Views, keep: int = 12) -> DataFrame:
     """The last messages of a chat, cut to size; unknown roles count as the user's."""
     back = F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("turn")))
-    role = F.when(F.col("role").isin("user", "assistant"), F.col("role")).otherwise("user")
+    role = F.when(F.col("role").isin("user", "assistant", "system"), F.col("role")).otherwise("user")
     rows = v.table("conversations").select("conv_id", "turn", role.alias("role"), F.left(F.trim("text"), F.lit(8000)).alias("content")).where("content <> ''")
     return rows.withColumn("back", back).where(F.col("back") <= keep).drop("back")
 

@@ -1,5 +1,6 @@
 """Queries against brute force over all rows of their tables, whatever their SQL reads."""
 
+from tessella.operators.text import sanitize_messages
 from tessella.registry import QUERIES
 
 
@@ -14,3 +15,21 @@ def test_headings_of_all_documents(spark, sf_dir):
     found = [tuple(r)[:4] for r in QUERIES["markdown_toc"](spark, sf_dir).collect()]
     assert set(found) == want and len(found) == len(want)
     assert len({r[0] for r in found}) > spark.read.parquet(f"{sf_dir}/documents.parquet").count() // 2
+
+
+class Chats:
+    def __init__(self, rows):
+        self.rows = rows
+
+    def table(self, name):
+        assert name == "conversations"
+        return self.rows
+
+
+def test_twelve_messages_with_their_roles(spark):
+    roles = ("system", "user", "assistant", "tool")
+    rows = [(1, t, roles[t % 4], f" message {t} " if t % 5 else "  ") for t in range(20)] + [(2, 0, "system", "x" * 9000)]
+    want = [(c, t, "user" if r == "tool" else r, text.strip()[:8000]) for c, t, r, text in rows if text.strip()]
+    want = [w for w in want if w[0] == 1][-12:] + [w for w in want if w[0] == 2]
+    found = sanitize_messages(Chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")))
+    assert sorted(tuple(r) for r in found.select("conv_id", "turn", "role", "content").collect()) == want
