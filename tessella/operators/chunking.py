@@ -261,16 +261,17 @@ def heading_path(v: Views) -> DataFrame:
 
 
 def trees(v: Views) -> DataFrame:
-    """Layout trees as JSON, one a document: a page of lines, a list and a table."""
-    words = F.slice(F.split("text", " "), 1, 6)
+    """Layout trees as JSON, one a document: a page of all its lines, a list of all its words and a table of them, six a row."""
+    words, lines = F.split("text", " "), F.split("text", "\n")
     leaf = lambda kind, content: F.struct(F.lit(kind).alias("type"), content.alias("content"), F.lit(1).alias("page number"), F.array(F.lit("1"), F.lit("2"), F.col("doc_id").cast("string"), F.lit("4")).alias("bounding box"))
-    line = F.to_json(leaf("paragraph", F.left("text", F.lit(200))))
-    head = F.to_json(leaf("h1", F.left("text", F.lit(30))))
-    items = F.to_json(F.struct(F.lit("ul").alias("type"), F.transform(words, lambda w: F.struct(w.alias("content"))).alias("list items")))
-    cells = F.to_json(F.transform(words, lambda w: F.struct(w.alias("content"))))
-    grid = F.concat(F.lit('{"type":"table","rows":[{"cells":'), cells, F.lit('},{"cells":[{"content":"a|b","column span":2}]}]}'))
-    kids = F.concat(F.lit('{"kids":['), F.concat_ws(",", head, line, items, grid), F.lit("]}"))
-    return v.table("documents").select("doc_id", kids.alias("tree"))
+    paragraphs = F.array_join(F.transform(lines, lambda x: F.to_json(leaf("paragraph", x))), ",")
+    head = F.to_json(leaf("h1", lines[0]))
+    items = F.to_json(F.struct(F.lit("ul").alias("type"), F.transform("words", lambda w: F.struct(w.alias("content"))).alias("list items")))
+    row = lambda i: F.struct(F.transform(F.slice(F.col("words"), i * 6 + 1, F.lit(6)), lambda w: F.struct(w.alias("content"))).alias("cells"))
+    cells = F.to_json(F.transform(F.sequence(F.lit(0), F.expr("(size(words) - 1) div 6").cast("int")), row))
+    grid = F.concat(F.lit('{"type":"table","rows":'), F.regexp_replace(cells, r"\]$", ""), F.lit(',{"cells":[{"content":"a|b","column span":2}]}]}'))
+    kids = F.concat(F.lit('{"kids":['), F.concat_ws(",", head, paragraphs, items, grid), F.lit("]}"))
+    return v.table("documents").withColumn("words", words).select("doc_id", kids.alias("tree"))
 
 
 @query()

@@ -1,5 +1,6 @@
 """Queries against brute force over all rows of their tables, whatever their SQL reads."""
 
+from tessella.operators import chunking  # noqa: F401
 from tessella.operators.text import sanitize_messages
 from tessella.registry import QUERIES
 
@@ -33,3 +34,21 @@ def test_twelve_messages_with_their_roles(spark):
     want = [w for w in want if w[0] == 1][-12:] + [w for w in want if w[0] == 2]
     found = sanitize_messages(Chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")))
     assert sorted(tuple(r) for r in found.select("conv_id", "turn", "role", "content").collect()) == want
+
+
+def test_layout_trees_hold_whole_texts(spark, sf_dir):
+    texts = dict(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+    flat, lists, tables = {}, *(dict(QUERIES[name](spark, sf_dir).collect()) for name in ("list_markdown", "table_markdown"))
+    for r in QUERIES["layout_flatten"](spark, sf_dir).orderBy("doc_id", "ord").collect():
+        flat.setdefault(r["doc_id"], []).append((r["kind"], r["content"]))
+    assert set(flat) == set(lists) == set(tables) == set(texts)
+    for i, text in texts.items():
+        lines, words = text.split("\n"), [w.strip() for w in text.split(" ")]
+        cells = [w.replace("|", r"\|").replace("\n", " ") for w in words]
+        rows = [cells[k : k + 6] for k in range(0, len(cells), 6)] + [[r"a\|b", ""]]
+        width = max(map(len, rows))
+        rows = [row + [""] * (width - len(row)) for row in rows]
+        rows.insert(1, ["---"] * width)
+        assert lists[i] == "\n".join(f"- {w}" for w in words if w)
+        assert tables[i] == "\n".join(f"| {' | '.join(row)} |" for row in rows)
+        assert flat[i] == [("heading", lines[0].strip()), *(("text", x.strip()) for x in lines), ("text", lists[i]), ("table", tables[i])]
