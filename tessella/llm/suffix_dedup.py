@@ -1,4 +1,4 @@
-"""Removing repeated passages: anchors meet by hash, suffix arrays with interval trees settle what only partly agrees."""
+"""Removing repeated passages: windows meet under anchors; suffix arrays with interval trees give the repeats of each anchor."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +21,13 @@ GRAM = 32
 PASS_BYTES, SENT = 500_000, 400_000
 #: Bytes of segments in one suffix array.
 ARRAY_BYTES = 500_000
-#: Segments of one anchor beyond which its windows are compared by shuffles and not in one suffix array.
-HOT = 20_000
+#: Different segments of one anchor that one suffix array takes. Beyond, the anchor is split by more of the bytes around it.
+MANY = 1000
+#: Windows under one key, round by round: all that an anchor can have, then fewer with more bytes in common. The last round
+#: has one window to a key, all of whose bytes are in common, so nothing is left to split.
+WIDTHS = (LENGTH - GRAM + 1, 9, 1)
+#: Bytes of text whose anchors make a bucket, which a worker holds, and those of a partition, which is read bucket by bucket.
+BUCKET_BYTES, PART_BYTES = 32 << 20, 256 << 20
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _MAX = np.iinfo("i8").max
@@ -58,38 +62,44 @@ class _Rolling:
             return _mix((self.total[stop] - self.total[start]) * self.inverse[start])
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of several documents laid end to end (``ends``): per anchor its place, hash, first and last window, segment hash.
+def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int, width: int) -> tuple[np.ndarray, ...]:
+    """Of several documents laid end to end (``ends``): per run of windows its key, first and last window, segment hash.
 
-    A window takes the gram of the smallest hash in it, the first of equals. That depends on nothing but the window's
-    bytes, so equal windows take equal grams at equal distances. Neighbouring windows with one gram form a run; the
-    bytes under a run are its segment.
+    A window's anchor is the gram of the smallest hash in it, the first of equals. That depends on nothing but the window's
+    bytes, so equal windows have equal anchors at equal distances. Neighbouring windows with one anchor and distances in one
+    range of ``width`` form a run; the bytes under it are its segment. Its key hashes the bytes that all windows with such
+    distances share: the gram itself if ``width`` is all there is, the whole window if it is 1.
     """
     none = np.empty(0, "i8")
+    empty = none.astype("u8"), none, none, none.astype("u8")
     n = len(data)
     if n < length:
-        return none, none.astype("u8"), none, none, none.astype("u8")
+        return empty
     roll = _Rolling(data, _BASES[0])
     place = np.arange(n - gram + 1, dtype="u8")
     hashes = roll.of(place.astype("i8"), place.astype("i8") + gram)
     least = (hashes & np.uint64(0xFFFFFFFF00000000)) | place
-    width, span = length - gram + 1, 1
-    while span < width:  # minimum over `span` grams, doubled until it covers the window
-        step = min(span, width - span)
+    reach, span = length - gram + 1, 1
+    while span < reach:  # minimum over `span` grams, doubled until it covers the window
+        step = min(span, reach - span)
         least = np.minimum(least[:-step], least[step:])
         span += step
     window = np.arange(len(least))
     doc_end = np.repeat(ends, np.diff(ends, prepend=0))[: len(least)]
     window = window[window + length <= doc_end]
     if not len(window):
-        return none, none.astype("u8"), none, none, none.astype("u8")
+        return empty
     at = (least[window] & np.uint64(0xFFFFFFFF)).astype("i8")
-    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (window[1:] != window[:-1] + 1)]))
+    part = (at - window) // width
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (window[1:] != window[:-1] + 1) | (part[1:] != part[:-1])]))
     last = np.concatenate([first[1:], [len(at)]]) - 1
-    lo, hi, anchor = window[first], window[last], at[first]
+    lo, hi, anchor, part = window[first], window[last], at[first], part[first]
+    core = anchor - part * width
+    core_end = anchor - np.minimum(part * width + width - 1, length - gram) + length
     with np.errstate(over="ignore"):
+        key = roll.of(core, core_end) ^ _mix(part.astype("u8") * np.uint64(width))
         whole = _Rolling(data, _BASES[1]).of(lo, hi + length) ^ _mix(roll.of(lo, hi + length) + (anchor - lo).astype("u8") * np.uint64(1009))
-    return anchor, hashes[anchor], lo, hi, whole
+    return key, lo, hi, whole
 
 
 def _firsts(h: np.ndarray, s: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,20 +122,23 @@ def _merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nd
     return doc[new], start[new], reach[last] - doc[new] * wide
 
 
-_FOUND = "id long, th int, s int, e int, h long, hot boolean"
+_PACKED = "bucket int, blob binary, id long, th int, s int, e int"
+_FOUND = "id long, th int, base int, s int, e int, h long, many boolean"
 
 
-def _found(ids: np.ndarray, th: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray | None = None, hot: np.ndarray | None = None) -> pd.DataFrame:
-    """Stretches of documents: to be removed if ``h`` is -1, else still to be compared under that anchor."""
+def _found(ids: np.ndarray, th: np.ndarray, s: np.ndarray, e: np.ndarray, base: np.ndarray | None = None, h: np.ndarray | None = None, many: np.ndarray | None = None) -> pd.DataFrame:
+    """Stretches of documents: to be removed if ``h`` is -1, else still to be compared under that key."""
     n = len(ids)
-    return pd.DataFrame({"id": ids.astype("i8"), "th": th.astype("i4"), "s": s.astype("i4"), "e": e.astype("i4"), "h": np.full(n, -1, "i8") if h is None else h.astype("i8"), "hot": np.zeros(n, bool) if hot is None else hot})
+    blank = lambda x, kind, value: np.full(n, value, kind) if x is None else x.astype(kind)
+    return pd.DataFrame({"id": ids.astype("i8"), "th": th.astype("i4"), "base": blank(base, "i4", 0), "s": s.astype("i4"), "e": e.astype("i4"), "h": blank(h, "i8", -1), "many": blank(many, bool, False)})
 
 
-def _pack(ids: np.ndarray, th: np.ndarray, doc: np.ndarray, h: np.ndarray, s: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> bytes:
-    """Anchors of one bucket as bytes: the documents once, then column after column; of a hash 48 bits."""
-    used, doc = np.unique(doc, return_inverse=True)
+def _pack(owners: tuple[np.ndarray, ...], doc: np.ndarray, h: np.ndarray, s: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> bytes:
+    """Runs of one bucket, in the order of documents and places, as bytes: each document once, then column after column."""
+    used, counts = np.unique(doc, return_counts=True)
+    ids, th, base = (x[used] for x in owners)
     head = np.array([len(used), len(doc)], "<u4")
-    parts = (head, ids[used].astype("<i8"), th[used].astype("<i4"), h.astype("<u4"), (h >> np.uint64(32)).astype("<u2"), s.astype("<u8"), doc.astype("<u4"), lo.astype("<u4"), (hi - lo).astype("u1"))
+    parts = (head, ids.astype("<i8"), th.astype("<i4"), base.astype("<i4"), counts.astype("<u4"), h.astype("<u8"), s.astype("<u8"), lo.astype("<u4"), (hi - lo).astype("<u2"))
     return b"".join(p.tobytes() for p in parts)
 
 
@@ -139,13 +152,13 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
         at += out.nbytes
         return out
 
-    ids, th, low, high, s, doc, lo, more = take("<i8", docs), take("<i4", docs), take("<u4", n), take("<u2", n), take("<u8", n), take("<u4", n), take("<u4", n), take("u1", n)
+    ids, th, base, counts, h, s, lo, more = take("<i8", docs), take("<i4", docs), take("<i4", docs), take("<u4", docs), take("<u8", n), take("<u8", n), take("<u4", n), take("<u2", n)
     lo = lo.astype("i8")
-    return ids[doc], th[doc], low.astype("u8") | high.astype("u8") << np.uint64(32), s, lo, lo + more
+    return *(np.repeat(x, counts) for x in (ids, th, base)), h, s, lo, lo + more
 
 
-def gather(buckets: int, length: int, gram: int):
-    """For ``mapInPandas``: documents to packed anchors by bucket, and stretches that repeat within the task's documents.
+def gather(buckets: int, length: int, gram: int, width: int):
+    """For ``mapInPandas`` over (id, th, base, data): packed runs by bucket, and stretches that repeat within the task's rows.
 
     Of equal segments in one task only the first can be the first of all; the others are removed at once. So a
     passage that many documents share is sent once from each task, however often it occurs.
@@ -153,54 +166,53 @@ def gather(buckets: int, length: int, gram: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, ...]] = []
-        ids: list[int] = []
-        th: list[int] = []
+        owners: list[tuple[int, int, int]] = []
         texts: list[bytes] = []
         count = 0
 
         def look() -> int:
-            data = np.frombuffer(b"".join(texts), "u1")
             sizes = np.fromiter(map(len, texts), "i8", len(texts))
             ends = np.cumsum(sizes)
-            base = len(ids) - len(texts)
+            data = np.frombuffer(b"".join(texts), "u1")
+            before = len(owners) - len(texts)
             texts.clear()
-            _, h, lo, hi, s = anchors(data, ends, length, gram)
+            h, lo, hi, s = anchors(data, ends, length, gram, width)
             doc = np.searchsorted(ends, lo, "right")
             start = ends[doc] - sizes[doc] if len(doc) else doc
-            held.append((doc + base, h, s, lo - start, hi - start))
+            held.append((doc + before, h, s, lo - start, hi - start))
             return len(doc)
 
         def send() -> Iterator[pd.DataFrame]:
             doc, h, s, lo, hi = (np.concatenate(x) for x in zip(*held, strict=True))
-            own, tags = np.array(ids, "i8"), np.array(th, "i4")
-            rank = np.empty(len(own), "i8")
-            by = np.lexsort((tags, own))
-            fresh = np.concatenate([[True], (own[by][1:] != own[by][:-1]) | (tags[by][1:] != tags[by][:-1])]) if len(by) else np.empty(0, bool)
+            ids, th, base = (np.array(x, "i8") for x in zip(*owners, strict=True))
+            lo, hi = lo + base[doc], hi + base[doc]
+            by = np.lexsort((base, th, ids))
+            fresh = np.concatenate([[True], (ids[by][1:] != ids[by][:-1]) | (th[by][1:] != th[by][:-1]) | (base[by][1:] != base[by][:-1])])
+            rank = np.empty(len(ids), "i8")
             rank[by] = np.cumsum(fresh) - 1  # repeated rows are one document
-            of = by[fresh]
+            own = tuple(x[by[fresh]] for x in (ids, th, base))
             doc = rank[doc]
             order, new = _firsts(h, s, doc, lo)
             doc, h, s, lo, hi = (x[order] for x in (doc, h, s, lo, hi))
             same = np.concatenate([[False], ~new[1:] & (doc[1:] == doc[:-1]) & (lo[1:] == lo[:-1])]) if len(new) else new
             d, a, b = _merged(doc[~new & ~same], lo[~new & ~same], hi[~new & ~same] + length)
-            gone = _found(own[of[d]], tags[of[d]], a, b)
+            gone = pd.DataFrame({"id": own[0][d], "th": own[1][d], "s": a, "e": b})
             doc, h, s, lo, hi = (x[new] for x in (doc, h, s, lo, hi))
-            # anchors are the smallest hashes around, so their upper bits alone would fill the first buckets
-            bucket = ((_mix(h) >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype("i8")
-            by = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            rows = [(k, _pack(own[of], tags[of], doc[p], h[p], s[p], lo[p], hi[p])) for k in range(buckets) if len(p := by[edges[k] : edges[k + 1]])]
+            # keys of the first round are the smallest hashes around, so their upper bits alone would fill the first buckets
+            bucket = ((_mix(h) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype("i8")
+            by = np.lexsort((lo, doc, bucket))
+            edges = np.flatnonzero(np.concatenate([[True], bucket[by][1:] != bucket[by][:-1], [True]])) if len(by) else []
+            rows = [(bucket[p[0]], _pack(own, *(x[p] for x in (doc, h, s, lo, hi)))) for p in (by[i:j] for i, j in zip(edges, edges[1:], strict=False))]
             yield pd.DataFrame(rows, columns=["bucket", "blob"]).assign(id=0, th=0, s=0, e=0)
             # a stretch found here goes the way of a bucket too, dealt by its document
             yield gone.assign(bucket=gone["id"] % buckets, blob=None)[["bucket", "blob", "id", "th", "s", "e"]]
 
         pending = 0
         for batch in batches:
-            for i, t, text in zip(batch["id"].tolist(), batch["th"].tolist(), batch["text"].tolist(), strict=True):
-                ids.append(i)
-                th.append(t)
-                texts.append(text.encode())
-                pending += len(texts[-1])
+            for *owner, data in zip(*(batch[c].tolist() for c in ("id", "th", "base", "data")), strict=True):
+                owners.append(tuple(owner))
+                texts.append(data)
+                pending += len(data)
                 if pending >= PASS_BYTES:
                     count += look()
                     pending = 0
@@ -210,8 +222,7 @@ def gather(buckets: int, length: int, gram: int):
             if count >= SENT:
                 yield from send()
                 held.clear()
-                ids.clear()
-                th.clear()
+                owners.clear()
                 count = 0
         if held:
             yield from send()
@@ -219,38 +230,51 @@ def gather(buckets: int, length: int, gram: int):
     return run
 
 
-def settle(length: int, hot: int):
-    """For ``mapInPandas`` over whole buckets: of equal segments all but the first are removed; different segments of one anchor are left to compare."""
+def settle(length: int, most: int):
+    """For ``mapInPandas`` over rows sorted by bucket: of equal segments of a key, all but the first are removed.
+
+    Equal segments are one leaf of the key's suffix array, so each goes on once. A key with one segment is done; the segments
+    of the others are left to compare, and marked if they are more than ``most``.
+    """
+
+    def settled(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pd.DataFrame]:
+        ids, th, base, h, s, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(h, kind="stable")
+        again = h[order][1:] == h[order][:-1]
+        often = order[np.concatenate([[False], again]) | np.concatenate([again, [False]])]
+        ids, th, base, h, s, lo, hi = (x[often] for x in (ids, th, base, h, s, lo, hi))
+        order = np.lexsort((lo, th, ids, s, h))
+        ids, th, base, h, s, lo, hi = (x[order] for x in (ids, th, base, h, s, lo, hi))
+        if not len(h):
+            return
+        new_h = np.concatenate([[True], h[1:] != h[:-1]])
+        new = new_h | np.concatenate([[True], s[1:] != s[:-1]])
+        same = np.concatenate([[False], ~new[1:] & (ids[1:] == ids[:-1]) & (th[1:] == th[:-1]) & (lo[1:] == lo[:-1])])
+        gone = ~new & ~same
+        if gone.any():
+            yield _found(ids[gone], th[gone], lo[gone], hi[gone] + length)
+        key = np.cumsum(new_h) - 1
+        kinds = np.bincount(key, new)[key]
+        open_ = new & (kinds > 1)
+        if open_.any():
+            yield _found(ids[open_], th[open_], lo[open_], hi[open_] + length, base[open_], h[open_] & np.uint64(_MAX), kinds[open_] > most)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        at, held = -1, []
         for batch in batches:
             local = batch[batch["blob"].isna()]
             if len(local):
                 yield _found(*(local[c].to_numpy() for c in ("id", "th", "s", "e")))
             for k, blob in zip(batch["bucket"].tolist(), batch["blob"].tolist(), strict=True):
-                if blob is not None:
-                    held.setdefault(k, []).append(_unpack(blob))
-        for k in list(held):
-            ids, th, h, s, lo, hi = (np.concatenate(x) for x in zip(*held.pop(k), strict=True))
-            order = np.argsort(h, kind="stable")
-            again = h[order][1:] == h[order][:-1]
-            often = order[np.concatenate([[False], again]) | np.concatenate([again, [False]])] if len(order) else order
-            ids, th, h, s, lo, hi = (x[often] for x in (ids, th, h, s, lo, hi))
-            order = np.lexsort((lo, th, ids, s, h))
-            ids, th, h, s, lo, hi = (x[order] for x in (ids, th, h, s, lo, hi))
-            if not len(h):
-                continue
-            new_h = np.concatenate([[True], h[1:] != h[:-1]])
-            new = new_h | np.concatenate([[True], s[1:] != s[:-1]])
-            same = np.concatenate([[False], ~new[1:] & (ids[1:] == ids[:-1]) & (th[1:] == th[:-1]) & (lo[1:] == lo[:-1])])
-            gone = ~new & ~same
-            if gone.any():
-                yield _found(ids[gone], th[gone], lo[gone], hi[gone] + length)
-            kinds = np.bincount(np.cumsum(new_h) - 1, new)[np.cumsum(new_h) - 1]
-            open_ = new & (kinds > 1)
-            if open_.any():
-                yield _found(ids[open_], th[open_], lo[open_], hi[open_] + length, (h[open_] | np.uint64(k) << np.uint64(48)) & np.uint64(_MAX), kinds[open_] > hot)
+                if blob is None:
+                    continue
+                if k != at and held:
+                    yield from settled(held)
+                    held = []
+                at = k
+                held.append(_unpack(blob))
+        if held:
+            yield from settled(held)
 
     return run
 
@@ -382,51 +406,49 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumn("id", F.coalesce(F.col(id_col), F.lit(_MAX))).withColumn("text_", text).withColumn("th", F.hash("text_"))
 
 
-def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MANY, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """``(id, th, s, e)``: stretches of bytes whose every ``length``-byte string also starts earlier; they may overlap.
 
-    1. Each task hashes its documents and picks anchors, so that equal windows have equal anchors at equal distances.
-       Anchors travel to buckets of their hash, packed, and only the first of equal segments from each task.
-    2. A bucket removes all but the first of equal segments. Anchors with one segment are done; this is most of them.
-    3. Different segments of one anchor agree in part. Their bytes are fetched, and suffix arrays over whole anchors
-       find the maximal repeats among them. An anchor with more than ``hot`` segments would make one array large: its
-       windows are hashed, each window's first place is found by an aggregation, and a join removes the later ones.
+    In each round every task hashes its texts and finds runs of windows under keys, so that equal windows have equal keys
+    at equal distances. Runs travel to buckets of their key, packed, and only the first of equal segments from each task; a
+    bucket keeps the first of equal segments. The different segments of a key agree in part: their bytes are fetched, and
+    suffix arrays over whole keys give the maximal repeats among them, with all their places.
+
+    A key of more than ``most`` different segments would make an array large. Its segments are the texts of the next round,
+    whose keys take in more of the bytes around the anchor: fewer windows to a key, so that segments which agree in all of
+    them become one. No round leaves anything out, and the last has keys of whole windows.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = _keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text").select("id", "th", F.col("text_").alias("text"))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = texts.where(F.octet_length("text") >= length).mapInPandas(gather(buckets, length, gram), "bucket int, blob binary, id long, th int, s int, e int")
-    found = cut(packed.repartitionById(buckets, F.col("bucket")).mapInPandas(settle(length, hot), _FOUND))
-    gone = found.where("h = -1").select("id", "th", "s", "e")
-    asked = found.where("h <> -1").groupBy("id", "th").agg(F.collect_list(F.struct("h", "s", "e", "hot")).alias("asked"))
-
-    @F.pandas_udf("array<binary>")
-    def segments(texts: pd.Series, asked: pd.Series) -> pd.Series:
-        raw = [t.encode() for t in texts]
-        return pd.Series([[r[x["s"] : x["e"]] for x in a] for r, a in zip(raw, asked, strict=True)], dtype=object)
-
-    open_ = (
-        texts.join(asked, ["id", "th"])
-        .select("id", "th", F.inline(F.arrays_zip("asked", segments("text", "asked").alias("segment"))))
-        .select("id", "th", "asked.h", "asked.s", "asked.hot", "segment")
-    )
-    settled = open_.where("NOT hot").repartition(buckets, "h").sortWithinPartitions("h").mapInPandas(compare(length), _FOUND).select("id", "th", "s", "e")
-    gone = gone.union(settled)
-    if not found.where("hot").limit(1).count():
-        return gone
 
     @F.pandas_udf("array<binary>")
-    def windows(segments: pd.Series) -> pd.Series:
-        return pd.Series([[xxhash.xxh3_128_digest(x[i : i + length]) for i in range(len(x) - length + 1)] for x in segments], dtype=object)
-
-    each = cut(open_.where("hot").select("id", "th", "s", F.posexplode(windows("segment")).alias("i", "w")).selectExpr("id", "th", "s + i AS s", "w"))
-    least = cut(each.groupBy("w").agg(F.min(F.struct("id", "th", "s")).alias("least")))
-    late = each.join(least, "w").where("struct(id, th, s) > least").selectExpr("id", "th", "s", f"s + {length} AS e")
-    return gone.union(late)
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, as_text: bool = False) -> DataFrame:
+    def taken(data: pd.Series, base: pd.Series, asked: pd.Series) -> pd.Series:
+        return pd.Series([[d[x["s"] - b : x["e"] - b] for x in a] for d, b, a in zip(data, base, asked, strict=True)], dtype=object)
+
+    texts = _keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
+    pieces = texts.where(F.octet_length("text_") >= length).select("id", "th", F.lit(0).alias("base"), F.encode("text_", "utf-8").alias("data"))
+    volume = pieces.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // PART_BYTES))
+    buckets = max(parts, -(-volume // BUCKET_BYTES))
+    gone = []
+    for width in widths:
+        packed = pieces.mapInPandas(gather(buckets, length, gram, width), _PACKED)
+        found = cut(packed.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket").mapInPandas(settle(length, most), _FOUND))
+        asked = found.where("h <> -1").groupBy("id", "th", "base").agg(F.collect_list(F.struct("h", "s", "e", "many")).alias("asked"))
+        segments = cut(
+            pieces.join(asked, ["id", "th", "base"])
+            .select("id", "th", F.inline(F.arrays_zip("asked", taken("data", "base", "asked").alias("segment"))))
+            .select("id", "th", "asked.h", "asked.s", "asked.many", "segment")
+        )
+        compared = segments.where("NOT many").repartition(parts, "h").sortWithinPartitions("h").mapInPandas(compare(length), _FOUND)
+        gone += [found.where("h = -1").select("id", "th", "s", "e"), compared.select("id", "th", "s", "e")]
+        pieces = segments.where("many").select("id", "th", F.col("s").alias("base"), F.col("segment").alias("data"))
+        if not pieces.limit(1).count():
+            break
+    return functools.reduce(DataFrame.union, gone)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MANY, as_text: bool = False) -> DataFrame:
     """``docs`` with ``kept``, the remaining bytes, ``n_bytes``, ``n_removed`` and ``n_spans`` (maximal removed runs).
 
     A byte goes if a string of ``length`` bytes that covers it also starts earlier: in a document of smaller id, or
@@ -439,7 +461,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     result.
     """
     names = ("kept", "n_bytes", "n_removed", "n_spans")
-    gone = repeated_stretches(docs, id_col, text_col, length, gram, hot).groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("gone"))
+    widths = (length - gram + 1, *(w for w in WIDTHS[1:] if w <= length - gram))
+    gone = repeated_stretches(docs, id_col, text_col, length, gram, most, widths).groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("gone"))
 
     @F.pandas_udf(f"kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
     def apply(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:

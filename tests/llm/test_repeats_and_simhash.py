@@ -45,10 +45,19 @@ def removed(spark, docs, **kw):
     return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in S.remove_repeats(df, **kw).collect()}
 
 
-@pytest.mark.parametrize("length,gram,hot,letters", [(20, 6, 10**9, "abcdefé"), (20, 6, 2, "abcdefé"), (8, 3, 3, "ab"), (12, 12, 10**9, "ab")])
-def test_repeats_against_all_strings(spark, length, gram, hot, letters):
-    docs = made(random.Random(length + hot), 60, letters)
-    assert removed(spark, docs, length=length, gram=gram, hot=hot) == brute(docs, length)
+@pytest.mark.parametrize("length,gram,most,letters", [(20, 6, 10**9, "abcdefé"), (20, 6, 2, "abcdefé"), (8, 3, 3, "ab"), (12, 12, 10**9, "ab")])
+def test_repeats_against_all_strings(spark, length, gram, most, letters):
+    docs = made(random.Random(length + most), 60, letters)
+    assert removed(spark, docs, length=length, gram=gram, most=most) == brute(docs, length)
+
+
+@pytest.mark.parametrize("most", [0, 3, 10**9])
+def test_keys_of_many_segments_are_split(spark, most):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices("abcdefghijk ", k=n))
+    shared = [word(40), word(95), word(130), word(260)]
+    docs = [(i, word(rng.randint(0, 90)) + rng.choice(shared) + rng.choice(["", "x", word(30)]) + rng.choice(shared) + word(rng.randint(0, 90))) for i in range(120)]
+    assert removed(spark, docs, most=most) == brute(docs, 100)
 
 
 def test_repeats_in_the_corpus(spark, sf_dir):
