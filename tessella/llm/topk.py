@@ -16,17 +16,26 @@ from tessella.plans.lineage import cut
 K = 20
 SCALE = 64
 #: Vectors of a shard and queries of a block, about. Both numbers of rows are bounds, so a task's memory is one.
-SHARD, BLOCK = 8192, 1024
+SHARD, BLOCK = 4096, 1024
 #: Postings of the strongest term that the first threshold is taken from.
-SEEDS = 2048
+SEEDS = 512
+#: Dimensions probed before vectors are dropped.
+STEP = 4
+#: Sums beyond this do not fit a long on the way; such shards and queries are counted in Python's numbers.
+FITS = 2**62
+#: Tasks that search at most, so that shards of a very large table share tasks.
+TASKS = 8192
 #: Pairs of a shard and a block in an Arrow batch.
 BATCH_PAIRS = 16
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
-    """``floor(scale * x)`` of every component as double; null for a null vector or one with null or non-finite parts."""
+    """``floor(scale * x)`` of every component as double; null for a null vector or one with null or non-finite parts.
+
+    Codes are longs; a component beyond 2**63 / ``scale`` is held at the end of their range.
+    """
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    return F.when(vector.isNotNull() & fine, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("int")))
+    return F.when(vector.isNotNull() & fine, F.transform(vector, lambda x: F.floor(x.cast("double") * scale)))
 
 
 class Shard:
@@ -38,60 +47,88 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")  # places then break ties like ids do
-        self.ids, self.vectors = ids[order], vectors[order].astype("f4")
-        self.columns = np.ascontiguousarray(self.vectors.T)
-        self.lists = {(d, sign): np.flatnonzero(column * sign > 0) for d, column in enumerate(self.columns) for sign in (1, -1)}
-        self.most = {term: float(np.abs(self.columns[term[0]][rows]).max(initial=0)) for term, rows in self.lists.items()}
+        self.ids, vectors = ids[order], vectors[order]
+        self.columns = np.ascontiguousarray(vectors.T)
+        self.against = {1: np.minimum(self.columns, 0), -1: np.maximum(self.columns, 0)}  # of the other sign than a query's
+        self.lists = {(d, sign): rows for d, column in enumerate(self.columns) for sign in (1, -1) if len(rows := np.flatnonzero(column > 0 if sign > 0 else column < 0))}
+        self.values = {(d, sign): self.columns[d][rows] for (d, sign), rows in self.lists.items()}
+        self.most = {term: max(abs(int(values.max())), abs(int(values.min()))) for term, values in self.values.items()}
 
     def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the best ``k``, the query's own rows left out, ties to the smaller id.
 
-        A first threshold comes from the vectors that the strongest term holds. Terms are then taken from the strongest
-        down; those whose bounds together stay below the threshold are not essential: a vector in none of the
-        essential lists cannot win. Vectors of essential lists are scored on essential dimensions; those that could
-        still reach the threshold are probed in the others, strongest first, and dropped once they cannot.
+        A first threshold comes from the first vectors of the strongest term's list. Terms are split, strongest first: those
+        whose bounds together stay below the threshold are not essential, as a vector in none of the essential lists cannot
+        reach it. Essential lists are traversed, each posting adding to its vector's sum. Vectors whose sum and the bounds
+        of the other terms reach the threshold are probed: first for what essential dimensions take away, then in the
+        others, strongest first, and dropped once they cannot reach it any more.
         """
-        n = len(self.ids)
-        weights = query[: len(self.columns)].astype("f4")
-        dims = np.flatnonzero(weights)
-        bounds = {int(d): abs(float(weights[d])) * self.most[int(d), int(np.sign(weights[d]))] for d in dims}
+        weights = {d: w for d, w in enumerate(query[: len(self.columns)].tolist()) if w}
+        terms = {d: (d, 1 if w > 0 else -1) for d, w in weights.items()}
+        bounds = {d: abs(w) * self.most.get(terms[d], 0) for d, w in weights.items()}
+        reach = sum(abs(w) * max(self.most.get((d, 1), 0), self.most.get((d, -1), 0)) for d, w in weights.items())
+        if reach >= FITS:
+            return self._in_full(query_id, weights, k)
         ranked = sorted(bounds, key=lambda d: (-bounds[d], d))
+        rest = np.cumsum([0, *(bounds[d] for d in reversed(ranked))])[::-1]  # bound on what dimension i and all after it add
         others = self.ids != query_id
-        if others.sum() <= k or not ranked:
-            chosen, scores = np.flatnonzero(others), (self.vectors @ np.pad(weights, (0, self.vectors.shape[1] - len(weights))))[others]
-            best = np.lexsort((chosen, -scores))[:k]
-            return self.ids[chosen[best]], scores[best]
-        full = np.zeros(self.vectors.shape[1], "f4")
-        full[ranked] = weights[ranked]
-        first = self.lists[ranked[0], int(np.sign(weights[ranked[0]]))]
-        first = first[others[first]][:SEEDS]
-        threshold = float(np.partition(self.vectors[first] @ full, -k)[-k]) if len(first) >= k else -np.inf
-        rest = np.cumsum([bounds[d] for d in reversed(ranked)])[::-1]  # bound on what dimension i and all after it add
-        essential = max(1, int((rest >= threshold).sum()))  # ties must still be found
-        if essential == len(ranked) and threshold <= 0:
-            alive = others  # a vector in no list at all may win
-        else:
-            alive = np.zeros(n, bool)
-            for d in ranked[:essential]:
-                alive[self.lists[d, int(np.sign(weights[d]))]] = True
-            alive &= others
-        full[ranked[essential:]] = 0
-        candidates = np.flatnonzero(alive)
-        scores = (self.vectors @ full)[candidates]
+        sums, alive = np.zeros(len(self.ids), "i8"), others.copy()
+        threshold = self._threshold(weights, terms[ranked[0]], others, k) if ranked else None
+        # without a positive threshold a vector in no list at all may be among the best
+        essential = len(ranked) if threshold is None or threshold <= 0 else int((rest[:-1] >= threshold).sum())
+        if threshold is not None and threshold > 0:
+            alive[:] = False
+        for d in ranked[:essential]:
+            rows = self.lists.get(terms[d])
+            if rows is not None:
+                sums[rows] += weights[d] * self.values[terms[d]]
+                alive[rows] = True
+        found = np.flatnonzero(alive & others)
+        sums = sums[found]
+
+        def competitive(i: int) -> None:
+            nonlocal found, sums
+            if threshold is not None:
+                still = sums + rest[i] >= threshold
+                found, sums = found[still], sums[still]
+
+        competitive(essential)
+        for n, d in enumerate(ranked[:essential], 1):
+            sums = sums + weights[d] * self.against[terms[d][1]][d][found]
+            if n % STEP == 0 or n == essential:
+                competitive(essential)
         for i in range(essential, len(ranked)):
-            still = scores + rest[i] >= threshold
-            candidates, scores = candidates[still], scores[still]
-            scores = scores + self.columns[ranked[i]][candidates] * weights[ranked[i]]
-        if len(candidates) > k:
-            cut_at = np.partition(scores, -k)[-k]
-            keep = scores >= cut_at
-            candidates, scores = candidates[keep], scores[keep]
-        best = np.lexsort((candidates, -scores))[:k]
-        return self.ids[candidates[best]], scores[best]
+            sums = sums + weights[ranked[i]] * self.columns[ranked[i]][found]
+            competitive(i + 1)
+        if len(found) > k:
+            keep = sums >= np.partition(sums, -k)[-k]
+            found, sums = found[keep], sums[keep]
+        best = np.lexsort((found, -sums))[:k]
+        return self.ids[found[best]], sums[best]
+
+    def _threshold(self, weights: dict[int, int], strongest: tuple[int, int], others: np.ndarray, k: int) -> int | None:
+        """A score that at least ``k`` vectors reach; none if the strongest term's list is too short to tell."""
+        rows = self.lists.get(strongest, np.empty(0, "i8"))
+        rows = rows[others[rows]][: max(SEEDS, k)]
+        if len(rows) < k:
+            return None
+        sums = np.zeros(len(rows), "i8")
+        for d, w in weights.items():
+            sums += w * self.columns[d][rows]
+        return int(np.partition(sums, -k)[-k])
+
+    def _in_full(self, query_id: int, weights: dict[int, int], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """All scores in Python's numbers, for components so large that longs would overflow on the way."""
+        sums = [0] * len(self.ids)
+        for d, w in weights.items():
+            sums = [s + w * x for s, x in zip(sums, self.columns[d].tolist(), strict=True)]
+        sums = [min(max(s, -(2**63)), 2**63 - 1) for s in sums]
+        best = sorted((i for i in range(len(sums)) if self.ids[i] != query_id), key=lambda i: (-sums[i], i))[:k]
+        return self.ids[best], np.array([sums[i] for i in best], "i8")
 
 
 def _matrix(codes: list) -> np.ndarray:
-    out = np.zeros((len(codes), max(map(len, codes), default=0)), "<i4")
+    out = np.zeros((len(codes), max(map(len, codes), default=0)), "<i8")
     for i, c in enumerate(codes):
         out[i, : len(c)] = c
     return out
@@ -111,8 +148,8 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = S
 
     Vectors that are null or hold null or non-finite components take no part, nor do null ids. An id names a vector:
     repeated rows (same id and components) count once, and rows of the query's id are its own. Missing components of
-    shorter vectors count as zero. Ties go to the smaller id. If fewer than ``k`` other rows exist, all are returned. Scores are
-    exact while they stay below 2**24. An empty table gives an empty result.
+    shorter vectors count as zero. Ties go to the smaller id. If fewer than ``k`` other rows exist, all are returned. Scores
+    are integers without rounding; one that no long can hold counts as the end of a long's range. Further columns are not used, whatever their names. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     rows = cut(
@@ -139,15 +176,17 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = S
         for batch in batches:
             for r in batch.itertuples(index=False):
                 if r.shard != at:
-                    at, index = r.shard, Shard(np.frombuffer(r.ids, "<i8"), np.frombuffer(r.codes, "<i4").reshape(-1, r.dims))
+                    at, index = r.shard, Shard(np.frombuffer(r.ids, "<i8"), np.frombuffer(r.codes, "<i8").reshape(-1, r.dims))
                 out = []
-                for q, v in zip(np.frombuffer(r.q_ids, "<i8").tolist(), np.frombuffer(r.q_codes, "<i4").reshape(-1, r.q_dims), strict=True):
+                for q, v in zip(np.frombuffer(r.q_ids, "<i8").tolist(), np.frombuffer(r.q_codes, "<i8").reshape(-1, r.q_dims), strict=True):
                     ids, scores = index.top(q, v, k)
                     out.append(pd.DataFrame({"query_id": q, "vec_id": ids, "score": scores.astype("i8")}))
                 if out:
                     yield pd.concat(out)
 
-    pairs = asked.join(held, "shard").select("shard", "ids", "codes", "dims", "q_ids", "q_codes", "q_dims")
+    # a number of partitions that is asked for is kept: shards are searched side by side even where their bytes are few
+    tasks = min(shards, TASKS)
+    pairs = asked.repartition(tasks, "shard").join(held.repartition(tasks, "shard"), "shard").select("shard", "ids", "codes", "dims", "q_ids", "q_codes", "q_dims")
     with arrow_rows(spark, BATCH_PAIRS):  # a row of these is a whole shard and a whole block
         found = cut(pairs.mapInPandas(search, "query_id long, vec_id long, score long"))
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
