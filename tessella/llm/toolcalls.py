@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
@@ -55,72 +57,118 @@ def problems(value: object, schema: Mapping, at: str = "$") -> list[str]:
     return found
 
 
+_ALONE = re.compile("[\ud800-\udfff]")
+
+
+def utf8(text: str) -> str:
+    """``text`` with each surrogate that stands alone, which UTF-8 cannot hold, written as a JSON escape."""
+    return _ALONE.sub(lambda found: f"\\u{ord(found[0]):04x}", text)
+
+
 def canonical(value: object) -> str:
-    """JSON with sorted keys, no spaces and no needless escapes."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """JSON with sorted keys, no spaces and no escapes but those that JSON or UTF-8 needs."""
+    return utf8(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
 
 
 def _no_constants(name: str) -> None:
     raise ValueError(name)
 
 
-def parse(text: str | None) -> tuple[object, str | None]:
+def _finite(digits: str) -> float:
+    number = float(digits)
+    if not math.isfinite(number):
+        raise ValueError(digits)
+    return number
+
+
+def checked(text: str | None, schema: Mapping | None) -> tuple[object, list[str]]:
+    """The value of JSON ``text`` and what is wrong with it; no value for what is not JSON, or no finite number, or nested
+    deeper than Python follows."""
     try:
-        return json.loads(text or "", parse_constant=_no_constants), None
-    except ValueError:
-        return None, "$: not JSON"
+        value = json.loads(text or "", parse_constant=_no_constants, parse_float=_finite)
+        canonical(value)
+        return value, ["unknown name"] if schema is None else problems(value, schema)
+    except (ValueError, RecursionError):
+        return None, ["$: not JSON"]
+
+
+def _with(left: DataFrame, right: DataFrame, call: str, prefix: str, how: str = "inner") -> DataFrame:
+    """``left`` with the row of ``right`` (conv_id, call_id and more, unique) for its column ``call``; the new columns prefixed."""
+    right = right.select([F.col(c).alias(prefix + c) for c in right.columns])
+    return left.join(right, F.col("conv_id").eqNullSafe(F.col(f"{prefix}conv_id")) & (F.col(call) == F.col(f"{prefix}call_id")), how)
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """``calls`` (conv_id, call_id, parent_id) with ``level``: 0 for a call without a known parent, else its parent's plus 1.
+    """``calls`` (conv_id, call_id, parents) with ``level``: 0 for a call without a known parent, else its highest parent's plus 1.
 
-    Pointer jumping: each round doubles the distance that is known, so a chain of n calls takes log2(n) joins. A call
-    whose way up still has no end after as many rounds as there are calls to double over stands on or behind a cycle: its
-    level is null.
+    Ways up through calls with one parent are followed by pointer jumping to the next call with none or with several: each
+    round doubles the distance that is known, so a chain of n calls takes log2(n) joins. What is left is a small graph of
+    the calls with several parents, each of which waits until those above it have their levels, a round a layer. A call on
+    or behind a cycle never gets its turn: its level is null.
     """
-    keys = calls.select("conv_id", "call_id", F.col("parent_id").alias("up"))
-    known = keys.select(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_id"))
+    keys = calls.select("conv_id", "call_id")
+    edges = cut(_with(calls.select("conv_id", "call_id", F.explode("parents").alias("up")).distinct(), keys, "up", "k_", "left_semi"))
+    above = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.min("up").alias("up"))
+    one = F.coalesce(F.col("a_n") == 1, F.lit(False))
     way = cut(
-        keys.join(known, F.col("conv_id").eqNullSafe(F.col("k_conv")) & (F.col("up") == F.col("k_id")), "left")
-        .select("conv_id", "call_id", F.col("k_id").alias("up"), F.when(F.col("k_id").isNotNull(), 1).otherwise(0).cast("long").alias("dist"))
+        _with(keys, above, "call_id", "a_", "left").select(
+            "conv_id", "call_id", F.coalesce(F.col("a_n") > 1, F.lit(False)).alias("joint"), F.when(one, F.col("a_up")).otherwise(F.col("call_id")).alias("end"), one.cast("long").alias("dist"), (~one).alias("done")
+        )
     )
     reach, total = 1, way.count()
-    while reach <= 2 * total and way.where("up IS NOT NULL").limit(1).count():
-        above = way.select(F.col("conv_id").alias("a_conv"), F.col("call_id").alias("a_id"), F.col("up").alias("a_up"), F.col("dist").alias("a_dist"))
-        way = cut(
-            way.join(above, F.col("conv_id").eqNullSafe(F.col("a_conv")) & (F.col("up") == F.col("a_id")), "left")
-            .select("conv_id", "call_id", F.col("a_up").alias("up"), (F.col("dist") + F.coalesce("a_dist", F.lit(0))).alias("dist"))
-        )
+    while reach <= 2 * total and way.where("NOT done").limit(1).count():
+        step = way.select("conv_id", "call_id", "end", "dist", "done")
+        way = cut(_with(way, step, "end", "s_").select("conv_id", "call_id", "joint", F.col("s_end").alias("end"), (F.col("dist") + F.when(F.col("done"), 0).otherwise(F.col("s_dist"))).alias("dist"), F.col("s_done").alias("done")))
         reach *= 2
-    level = way.select(F.col("conv_id").alias("l_conv"), F.col("call_id").alias("l_id"), F.when(F.col("up").isNull(), F.col("dist")).alias("level"))
-    return calls.join(level, F.col("conv_id").eqNullSafe(F.col("l_conv")) & (F.col("call_id") == F.col("l_id"))).drop("l_conv", "l_id")
+    # roots have level 0; a call with several parents has one above the highest of theirs
+    ends = cut(way.where("NOT joint AND done AND call_id = end").select("conv_id", "call_id", F.lit(0).cast("long").alias("level")))
+    open_ = way.where("joint").select("conv_id", "call_id")
+    if open_.limit(1).count():
+        up = _with(edges, open_, "call_id", "o_", "left_semi")
+        up = cut(_with(up, way.select("conv_id", "call_id", "end", "dist", "done"), "up", "w_").select("conv_id", "call_id", F.when(F.col("w_done"), F.col("w_end")).alias("end"), (F.col("w_dist") + 1).alias("dist")))
+        while True:
+            settled = cut(
+                _with(_with(up, ends, "call_id", "g_", "left_anti"), ends, "end", "e_", "left")
+                .groupBy("conv_id", "call_id")
+                .agg(F.max(F.col("dist") + F.col("e_level")).alias("level"), F.count_if(F.col("e_level").isNull()).alias("waits"))
+                .where("waits = 0")
+                .select("conv_id", "call_id", "level")
+            )
+            if not settled.limit(1).count():
+                break
+            ends = cut(ends.union(settled))
+    level = _with(way.where("done").select("conv_id", "call_id", "end", "dist"), ends, "end", "e_").select("conv_id", "call_id", (F.col("dist") + F.col("e_level")).alias("level"))
+    return _with(calls, level, "call_id", "l_", "left").drop("l_conv_id", "l_call_id").withColumnRenamed("l_level", "level")
 
 
 def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:
     """One row per call, and per result without a call, of ``messages`` (conv_id, turn, role, text).
 
     An assistant's text that is JSON with ``tool_calls`` makes calls (id, name, arguments, and ``after``, the id of the
-    call it builds on); a tool's text that is JSON with ``tool_call_id`` is a result (``content``). Calls and results
+    call it builds on, or a list of ids); a tool's text that is JSON with ``tool_call_id`` is a result (``content``). Calls and results
     meet in a hash join on conversation and id, each id reduced before to its first row in the order of turns, so
     repeated rows and a hot id cost nothing; ``copies`` counts them. ``level`` is the place in topological order (see
-    ``levels``): in the order of level, turn and id every call follows the one it builds on. Arguments are validated
+    ``levels``): in the order of level, turn and id every call follows those it builds on. Arguments are validated
     against the schema of the call's name; ``errors`` lists what is wrong, ``valid`` tells if nothing is. ``json`` is
     canonical: equal calls have equal bytes.
 
     ``status`` is linked, unanswered (no result) or orphan (a result without a call: no level, name null, not valid).
     Null or other texts, and calls without id, are plain messages and give no row; null conversations match each other.
-    An unknown name, or arguments that are no JSON, is an error of the call. Further columns are not used. An empty table
+    An unknown name is an error of the call; so are arguments that are no JSON, hold a number that is not finite, or nest
+    deeper than Python follows: they are written as null. Surrogates that stand alone stay JSON escapes. Further columns are not used. An empty table
     gives an empty result.
     """
     small_batches(messages.sparkSession)
     call = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,after:string>>>"
+    after = F.col("c.after")
+    parents = F.when(after.isNull(), F.array().cast("array<string>")).when(after.startswith("["), F.coalesce(F.from_json(after, "array<string>"), F.array(after))).otherwise(F.array(after))
     calls = (
         messages.where("role = 'assistant' AND text LIKE '%\"tool_calls\"%'")
         .select("conv_id", "turn", F.inline(F.from_json("text", call)["tool_calls"]))
         .where("id IS NOT NULL")
         .groupBy("conv_id", "id")
         .agg(F.min(F.struct("turn", "name", "arguments", "after")).alias("c"), F.count("*").alias("copies"))
-        .select("conv_id", F.col("id").alias("call_id"), F.col("c.turn").alias("call_turn"), "c.name", "c.arguments", F.col("c.after").alias("parent_id"), "copies")
+        .select("conv_id", F.col("id").alias("call_id"), F.col("c.turn").alias("call_turn"), "c.name", "c.arguments", parents.alias("parents"), "copies")
     )
     results = (
         messages.where("role = 'tool' AND text LIKE '%\"tool_call_id\"%'")
@@ -131,7 +179,7 @@ def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping]) -> Data
         .select(F.col("conv_id").alias("r_conv"), F.col("id").alias("r_id"), F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"), F.col("n").alias("r_copies"))
     )
     ordered = levels(cut(calls))
-    both = ordered.join(results, F.col("conv_id").eqNullSafe(F.col("r_conv")) & (F.col("call_id") == F.col("r_id")), "full")
+    both = ordered.join(results.hint("shuffle_hash"), F.col("conv_id").eqNullSafe(F.col("r_conv")) & (F.col("call_id") == F.col("r_id")), "full")
     known = dict(schemas)
 
     @F.pandas_udf("errors string, json string")
@@ -139,9 +187,8 @@ def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping]) -> Data
         for ids, names, arguments, contents, statuses in batches:
             rows = []
             for i, name, given, content, status in zip(ids, names, arguments, contents, statuses, strict=True):
-                value, wrong = parse(given) if status != "orphan" else (None, "no call")
-                found = [wrong] if wrong else problems(value, known[name]) if name in known else ["unknown name"]
-                rows.append(("; ".join(found), canonical({"arguments": value, "id": i, "name": name, "result": content})))
+                value, found = checked(given, known.get(name)) if status != "orphan" else (None, ["no call"])
+                rows.append((utf8("; ".join(found)), canonical({"arguments": value, "id": i, "name": name, "result": content})))
             yield pd.DataFrame(rows, columns=["errors", "json"])
 
     out = both.select(

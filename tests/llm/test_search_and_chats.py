@@ -9,11 +9,15 @@ from tessella.llm import topk as K
 from tessella.llm.queries import QUERIES, TOOL_SCHEMAS, tool_messages
 
 
+def held(x):
+    return min(max(x, -(2**63)), 2**63 - 1)
+
+
 def brute(rows, queries, k):
     out = []
     for q, v in rows:
         if q in queries:
-            scored = sorted(((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in rows if i != q))
+            scored = sorted(((-held(sum(a * b for a, b in zip(v, w, strict=False))), i) for i, w in rows if i != q))
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -32,6 +36,27 @@ def test_maxscore_against_all_products(dims, spread, k):
         assert sorted(got) == brute(rows, {i for i, _ in rows}, k)
 
 
+def test_scores_are_whole_numbers(spark):
+    ids, scores = K.Shard(np.array([0, 1, 9]), np.array([[6401, 0], [6400, 1], [6401, 0]])).top(9, np.array([6401, 1]), 2)
+    assert (ids.tolist(), scores.tolist()) == ([0, 1], [40972801, 40966401])
+    rng = random.Random(4)
+    for spread in (100.0, 1e9, 1e12, 1e300):
+        rows = [(i, [rng.choice([rng.uniform(-spread, spread), rng.uniform(-1, 1)]) for _ in range(4)]) for i in range(60)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        codes = [(i, [held(int(np.floor(64 * x))) for x in v]) for i, v in rows]
+        got = sorted(tuple(r) for r in K.exact_top_k(df, df["vec_id"] % 20 == 0).select("query_id", "rank", "vec_id", "score").collect())
+        assert got == brute(codes, {0, 20, 40}, 20)
+
+
+def test_postings_are_skipped():
+    rng = random.Random(9)  # few vectors hold the strong term, so lists of weak terms are not traversed
+    vectors = [[1000 if i % 50 == 0 else 0, *(rng.randint(0, 3) for _ in range(5))] for i in range(2000)]
+    shard = K.Shard(np.arange(2000), np.array(vectors))
+    shard.lists = {t: rows for t, rows in shard.lists.items() if t[0] == 0}
+    ids, _ = shard.top(-1, np.array([5, 1, 1, 1, 1, 1]), 10)
+    assert ids.tolist() == [i for _, _, i, _ in brute([(-1, [5, 1, 1, 1, 1, 1]), *enumerate(vectors)], {-1}, 10)]
+
+
 def test_search_of_odd_rows(spark):
     rng = random.Random(7)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(6)], "x") for i in range(300)]
@@ -54,6 +79,26 @@ def result(i, content="r"):
     return json.dumps({"tool_call_id": i, "content": content})
 
 
+def test_levels_of_calls_with_several_parents(spark):
+    rng, rows, want = random.Random(2), [], {}
+    for n in range(60):
+        ups = rng.sample(range(n), min(n, rng.choice((0, 1, 1, 2, 3))))
+        rows.append((None if n < 0 else 1, n, "assistant", call(f"c{n}", after=[f"c{u}" for u in ups] if len(ups) != 1 else f"c{ups[0]}")))
+        want[f"c{n}"] = 1 + max((want[f"c{u}"] for u in ups), default=-1)
+    rows += [(2, 0, "assistant", call("x", after=["y", "gone"])), (2, 1, "assistant", call("y", after="x")), (2, 2, "assistant", call("z", after=["r", "x"])), (2, 3, "assistant", call("r", after="[")), (None, 1, "assistant", call("n", after=["m", "m"])), (None, 2, "assistant", call("m"))]
+    got = C.link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), TOOL_SCHEMAS).collect()
+    assert {r["call_id"]: r["level"] for r in got} == want | {"x": None, "y": None, "z": None, "r": 0, "m": 0, "n": 1}
+
+
+def test_odd_arguments(spark):
+    odd = ['{"limit":1e999}', "[" * 100_000 + "]" * 100_000, '{"query":"\\ud800","limit":1}', '{"\\udfff":1}', "NaN", "1" * 5000, "", "null", None]
+    rows = [(1, n, "assistant", call(f"c{n}", arguments=a)) for n, a in enumerate(odd)] + [(1, 90, "tool", json.dumps({"tool_call_id": "c0", "content": "\ud83d x"}))]
+    got = {r["call_id"]: r for r in C.link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), TOOL_SCHEMAS).collect()}
+    assert [got[f"c{n}"]["valid"] for n in range(len(odd))] == [n == 2 for n in range(len(odd))]
+    assert all(got[f"c{n}"]["errors"] == "$: not JSON" for n in (0, 1, 4, 5, 6, 8))
+    assert '"query":"\\ud800"' in got["c2"]["json"] and "\\udfff" in got["c3"]["errors"] and json.loads(got["c1"]["json"])["arguments"] is None
+
+
 def test_linking(spark):
     rows = [
         (1, 5, "assistant", call("c", after="b")),
@@ -88,8 +133,8 @@ def test_linking(spark):
 
 
 def test_long_chain_and_hub(spark):
-    calls = [(1, f"c{i}", f"c{i - 1}" if i else None) for i in range(300)] + [(2, f"h{i}", "h0" if i else None) for i in range(300)]
-    got = {(r["conv_id"], r["call_id"]): r["level"] for r in C.levels(spark.createDataFrame(calls, "conv_id long, call_id string, parent_id string")).collect()}
+    calls = [(1, f"c{i}", [f"c{i - 1}"] if i else []) for i in range(300)] + [(2, f"h{i}", ["h0"] if i else []) for i in range(300)]
+    got = {(r["conv_id"], r["call_id"]): r["level"] for r in C.levels(spark.createDataFrame(calls, "conv_id long, call_id string, parents array<string>")).collect()}
     assert all(got[1, f"c{i}"] == i for i in range(300)) and all(got[2, f"h{i}"] == (i > 0) for i in range(300))
 
 
