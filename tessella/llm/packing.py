@@ -48,15 +48,16 @@ def encode(path: str, text: str) -> bytes:
     return encoding.encode_to_numpy(text, allowed_special=allowed, disallowed_special=()).astype("<u4").tobytes()
 
 
-def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Bins of positions in ``lengths``: longest first, each into the fullest bin that has room for it.
+def best_fit(lengths: list[int], capacity: int, longest_first: bool = False) -> list[list[int]]:
+    """Bins of positions in ``lengths``: in the order given or longest first, each into the fullest bin that has room for it.
 
     Bins are kept by their room; the bits of one number tell which rooms exist.
     """
     bins: list[list[int]] = []
     by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
     rooms = 0
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+    order = range(len(lengths))
+    for i in sorted(order, key=lambda i: (-lengths[i], i)) if longest_first else order:
         n = lengths[i]
         fitting = rooms >> n
         if fitting:
@@ -73,72 +74,110 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Fewer bins, by exchanges that each raise the sum of squared fills.
-
-    The emptiest bin that is not full gives to fuller ones: it moves a piece into the tightest room, swaps one of its
-    pieces for a shorter one, or two of them for one shorter than both together, always the exchange that moves most.
-    An emptied bin goes. A bin that no exchange can lower is left, and the next emptiest is tried. It ends at the lower
-    bound on the number of bins, or when no bin is left to try. Every exchange moves at least one token to a fuller bin,
-    so each bin's turn ends.
-    """
-    size = np.array(lengths, "i8")
-    where = np.empty(len(lengths), "i8")
-    for b, items in enumerate(bins):
-        where[items] = b
-    fill = np.bincount(where, size, len(bins)).astype("i8")
-    held, alive, tried = [set(x) for x in bins], len(bins), np.zeros(len(bins), bool)
-    least = -(-int(size.sum()) // capacity)
-
-    def put(i: int, b: int) -> None:
-        held[where[i]].discard(i)
-        fill[where[i]] -= size[i]
-        where[i] = b
-        held[b].add(i)
-        fill[b] += size[i]
-
-    def exchange(s: int) -> bool:
-        best = (0, (), -1, -1)  # tokens moved, pieces of s, piece of the other bin, the other bin
-        room = np.where((fill >= fill[s]) & (fill > 0), capacity - fill, 0)
+class _Search:
+    """Bins and the pieces in them, while pieces are exchanged. Pieces of one length are alike."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.capacity, self.size = capacity, np.array(lengths, "i8")
+        self.where = np.empty(len(lengths), "i8")
+        for b, items in enumerate(bins):
+            self.where[items] = b
+        self.fill = np.bincount(self.where, self.size, len(bins)).astype("i8")
+        self.held = [set(x) for x in bins]
+
+    def put(self, i: int, b: int) -> None:
+        old = self.where[i]
+        self.held[old].discard(i)
+        self.fill[old] -= self.size[i]
+        self.where[i] = b
+        self.held[b].add(i)
+        self.fill[b] += self.size[i]
+
+    def of_length(self, b: int, length: int) -> int:
+        return min(i for i in self.held[b] if self.size[i] == length)
+
+    def exchange(self, s: int) -> bool:
+        """The exchange that moves most tokens from bin ``s`` to one as full or fuller; False if there is none.
+
+        A bin that holds a piece of length ``b`` and has room ``r`` can take a sum ``g`` for it if ``b < g <= b + r``. So of each
+        length only the bin with most room counts, and of the lengths the smallest for which ``g <= b + r`` moves most.
+        """
+        fill, size = self.fill, self.size
+        room = np.where(fill >= fill[s], self.capacity - fill, 0)
         room[s] = 0
-        own = sorted(held[s])
-        for i in own:
-            fits = np.flatnonzero(room >= size[i])
-            if len(fits) and size[i] > best[0]:
-                best = (int(size[i]), (i,), -1, int(fits[np.argmin(room[fits])]))
-        space = room[where]
-        sets = [(i,) for i in own] + [(i, j) for a, i in enumerate(own) for j in own[a + 1 :]]
-        for given in sets:
-            moved = sum(int(size[i]) for i in given) - size
-            gain = np.where((moved > 0) & (moved <= space), moved, 0)
-            at = int(np.argmax(gain))
-            if gain[at] > best[0]:
-                best = (int(gain[at]), given, at, int(where[at]))
-        if not best[0]:
+        most = int(room.max())
+        if not most:
             return False
-        _, given, taken, other = best
-        if taken >= 0:
-            put(taken, s)
-        for i in given:
-            put(i, other)
+        own, counts = np.unique(size[list(self.held[s])], return_counts=True)
+        moved, given, taken = 0, (), 0
+        fitting = own[own <= most]
+        if len(fitting):
+            moved, given = int(fitting[-1]), (int(fitting[-1]),)
+        i, j = np.triu_indices(len(own))
+        pairs = (i < j) | (counts[i] > 1)
+        i, j = i[pairs], j[pairs]
+        sums = np.concatenate([own, own[i] + own[j]])
+        near = np.flatnonzero(room[self.where] > 0)
+        best_room = np.zeros(self.capacity + 1, "i8")
+        np.maximum.at(best_room, size[near], room[self.where[near]])
+        has = np.flatnonzero(best_room)
+        if len(has):
+            k = np.searchsorted(np.maximum.accumulate(has + best_room[has]), sums)
+            gain = sums - has[np.minimum(k, len(has) - 1)]
+            gain[(k == len(has)) | (gain < 0)] = 0
+            top = int(np.argmax(gain))
+            if gain[top] > moved:
+                moved, taken = int(gain[top]), int(has[k[top]])
+                given = (int(own[top]),) if top < len(own) else (int(own[i[top - len(own)]]), int(own[j[top - len(own)]]))
+        if not moved:
+            return False
+        if taken:
+            other = int(self.where[near[(size[near] == taken) & (room[self.where[near]] == best_room[taken])].min()])
+            self.put(self.of_length(other, taken), s)
+        else:
+            other = int(np.argmin(np.where(room >= moved, room, self.capacity + 1)))
+        for length in given:
+            self.put(self.of_length(s, length), other)
         return True
 
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Fewer bins, by exchanges that each raise the sum of squared fills.
+
+    The emptiest bin that is not full gives to bins as full or fuller: it moves a piece into the tightest room, exchanges one
+    of its pieces for a shorter one, or two for one shorter than both together, always the exchange that moves most. An
+    emptied bin goes. A bin that no exchange can lower is left, and the next emptiest is tried. Rounds over all bins go on
+    while they empty some, or until the lower bound on the number of bins is met. Every exchange moves at least one token to
+    a fuller bin, so each bin's turn ends.
+    """
+    state = _Search(bins, lengths, capacity)
+    least = -(-int(state.size.sum()) // capacity)
+    alive, before, tried = len(bins), len(bins), np.zeros(len(bins), bool)
     while alive > least:
-        open_bins = np.flatnonzero(~tried & (fill > 0) & (fill < capacity))
+        open_bins = np.flatnonzero(~tried & (state.fill > 0) & (state.fill < capacity))
         if not len(open_bins):
-            break
-        s = int(open_bins[np.argmin(fill[open_bins])])
-        while held[s] and exchange(s):
+            if alive == before:
+                break
+            before, tried = alive, np.zeros(len(bins), bool)
+            continue
+        s = int(open_bins[np.argmin(state.fill[open_bins])])
+        while state.held[s] and state.exchange(s):
             pass
         tried[s] = True
-        if not held[s]:
-            alive -= 1
-            tried[fill > 0] = False
-    return [sorted(x) for x in held if x]
+        alive -= not state.held[s]
+    return [sorted(x) for x in state.held if x]
 
 
 def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
-    return local_search(best_fit(lengths, capacity), lengths, capacity)
+    """Bins of positions in ``lengths``, each of at most ``capacity``, as few as the search finds.
+
+    Pieces go by best fit in the order given, and local search empties what bins it can. Where that stays above the lower
+    bound, it also starts from best fit with the longest first, and the fewer bins count.
+    """
+    packed = local_search(best_fit(lengths, capacity), lengths, capacity)
+    if len(packed) > -(-sum(lengths) // capacity):
+        packed = min(packed, local_search(best_fit(lengths, capacity, longest_first=True), lengths, capacity), key=len)
+    return packed
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int, id_col: str, text_col: str) -> DataFrame:

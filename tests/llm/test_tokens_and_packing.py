@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -102,7 +103,6 @@ def test_packing(spark, sf_dir, group):
 
 
 def test_search_empties_bins_that_best_fit_leaves():
-    # best fit puts 6+4 after 7: 7 6|4.. needs exchanges to reach the bound
     rng = random.Random(5)
     better = 0
     for _ in range(300):
@@ -116,4 +116,35 @@ def test_search_empties_bins_that_best_fit_leaves():
         better += len(done) < len(first)
     bad = [[0, 1], [2, 3], [4, 5]]  # 6 pieces of 5 in bins of 15
     assert len(K.local_search(bad, [5] * 6, 15)) == 2
-    assert better >= 0
+    assert better > 0
+
+
+def test_search_beats_longest_first():
+    lengths = [random.Random(i).randint(600, 760) for i in range(1500)]
+    packed, longest = K.pack_lengths(lengths, 2048), K.best_fit(lengths, 2048, longest_first=True)
+    assert sorted(i for b in packed for i in b) == list(range(1500)) and all(sum(lengths[i] for i in b) <= 2048 for b in packed)
+    assert len(packed) < len(longest)
+
+
+def test_many_equal_short_pieces_end():
+    began = time.time()
+    assert len(K.pack_lengths([3] * 16384, 2048)) == 25  # 682 to a bin; the bound of 24 cannot be met
+    assert len(K.pack_lengths([1] * 16384, 2048)) == 8 and len(K.pack_lengths([1025] * 4000, 2048)) == 4000
+    assert time.time() - began < 10
+    assert K.pack_lengths([], 2048) == []
+
+
+def test_search_against_all_packings():
+    def fewest(lengths, capacity):  # pieces one by one into each bin that has room, or a new one
+        states = {()}
+        for n in sorted(lengths, reverse=True):
+            states = {tuple(sorted([*s[:k], s[k] + n, *s[k + 1 :]])) for s in states for k in range(len(s)) if s[k] + n <= capacity} | {tuple(sorted([*s, n])) for s in states}
+        return min(map(len, states))
+
+    rng, met = random.Random(8), 0
+    for _ in range(60):
+        lengths = [rng.randint(1, 20) for _ in range(rng.randint(1, 8))]
+        found = len(K.pack_lengths(lengths, 20))
+        assert found >= fewest(lengths, 20)
+        met += found == fewest(lengths, 20)
+    assert met >= 58
