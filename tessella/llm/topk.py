@@ -16,9 +16,11 @@ from tessella.plans.lineage import cut
 K = 20
 SCALE = 64
 #: Vectors of a shard and queries of a block, about. Both numbers of rows are bounds, so a task's memory is one.
-SHARD, BLOCK = 4096, 1024
+SHARD, BLOCK = 8192, 1024
 #: Postings of the strongest term that the first threshold is taken from.
 SEEDS = 512
+#: A list of more than one in so many of a shard's vectors is laid out with a place for each vector.
+DENSE = 8
 #: Dimensions probed before vectors are dropped.
 STEP = 4
 #: Sums beyond this do not fit a long on the way; such shards and queries are counted in Python's numbers.
@@ -48,10 +50,11 @@ class Shard:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")  # places then break ties like ids do
         self.ids, vectors = ids[order], vectors[order]
-        self.columns = np.ascontiguousarray(vectors.T)
-        self.against = {1: np.minimum(self.columns, 0), -1: np.maximum(self.columns, 0)}  # of the other sign than a query's
-        self.lists = {(d, sign): rows for d, column in enumerate(self.columns) for sign in (1, -1) if len(rows := np.flatnonzero(column > 0 if sign > 0 else column < 0))}
-        self.values = {(d, sign): self.columns[d][rows] for (d, sign), rows in self.lists.items()}
+        narrow = max(abs(int(vectors.max(initial=0))), abs(int(vectors.min(initial=0)))) < 2**31
+        self.columns = np.ascontiguousarray(vectors.T, "i4" if narrow else "i8")
+        self.parts = {1: np.maximum(self.columns, 0), -1: np.minimum(self.columns, 0)}
+        self.lists = {(d, sign): rows for sign, part in self.parts.items() for d, column in enumerate(part) if len(rows := np.flatnonzero(column))}
+        self.values = {(d, sign): self.parts[sign][d] if len(rows) * DENSE > len(ids) else self.columns[d][rows] for (d, sign), rows in self.lists.items()}
         self.most = {term: max(abs(int(values.max())), abs(int(values.min()))) for term, values in self.values.items()}
 
     def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,52 +72,49 @@ class Shard:
         reach = sum(abs(w) * max(self.most.get((d, 1), 0), self.most.get((d, -1), 0)) for d, w in weights.items())
         if reach >= FITS:
             return self._in_full(query_id, weights, k)
+        kind = np.int32 if reach < 2**31 else np.int64  # holds any sum on the way
+        weights = {d: kind(w) for d, w in weights.items()}
         ranked = sorted(bounds, key=lambda d: (-bounds[d], d))
         rest = np.cumsum([0, *(bounds[d] for d in reversed(ranked))])[::-1]  # bound on what dimension i and all after it add
         others = self.ids != query_id
-        sums, alive = np.zeros(len(self.ids), "i8"), others.copy()
         threshold = self._threshold(weights, terms[ranked[0]], others, k) if ranked else None
-        # without a positive threshold a vector in no list at all may be among the best
-        essential = len(ranked) if threshold is None or threshold <= 0 else int((rest[:-1] >= threshold).sum())
-        if threshold is not None and threshold > 0:
-            alive[:] = False
+        if threshold is None:
+            threshold = -reach
+        # with a threshold that is not positive all terms are essential, and vectors in no list stay too
+        essential = len(ranked) if threshold <= 0 else int((rest[:-1] >= threshold).sum())
+        sums = np.zeros(len(self.ids), kind)
         for d in ranked[:essential]:
-            rows = self.lists.get(terms[d])
-            if rows is not None:
-                sums[rows] += weights[d] * self.values[terms[d]]
-                alive[rows] = True
-        found = np.flatnonzero(alive & others)
+            rows, values = self.lists.get(terms[d]), self.values.get(terms[d])
+            if rows is None:
+                continue
+            if len(values) == len(sums):
+                sums += weights[d] * values
+            else:
+                sums[rows] += weights[d] * values
+        found = np.flatnonzero(others & (sums >= threshold - rest[essential]))
         sums = sums[found]
-
-        def competitive(i: int) -> None:
-            nonlocal found, sums
-            if threshold is not None:
-                still = sums + rest[i] >= threshold
-                found, sums = found[still], sums[still]
-
-        competitive(essential)
         for n, d in enumerate(ranked[:essential], 1):
-            sums = sums + weights[d] * self.against[terms[d][1]][d][found]
+            sums = sums + weights[d] * self.parts[-terms[d][1]][d][found]
             if n % STEP == 0 or n == essential:
-                competitive(essential)
-        for i in range(essential, len(ranked)):
-            sums = sums + weights[ranked[i]] * self.columns[ranked[i]][found]
-            competitive(i + 1)
+                still = sums >= threshold - rest[essential]
+                found, sums = found[still], sums[still]
+        for i, d in enumerate(ranked[essential:], essential):
+            sums = sums + weights[d] * self.columns[d][found]
+            still = sums >= threshold - rest[i + 1]
+            found, sums = found[still], sums[still]
         if len(found) > k:
             keep = sums >= np.partition(sums, -k)[-k]
             found, sums = found[keep], sums[keep]
         best = np.lexsort((found, -sums))[:k]
-        return self.ids[found[best]], sums[best]
+        return self.ids[found[best]], sums[best].astype("i8")
 
-    def _threshold(self, weights: dict[int, int], strongest: tuple[int, int], others: np.ndarray, k: int) -> int | None:
+    def _threshold(self, weights: dict[int, np.integer], strongest: tuple[int, int], others: np.ndarray, k: int) -> int | None:
         """A score that at least ``k`` vectors reach; none if the strongest term's list is too short to tell."""
         rows = self.lists.get(strongest, np.empty(0, "i8"))
         rows = rows[others[rows]][: max(SEEDS, k)]
         if len(rows) < k:
             return None
-        sums = np.zeros(len(rows), "i8")
-        for d, w in weights.items():
-            sums += w * self.columns[d][rows]
+        sums = sum(w * self.columns[d][rows] for d, w in weights.items())
         return int(np.partition(sums, -k)[-k])
 
     def _in_full(self, query_id: int, weights: dict[int, int], k: int) -> tuple[np.ndarray, np.ndarray]:
