@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import html.parser
 import json
+import math
 import re
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tessella.operators.text import TYPE_OF, element_type, embedding_input
+from tessella.operators.text import ELEMENT_TYPES, element_type, embedding_input
 from tessella.registry import query
 from tessella.sources.views import Views
 
@@ -49,153 +52,142 @@ def split_sentences(text: str | None, size: int = CHUNK, overlap: int = OVERLAP)
     return [c[a : a + size] for c in whole for a in (range(0, len(c), step) if len(c) > size else (0,))]
 
 
-def table_groups(markdown: str, prefix: str, size: int, limit: int, overlap: int = OVERLAP) -> list[tuple[str, str]]:
-    """(text, strategy): a table as it is, or groups of rows under its header. Line ends do not count for a group's size."""
-    if not markdown.strip():
+def starts_within(sizes: list[int], room: int) -> list[int]:
+    """Where groups begin if each in turn takes as many of ``sizes`` as ``room`` holds, and one at least."""
+    ends, starts, at = np.cumsum(sizes), [], 0
+    while at < len(ends):
+        starts.append(at)
+        at = max(at + 1, int(np.searchsorted(ends, room + (ends[at - 1] if at else 0), "right")))
+    return starts
+
+
+def table_parts(table: str | None, limit: int, size: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[str, str]]:
+    """(text, strategy): a table whole if ``limit`` holds it, else its rows in groups, each under the two header lines.
+
+    Line ends do not count for a group. A table without rows is cut like text.
+    """
+    if not table or not table.strip():
         return []
-    if len(prefix) + len(markdown) <= limit:
-        return [(prefix + markdown, "intact")]
-    lines = [line for line in markdown.splitlines() if line.strip()]
-    if len(lines) < 3:
-        return [(prefix + part, "sentence_fallback") for part in split_sentences(markdown, size, overlap)]
-    header, groups = "\n".join(lines[:2]), [[]]
-    room = limit - len(prefix) - len(header)
-    left = room
-    for row in lines[2:]:
-        if groups[-1] and len(row) > left:
-            groups.append([])
-            left = room
-        groups[-1].append(row)
-        left -= len(row)
-    return [(prefix + "\n".join([header, *rows]), "row_groups") for rows in groups]
-
-
-class Breadcrumb:
-    """The headings that stand above a place."""
-
-    def __init__(self) -> None:
-        self.levels: list[int] = []
-        self.titles: list[str] = []
-
-    def enter(self, level: int | None, title: str | None) -> None:
-        level = level or 1
-        while self.levels and self.levels[-1] >= level:
-            self.levels.pop()
-            self.titles.pop()
-        if title:
-            self.levels.append(level)
-            self.titles.append(title)
-
-    def __str__(self) -> str:
-        return CRUMB.join(self.titles)
-
-
-def sections(elements: list[dict], size: int = CHUNK, overlap: int = OVERLAP, limit: int | None = None) -> list[dict]:
-    """Chunks of a document's elements in order: texts of a page under their headings, tables, images.
-
-    Headings, images and tables end a section, and so do a new page and a text that would make it too long. A section after a
-    page break goes on from the one before, unless something else came between. Only texts count for the size.
+    if len(table) <= limit:
+        return [(table, "intact")]
+    head, rows = np.split(np.array([x for x in table.splitlines() if x.strip()], object), [2])
+    if not len(rows):
+        return [(part, "sentence_fallback") for part in split_sentences(table, size, overlap)]
+    cuts = [*starts_within(list(map(len, rows)), limit - len("\n".join(head))), len(rows)]
+    return [("\n".join([*head, *rows[a:b]]), "row_groups") for a, b in pairwise(cuts)]
+
+
+def breadcrumb(heads: list[tuple[int | None, str | None]]) -> list[str]:
+    """The titles that stand after headings (level, title): those that no later one of their level or a higher rank ended."""
+    titles, rank = [], math.inf
+    for level, title in reversed(heads):
+        if (level or 1) < rank:
+            rank = level or 1
+            titles += [title] if title else []
+    return titles[::-1]
+
+
+def sections(kinds: list[str], pages: list[int], levels: list[int | None], contents: list[str | None], size: int = CHUNK, overlap: int = OVERLAP, limit: int = TABLE) -> list[dict]:
+    """Chunks of a document's elements, which are given in order: texts of a page under their headings, tables, images.
+
+    A block is an element that is no text, or all texts in a row on one page; what is skipped or empty does not count. A block of
+    texts is cut where ``size`` is full. It goes on from a page before if the block ahead of it is one of texts too.
     """
-    crumb, out = Breadcrumb(), []
-    held: list[dict] = []
-    goes_on = next_goes_on = False
-
-    def put(kind: str, page: int, text: str | None, strategy: str, parts: list[dict]) -> None:
-        out.append({"chunk_type": kind, "page": page, "content": text, "strategy": strategy, "heading_path": list(crumb.titles), "elements": [p["ord"] for p in parts]})
-
-    def close() -> None:
-        nonlocal held, goes_on
-        if held:
-            head = str(crumb)
-            prefix = f"{head}{GOES_ON if goes_on else ''}\n\n" if head else ""
-            text = prefix + "\n\n".join(e["content"] for e in held)
-            if len(text) > size:
-                for part in split_sentences(text, size, overlap):
-                    put("text", held[0]["page"], part, "sentence_fallback", held)
-            else:
-                put("text", held[0]["page"], text, "page_continuation" if goes_on else "size", held)
-        held, goes_on = [], False
-
-    for e in elements:
-        kind = e["kind"]
-        if kind == "_skip":
+    kind, page = np.array(kinds, object), np.array(pages)
+    text = ~np.isin(kind, ["heading", "image", "table"])
+    used = np.flatnonzero((kind != "_skip") & (~text | np.array([bool(c) for c in contents], bool)))
+    if not len(used):
+        return []
+    kind, page, text = kind[used], page[used], text[used]
+    parted = ~text[1:] | ~text[:-1] | (page[1:] != page[:-1])
+    out, heads = [], []
+    for block in np.split(np.arange(len(used)), np.flatnonzero(parted) + 1):
+        at = used[block]
+        first, here = contents[at[0]], int(page[block[0]])
+        if kind[block[0]] == "heading":
+            heads.append((levels[at[0]], first))
             continue
-        if held and e["page"] != held[-1]["page"]:
-            close()
-            next_goes_on = True
-        if kind in ("heading", "image", "table"):
-            close()
-            next_goes_on = False
-            if kind == "heading":
-                crumb.enter(e["level"], e["content"])
-            elif kind == "image":
-                put("image", e["page"], None, "image", [e])
-            else:
-                head = str(crumb)
-                for text, strategy in table_groups(e["content"] or "", f"{head}\n\n" if head else "", size, limit or 4 * size, overlap):
-                    put("text", e["page"], text, strategy, [e])
-        elif e["content"]:
-            if held and sum(len(x["content"]) for x in held) + len(e["content"]) > size:
-                close()
-            if not held:
-                goes_on, next_goes_on = next_goes_on, False
-            held.append(e)
-    close()
+        path = breadcrumb(heads)
+        crumb = CRUMB.join(path)
+        if kind[block[0]] == "image":
+            found = [(None, "image")]
+        elif kind[block[0]] == "table":
+            ahead = f"{crumb}\n\n" if crumb else ""
+            found = [(ahead + part, how) for part, how in table_parts(first, limit - len(ahead), size, overlap)]
+        else:
+            found = []
+            texts = [contents[i] for i in at]
+            for a, b in pairwise([*starts_within(list(map(len, texts)), size), len(texts)]):
+                on = a == 0 and block[0] > 0 and bool(text[block[0] - 1])
+                whole = (f"{crumb}{GOES_ON if on else ''}\n\n" if crumb else "") + "\n\n".join(texts[a:b])
+                fits = len(whole) <= size
+                found += [(whole, "page_continuation" if on else "size")] if fits else [(part, "sentence_fallback") for part in split_sentences(whole, size, overlap)]
+        kept = "image" if kind[block[0]] == "image" else "text"
+        out += [{"chunk_type": kept, "page": here, "content": content, "strategy": how, "heading_path": path} for content, how in found]
     return out
 
 
 def text_of(node: object) -> str:
-    """The text of a layout node and of all below it."""
-    if not isinstance(node, dict):
-        return ""
-    own = node.get("content")
-    parts = [own.strip() if isinstance(own, str) else "", *map(text_of, node.get("kids") or [])]
-    return " ".join(p for p in parts if p)
+    """The text of a layout node and of all below it, in reading order, however deep they lie."""
+    found, waiting = [], [node]
+    while waiting:
+        at = waiting.pop()
+        if isinstance(at, dict):
+            found.append(at["content"].strip() if isinstance(at.get("content"), str) else "")
+            waiting += reversed(at.get("kids") or [])
+    return " ".join(filter(None, found))
 
 
-def box(node: dict) -> list[float] | None:
-    """Four numbers, or nothing."""
-    try:
-        edges = [float(x) for x in node.get("bounding box") or []]
-    except (TypeError, ValueError):
-        return None
-    return edges if len(edges) == 4 else None
-
-
-def table_markdown(node: dict) -> str:
-    """A table's rows; a cell over several columns is followed by empty ones, and short rows are filled up."""
-    rows = []
-    for row in node.get("rows") or []:
-        line: list[str] = []
-        for cell in row.get("cells") or []:
-            width = max(int(cell.get("column span") or cell.get("columnSpan") or 1), 1)
-            line += [text_of(cell).replace("|", r"\|").replace("\n", " ").strip(), *[""] * (width - 1)]
-        rows.append(line)
-    columns = max(map(len, rows), default=0)
-    if not columns:
-        return ""
-    lines = [" | ".join(line + [""] * (columns - len(line))) for line in rows]
-    lines.insert(1, " | ".join(["---"] * columns))
-    return "\n".join(f"| {line} |" for line in lines)
-
-
-def list_markdown(node: dict) -> str:
-    return "\n".join(f"- {t}" for t in map(text_of, node.get("list items") or node.get("items") or []) if t)
-
-
-def flatten(node: dict, kind_of: Callable[[str], str]) -> Iterator[dict]:
-    """Elements of a layout tree in reading order; a table, list or text is one element with all below it."""
-    kind = kind_of(str(node.get("type", "")))
-    leaf = {"page": node.get("page number") or 1, "level": node.get("heading level"), "bbox": box(node)}
-    if kind == "table":
-        yield leaf | {"kind": kind, "content": table_markdown(node)}
-    elif kind == "list":
-        yield leaf | {"kind": "text", "content": list_markdown(node)}
-    elif kind in ("heading", "image") or kind == "text" and node.get("type"):
-        yield leaf | {"kind": kind, "content": text_of(node)}
-    else:
-        for kid in node.get("kids") or []:
-            yield from flatten(kid, kind_of)
+def cells_of(node: dict) -> list[list[dict]]:
+    """A table node's rows of cells with their texts and widths."""
+    width = lambda cell: max(int(cell.get("column span") or cell.get("columnSpan") or 1), 1)
+    return [[{"text": text_of(cell), "span": width(cell)} for cell in row.get("cells") or []] for row in node.get("rows") or []]
+
+
+def items_of(node: dict) -> list[str]:
+    return [text_of(item) for item in node.get("list items") or node.get("items") or []]
+
+
+def table_markdown(cells: Column) -> Column:
+    """Rows of (text, span) as Markdown: a wide cell is followed by empty ones, short rows are filled up, the first is the head."""
+    shown = lambda cell: F.trim(F.replace(F.replace(cell["text"], F.lit("|"), F.lit(r"\|")), F.lit("\n"), F.lit(" ")))
+    lines = F.transform(cells, lambda row: F.flatten(F.transform(row, lambda cell: F.concat(F.array(shown(cell)), F.array_repeat(F.lit(""), cell["span"] - 1)))))
+    columns = F.coalesce(F.array_max(F.transform(lines, F.size)), F.lit(0))
+    full = F.transform(lines, lambda line: F.concat(line, F.array_repeat(F.lit(""), columns - F.size(line))))
+    ruled = F.concat(F.slice(full, 1, 1), F.array(F.array_repeat(F.lit("---"), columns)), F.slice(full, F.lit(2), F.greatest(F.size(full), F.lit(1))))
+    return F.when(columns == 0, "").otherwise(F.array_join(F.transform(ruled, lambda line: F.concat(F.lit("| "), F.array_join(line, " | "), F.lit(" |"))), "\n"))
+
+
+def list_markdown(items: Column) -> Column:
+    return F.array_join(F.transform(F.filter(items, lambda item: item != ""), lambda item: F.concat(F.lit("- "), item)), "\n")
+
+
+def box(node: Column) -> Column:
+    """The four numbers of a JSON node's box; null where there are not four, or not all are numbers."""
+    edges = F.transform(F.from_json(node, "struct<`bounding box`:array<string>>")["bounding box"], lambda x: x.try_cast("double"))
+    return F.when((F.size(edges) == 4) & F.forall(edges, lambda x: x.isNotNull()), edges)
+
+
+NODES = "array<struct<kind:string,page:int,level:int,node:string,text:string,items:array<string>,cells:array<array<struct<text:string,span:int>>>>>"
+
+
+def leaves(tree: dict) -> list[dict]:
+    """Elements of a layout tree in reading order, not yet rendered; a table, list or text is one with all below it.
+
+    What has no type, or none that is known, is looked into if it holds further nodes.
+    """
+    found, waiting = [], [tree]
+    while waiting:
+        node = waiting.pop()
+        raw = str(node.get("type") or "").lower()
+        kind = ELEMENT_TYPES.get(raw, "text" if raw else "")
+        if kind in ("", "_skip"):
+            waiting += reversed(node.get("kids") or [])
+            continue
+        leaf = {"kind": kind, "page": node.get("page number") or 1, "level": node.get("heading level"), "node": json.dumps({"bounding box": node.get("bounding box")})}
+        held = {"cells": cells_of(node)} if kind == "table" else {"items": items_of(node)} if kind == "list" else {"text": text_of(node)}
+        found.append({"text": None, "items": None, "cells": None} | leaf | held)
+    return found
 
 
 # What follows applies these to DataFrames; a document is one row or one small group of rows.
@@ -212,58 +204,69 @@ def chunk_documents(v: Views) -> DataFrame:
 
 
 def elements(v: Views) -> DataFrame:
-    """The lines of documents as layout elements: headings, texts, tables and images over pages."""
-    lines = v.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
-    kind = F.when(F.col("ord") % 9 == 0, "h2").when(F.col("ord") % 9 == 4, "table").when(F.col("ord") % 9 == 7, "picture").when(F.col("ord") % 9 == 8, "footer").otherwise("paragraph")
-    cells = F.concat(F.lit("| a | b |\n| --- | --- |\n"), F.array_join(F.transform(F.slice(F.split("line", " "), 1, 400), lambda w: F.concat(F.lit("| "), w, F.lit(" | 1 |"))), "\n"))
-    return lines.select(
-        "doc_id", "ord", element_type(kind).alias("kind"), (1 + F.expr("ord div 5")).alias("page"),
-        F.when(kind == "h2", F.left("line", F.lit(40))).when(kind == "table", cells).when(kind == "picture", F.lit(None)).otherwise(F.col("line")).alias("content"),
-        F.when(kind == "h2", 1 + F.expr("ord div 9") % 3).alias("level"),
-    )
+    """Documents with ``els``, their lines as layout elements in order: headings, texts, tables and images over pages."""
+
+    def element(line: Column, at: Column) -> Column:
+        kind = F.when(at % 9 == 0, "h2").when(at % 9 == 4, "table").when(at % 9 == 7, "picture").when(at % 9 == 8, "footer").otherwise("paragraph")
+        rows = F.array_join(F.transform(F.split(line, " "), lambda w: F.concat(F.lit("| "), w, F.lit(" | 1 |"))), "\n")
+        content = F.when(kind == "table", F.concat(F.lit("| a | b |\n| --- | --- |\n"), rows)).when(kind != "picture", line)
+        level = F.when(kind == "h2", 1 + F.floor(at / 9).cast("int") % 3)
+        return F.struct(at.alias("ord"), element_type(kind).alias("kind"), (1 + F.floor(at / 5)).cast("int").alias("page"), content.alias("content"), level.alias("level"))
+
+    return v.table("documents").select("doc_id", F.transform(F.split("text", "\n"), element).alias("els"))
 
 
 @query()
 def layout_to_chunks(v: Views) -> DataFrame:
-    def chunked(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("ord").astype(object).where(lambda x: x.notna(), None).to_dict("records")
-        found = sections(rows)
-        return pd.DataFrame([(rows[0]["doc_id"], n, c["chunk_type"], c["page"], c["content"], c["strategy"], c["heading_path"]) for n, c in enumerate(found)], columns=["doc_id", "n", "chunk_type", "page", "content", "strategy", "heading_path"])
+    """A document is one row, and so are its elements: no text is shuffled."""
 
-    return elements(v).groupBy("doc_id").applyInPandas(chunked, "doc_id long, n int, chunk_type string, page int, content string, strategy string, heading_path array<string>")
+    @F.pandas_udf("array<struct<chunk_type:string,page:int,content:string,strategy:string,heading_path:array<string>>>")
+    def chunked(kinds: pd.Series, pages: pd.Series, levels: pd.Series, contents: pd.Series) -> pd.Series:
+        whole = lambda x: None if x is None or x != x else int(x)
+        rows = zip(kinds, pages, levels, contents, strict=True)
+        return pd.Series([sections(list(k), list(p), [whole(x) for x in n], list(c)) for k, p, n, c in rows], dtype=object)
+
+    found = elements(v).select("doc_id", F.posexplode(chunked("els.kind", "els.page", "els.level", "els.content")).alias("n", "c"))
+    return found.select("doc_id", "n", "c.*")
 
 
 @query()
 def table_chunks(v: Views) -> DataFrame:
     @F.pandas_udf("array<struct<content:string,strategy:string>>")
-    def groups(tables: pd.Series) -> pd.Series:
-        return tables.map(lambda t: [{"content": c, "strategy": s} for c, s in table_groups(t, "", CHUNK, 600)])
+    def parts(tables: pd.Series) -> pd.Series:
+        return tables.map(lambda t: [{"content": c, "strategy": s} for c, s in table_parts(t, 600)])
 
-    return elements(v).where("kind = 'table'").select("doc_id", "ord", F.inline(groups("content")))
+    tables = elements(v).select("doc_id", F.explode(F.filter("els", lambda e: e["kind"] == "table")).alias("e"))
+    return tables.select("doc_id", "e.ord", F.inline(parts("e.content")))
 
 
-@query("""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord, unnest(string_split(text, chr(10))) AS line FROM documents),
-    h AS (SELECT doc_id, ord, left(line, 40) AS title, 1 + (ord // 9) % 3 AS level FROM l WHERE ord % 9 = 0 AND left(line, 40) <> '')
-    SELECT a.doc_id, a.ord, string_agg(b.title, ' › ' ORDER BY b.ord) AS path FROM h a JOIN h b ON a.doc_id = b.doc_id AND b.ord <= a.ord
-    AND NOT EXISTS (SELECT 1 FROM l c WHERE c.doc_id = b.doc_id AND c.ord % 9 = 0 AND c.ord > b.ord AND c.ord <= a.ord AND 1 + (c.ord // 9) % 3 <= b.level) GROUP BY 1, 2""")
+@query("""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord, unnest(string_split(text, chr(10))) AS title FROM documents),
+    h AS (SELECT doc_id, ord, title, 1 + (ord // 9) % 3 AS level FROM l WHERE ord % 9 = 0)
+    SELECT a.doc_id, a.ord, string_agg(b.title, ' › ' ORDER BY b.ord) AS path FROM h a JOIN h b ON a.doc_id = b.doc_id AND b.ord <= a.ord AND a.title <> '' AND b.title <> ''
+    AND NOT EXISTS (SELECT 1 FROM h c WHERE c.doc_id = b.doc_id AND c.ord > b.ord AND c.ord <= a.ord AND c.level <= b.level) GROUP BY 1, 2""")
 def heading_path(v: Views) -> DataFrame:
-    """The breadcrumb of each heading, itself last."""
+    """The breadcrumb of each heading, itself last: a heading ends those of its level and below."""
+    head = "struct<ord:int,level:int,title:string>"
+    heads = F.transform(F.filter("els", lambda e: e["kind"] == "heading"), lambda e: F.struct(e["ord"].alias("ord"), e["level"].alias("level"), e["content"].alias("title")).cast(head))
 
-    def paths(group: pd.DataFrame) -> pd.DataFrame:
-        crumb, rows = Breadcrumb(), []
-        for e in group.sort_values("ord").itertuples():
-            crumb.enter(e.level, e.content)
-            if e.content:
-                rows.append((e.doc_id, e.ord, str(crumb)))
-        return pd.DataFrame(rows, columns=["doc_id", "ord", "path"])
+    def step(state: Column, e: Column) -> Column:
+        standing = F.array_append(F.filter(state["standing"], lambda h: h["level"] < e["level"]), e)
+        path = F.array_join(F.transform(F.filter(standing, lambda h: h["title"] != ""), lambda h: h["title"]), CRUMB)
+        return F.struct(standing.alias("standing"), F.array_append(state["paths"], path).alias("paths"))
 
-    return elements(v).where("kind = 'heading'").select("doc_id", "ord", "level", "content").groupBy("doc_id").applyInPandas(paths, "doc_id long, ord long, path string")
+    start = F.struct(F.array().cast(f"array<{head}>").alias("standing"), F.array().cast("array<string>").alias("paths"))
+    rows = elements(v).select("doc_id", heads.alias("heads")).select("doc_id", F.inline(F.arrays_zip("heads", F.aggregate("heads", start, step)["paths"].alias("path"))))
+    return rows.where("heads.title <> ''").select("doc_id", "heads.ord", "path")
 
 
 def trees(v: Views) -> DataFrame:
-    """Layout trees as JSON, one a document: a page of all its lines, a list of all its words and a table of them, six a row."""
+    """Layout trees as JSON, one a document: a page of all its lines, a list of all its words and a table of them, six a row.
+
+    The boxes of some have only three numbers, of others no numbers.
+    """
     words, lines = F.split("text", " "), F.split("text", "\n")
-    leaf = lambda kind, content: F.struct(F.lit(kind).alias("type"), content.alias("content"), F.lit(1).alias("page number"), F.array(F.lit("1"), F.lit("2"), F.col("doc_id").cast("string"), F.lit("4")).alias("bounding box"))
+    edges = F.when(F.col("doc_id") % 3 == 1, F.array(*map(F.lit, "123"))).when(F.col("doc_id") % 3 == 2, F.array(*map(F.lit, "1x34"))).otherwise(F.array(F.lit("1"), F.lit("2"), F.col("doc_id").cast("string"), F.lit("4")))
+    leaf = lambda kind, content: F.struct(F.lit(kind).alias("type"), content.alias("content"), F.lit(1).alias("page number"), edges.alias("bounding box"))
     paragraphs = F.array_join(F.transform(lines, lambda x: F.to_json(leaf("paragraph", x))), ",")
     head = F.to_json(leaf("h1", lines[0]))
     items = F.to_json(F.struct(F.lit("ul").alias("type"), F.transform("words", lambda w: F.struct(w.alias("content"))).alias("list items")))
@@ -274,13 +277,22 @@ def trees(v: Views) -> DataFrame:
     return v.table("documents").withColumn("words", words).select("doc_id", kids.alias("tree"))
 
 
+def rendered(v: Views) -> DataFrame:
+    """Each element of the trees: its place, kind, page, level, box and content."""
+
+    @F.pandas_udf(NODES)
+    def read(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: leaves(json.loads(t)))
+
+    content = F.when(F.col("e.kind") == "table", table_markdown(F.col("e.cells"))).when(F.col("e.kind") == "list", list_markdown(F.col("e.items"))).otherwise(F.col("e.text"))
+    rows = trees(v).select("doc_id", F.posexplode(read("tree")).alias("ord", "e"))
+    return rows.select("doc_id", "ord", "e.kind", "e.page", "e.level", box(F.col("e.node")).alias("bbox"), content.alias("content"))
+
+
 @query()
 def layout_flatten(v: Views) -> DataFrame:
-    @F.pandas_udf("array<struct<kind:string,page:int,level:int,bbox:array<double>,content:string>>")
-    def flat(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: list(flatten(json.loads(t), lambda kind: TYPE_OF.get(kind.lower(), "text") if kind else "")))
-
-    return trees(v).select("doc_id", F.posexplode(flat("tree")).alias("ord", "e")).select("doc_id", "ord", "e.*")
+    """Elements of layout trees; a list is text once it is rendered."""
+    return rendered(v).withColumn("kind", F.when(F.col("kind") == "list", "text").otherwise(F.col("kind")))
 
 
 class _Text(html.parser.HTMLParser):
@@ -421,38 +433,24 @@ def image_guard(v: Views) -> DataFrame:
     return kept.groupBy("sha").agg(F.min(F.struct("id", "doc_id")).alias("first")).select("first.id", "first.doc_id")
 
 
-def _nodes(v: Views, kind: str) -> DataFrame:
-    node = F.filter(F.from_json(F.get_json_object("tree", "$.kids"), "array<string>"), lambda x: F.get_json_object(x, "$.type") == kind)[0]
-    return trees(v).select("doc_id", node.alias("node"))
+_WORDS = "w AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS w FROM documents)"
 
 
-@query("""WITH w AS (SELECT doc_id, string_split(text, ' ')[1:6] AS w FROM documents), c AS (SELECT doc_id, list_transform(w, lambda x: trim(replace(replace(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '|', '\\|'), chr(10), ' '))) AS w FROM w)
-    SELECT doc_id, '| ' || array_to_string(list_concat(w, list_transform(range(greatest(2 - len(w), 0)), lambda i: '')), ' | ') || ' |' || chr(10) || '| ' || array_to_string(list_transform(range(greatest(len(w), 2)), lambda i: '---'), ' | ') || ' |' || chr(10)
-    || '| ' || array_to_string(list_concat(['a\\|b'], list_transform(range(greatest(len(w), 2) - 1), lambda i: '')), ' | ') || ' |' AS md FROM c""", name="table_markdown")
+@query(f"""WITH {_WORDS}, c AS (SELECT doc_id, list_transform(w, lambda x: trim(replace(replace(x, '|', '\\|'), chr(10), ' '))) AS c FROM w),
+    r AS (SELECT doc_id, greatest(least(len(c), 6), 2) AS k, list_append(list_transform(range((len(c) - 1) // 6 + 1), lambda i: c[6 * i + 1:6 * i + 6]), ['a\\|b', '']) AS rows FROM c),
+    l AS (SELECT doc_id, k, list_transform(rows, lambda x: '| ' || array_to_string(list_concat(x, list_transform(range(k - len(x)), lambda i: '')), ' | ') || ' |') AS l FROM r)
+    SELECT doc_id, array_to_string(list_concat(l[1:1], ['|' || repeat(' --- |', k::INT)], l[2:]), chr(10)) AS md FROM l""", name="table_markdown")
 def tables_as_markdown(v: Views) -> DataFrame:
-    @F.pandas_udf("string")
-    def rendered(nodes: pd.Series) -> pd.Series:
-        return nodes.map(lambda n: table_markdown(json.loads(n)))
-
-    return _nodes(v, "table").select("doc_id", rendered("node").alias("md"))
+    return rendered(v).where("kind = 'table'").select("doc_id", F.col("content").alias("md"))
 
 
-@query("""WITH w AS (SELECT doc_id, string_split(text, ' ')[1:6] AS w FROM documents)
-    SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(w, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), lambda x: '- ' || x), chr(10)) AS md FROM w""", name="list_markdown")
+@query(f"WITH {_WORDS} SELECT doc_id, array_to_string(list_transform(list_filter(w, lambda x: x <> ''), lambda x: '- ' || x), chr(10)) AS md FROM w", name="list_markdown")
 def lists_as_markdown(v: Views) -> DataFrame:
-    @F.pandas_udf("string")
-    def rendered(nodes: pd.Series) -> pd.Series:
-        return nodes.map(lambda n: list_markdown(json.loads(n)))
+    return rendered(v).where("kind = 'list'").select("doc_id", F.col("content").alias("md"))
 
-    return _nodes(v, "ul").select("doc_id", rendered("node").alias("md"))
 
-
-@query("SELECT doc_id, [1.0, 2.0, doc_id, 4.0]::DOUBLE[] IS NOT NULL AS has_box, doc_id::DOUBLE AS third FROM documents")
+@query("SELECT doc_id, doc_id % 3 = 0 AS has_box, CASE WHEN doc_id % 3 = 0 THEN doc_id::DOUBLE END AS third FROM documents")
 def bbox_parse(v: Views) -> DataFrame:
-    """Boxes of layout nodes as four numbers."""
-
-    @F.pandas_udf("array<double>")
-    def boxes(nodes: pd.Series) -> pd.Series:
-        return nodes.map(lambda n: box(json.loads(n)))
-
-    return _nodes(v, "h1").select("doc_id", boxes("node").alias("b")).select("doc_id", F.col("b").isNotNull().alias("has_box"), F.col("b")[2].alias("third"))
+    """Boxes of layout nodes as four numbers; null where they are not."""
+    first = trees(v).select("doc_id", box(F.get_json_object("tree", "$.kids[0]")).alias("b"))
+    return first.select("doc_id", F.col("b").isNotNull().alias("has_box"), F.col("b")[2].alias("third"))

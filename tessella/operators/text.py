@@ -10,28 +10,50 @@ from tessella.registry import query
 from tessella.sources.views import Views
 
 #: Words that point back to what was said, and words that ask for images (fixed values).
-DEICTIC = "dabei dazu davon hierzu hierbei hierauf hierin darüber darin darunter daneben deren dessen diesem diesen dieser"
-IMAGE_WORDS = "bild bilder zeige foto abbildung grafik diagramm image show"
+DEICTIC = ("dabei", "dazu", "davon", "hierzu", "hierbei", "hierauf", "hierin", "darüber", "darin", "darunter", "daneben", "deren", "dessen", "diesem", "diesen", "dieser")
+IMAGE_WORDS = ("bild", "bilder", "zeige", "foto", "abbildung", "grafik", "diagramm", "image", "show")
 #: What marks an image URL as junk, and query parameters that only set a size (fixed values).
 JUNK = (".svg", "vgwort.de", "/pixel", "/tracking", "/beacon")
-SIZE_PARAMS = "w h width height resize size q"
-#: Element types of layouts under their common names; ``_skip`` falls away (fixed values).
+SIZE_PARAMS = ("w", "h", "width", "height", "resize", "size", "q")
+#: Element types of layouts and their common names; ``_skip`` falls away (fixed values).
 ELEMENT_TYPES = {
-    "image": "image picture png jpeg jpg",
+    "image": "image",
+    "picture": "image",
+    "png": "image",
+    "jpeg": "image",
+    "jpg": "image",
     "table": "table",
-    "heading": "heading title h h1 h2 h3 h4 h5 h6",
-    "text": "paragraph text p textbox li",
-    "list": "list ul ol",
-    "_skip": "header footer caption",
+    "heading": "heading",
+    "title": "heading",
+    "h": "heading",
+    "h1": "heading",
+    "h2": "heading",
+    "h3": "heading",
+    "h4": "heading",
+    "h5": "heading",
+    "h6": "heading",
+    "paragraph": "text",
+    "text": "text",
+    "p": "text",
+    "textbox": "text",
+    "list": "list",
+    "ul": "list",
+    "ol": "list",
+    "list item": "text",
+    "li": "text",
+    "header": "_skip",
+    "footer": "_skip",
+    "table row": "_skip",
+    "table cell": "_skip",
+    "caption": "_skip",
 }
-TYPE_OF = {name: kind for kind, names in ELEMENT_TYPES.items() for name in names.split()} | {"list item": "text", "table row": "_skip", "table cell": "_skip"}
 #: Parts of a name that mark a secret (fixed values).
 SECRETS = ("PASSWORD", "SECRET", "KEY", "ENCRYPTION")
 
 
-def words(pattern_words: str) -> str:
+def words(any_of: tuple[str, ...]) -> str:
     """A pattern for any of the words, whatever their case, not within another word."""
-    return rf"(?iu)(^|[^\p{{L}}\p{{N}}_])({'|'.join(pattern_words.split())})($|[^\p{{L}}\p{{N}}_])"
+    return rf"(?iu)(^|[^\p{{L}}\p{{N}}_])({'|'.join(any_of)})($|[^\p{{L}}\p{{N}}_])"
 
 
 def quoted(text: str) -> str:
@@ -60,7 +82,7 @@ def normal_image_url(url: Column) -> Column:
     """A URL without what only sets an image's size: path marks like ``_w520``, size parameters, the fragment."""
     bare = F.split_part(url, F.lit("#"), F.lit(1))
     path = F.regexp_replace(F.split_part(bare, F.lit("?"), F.lit(1)), r"_w\d+|_r[\d.]+|_fpx[\d.]+|_fpy[\d.]+", "")
-    params = F.filter(F.split(F.split_part(bare, F.lit("?"), F.lit(2)), "&"), lambda p: ~F.split_part(p, F.lit("="), F.lit(1)).isin(*SIZE_PARAMS.split()) & p.contains("="))
+    params = F.filter(F.split(F.split_part(bare, F.lit("?"), F.lit(2)), "&"), lambda p: ~F.split_part(p, F.lit("="), F.lit(1)).isin(*SIZE_PARAMS) & p.contains("="))
     rest = F.array_join(params, "&")
     return F.when(rest == "", path).otherwise(F.concat(path, F.lit("?"), rest))
 
@@ -206,8 +228,8 @@ def image_intent(v: Views) -> DataFrame:
     return v.table("conversations").select("conv_id", "turn", asked.rlike(words(IMAGE_WORDS)).alias("wants"))
 
 
-@query("""WITH m AS (SELECT conv_id, turn, CASE WHEN role IN ('user', 'assistant') THEN role ELSE 'user' END AS role, left(trim(text), 8000) AS content FROM conversations),
-    r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM m WHERE content <> '') SELECT conv_id, turn, role, content FROM r WHERE back <= 3""")
+@query("""WITH m AS (SELECT conv_id, turn, CASE WHEN role IN ('user', 'assistant', 'system') THEN role ELSE 'user' END AS role, left(trim(text), 8000) AS content FROM conversations),
+    r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM m WHERE content <> '') SELECT conv_id, turn, role, content FROM r WHERE back <= 12""")
 def sanitize_messages(v: Views, keep: int = 12) -> DataFrame:
     """The last messages of a chat, cut to size; unknown roles count as the user's."""
     back = F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("turn")))
@@ -218,7 +240,7 @@ def sanitize_messages(v: Views, keep: int = 12) -> DataFrame:
 
 def element_type(raw: Column) -> Column:
     """The common name of a layout's element type; unknown ones are text."""
-    known = F.create_map(*[F.lit(x) for pair in sorted(TYPE_OF.items()) for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in ELEMENT_TYPES.items() for x in pair])
     return F.coalesce(known[F.lower(raw)], F.lit("text"))
 
 
@@ -243,7 +265,7 @@ def embed_text(v: Views) -> DataFrame:
     return v.chunks.select("id", text.alias("embed_text"))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split('# ' || replace(text, '. ', chr(10) || '## '), chr(10))) AS line, generate_subscripts(string_split('# ' || replace(text, '. ', chr(10) || '## '), chr(10)), 1) - 1 AS n FROM documents WHERE doc_id % 10 = 0),
+@query("""WITH l AS (SELECT doc_id, unnest(string_split('# ' || replace(text, '. ', chr(10) || '## '), chr(10))) AS line, generate_subscripts(string_split('# ' || replace(text, '. ', chr(10) || '## '), chr(10)), 1) - 1 AS n FROM documents),
     s AS (SELECT doc_id, n::INT AS n, trim(line) AS t FROM l), h AS (SELECT doc_id, n, length(regexp_extract(t, '^#+')) AS level, trim(ltrim(t, '#')) AS title FROM s WHERE t LIKE '#%')
     SELECT doc_id, n, level, title, regexp_replace(replace(lower(title), ' ', '-'), '[^\\p{L}\\p{N}-]', '', 'g') AS slug FROM h WHERE title <> ''""")
 def markdown_toc(v: Views) -> DataFrame:
@@ -296,6 +318,6 @@ def parse_suffix(v: Views) -> DataFrame:
     return rows.select(
         "conv_id", "turn",
         F.array_join(F.regexp_extract_all("t", F.lit(r"!\[[^\]]*\]\(([^)]+)\)"), F.lit(1)), "|").alias("images"),
-        F.array_join(F.transform(F.filter(F.split(block, "\n"), lambda x: x.startswith("- ")), lambda x: F.trim(F.substring(x, 3, 10_000))), "|").alias("sources"),
+        F.array_join(F.transform(F.filter(F.split(block, "\n"), lambda x: x.startswith("- ")), lambda x: F.trim(F.substr(x, F.lit(3)))), "|").alias("sources"),
         F.sha2(F.rtrim(F.regexp_replace(F.regexp_replace("t", r"(?ms)^Quellen:.*\z", ""), r"!\[[^\]]*\]\([^)]+\)", "")), 256).alias("body_sha"),
     )

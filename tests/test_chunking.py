@@ -1,95 +1,144 @@
+import json
+import random
 import uuid
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import chunking as C
-from tessella.operators.text import TYPE_OF, element_type, embedding_input
+from tessella.operators.text import element_type, embedding_input
+from tessella.registry import QUERIES
 
 
-def el(kind, content, page=1, level=None, ord_=0):
-    return {"kind": kind, "content": content, "page": page, "level": level, "ord": ord_}
+def chunked(*elements, **kw):
+    """Chunks of (kind, content, page, level)."""
+    kinds, contents, pages, levels = map(list, zip(*elements, strict=True))
+    return C.sections(kinds, pages, levels, contents, **kw)
 
 
 def test_element_types(spark):
-    rows = spark.createDataFrame([(x,) for x in ("image", "PICTURE", "jpg", "header", "footer", "list item", "odd")], "t string")
-    assert [r[0] for r in rows.select(element_type(F.col("t"))).collect()] == ["image", "image", "image", "_skip", "_skip", "text", "text"]
-
-
-def test_boxes():
-    assert C.box({"bounding box": [1, "2", 3.5, 4]}) == [1.0, 2.0, 3.5, 4.0]
-    assert C.box({"bounding box": [1, "x", 3, 4]}) is None
-    assert C.box({"bounding box": [1]}) is None and C.box({}) is None
-
-
-def test_nested_text():
-    node = {"kids": [{"content": "Umsatz"}, {"kids": [{"content": "2025"}, {"content": "Mio. EUR"}]}, None, {"content": 5}]}
-    assert C.text_of(node) == "Umsatz 2025 Mio. EUR"
-
-
-def test_table_with_wide_cell():
-    cell = lambda t, span=1: {"content": t, "column span": span}
-    md = C.table_markdown({"rows": [{"cells": [cell("Bereich", 2), cell("Wert")]}, {"cells": [cell("A"), cell("B"), cell("10")]}, {"cells": [cell("a|b")]}]})
-    assert md.split("\n") == ["| Bereich |  | Wert |", "| --- | --- | --- |", "| A | B | 10 |", "| a\\|b |  |  |"]
-    assert C.table_markdown({}) == C.table_markdown({"rows": [{"cells": []}]}) == ""
-
-
-def test_lists():
-    assert C.list_markdown({"list items": [{"content": "Erstens"}, {"content": ""}, {"content": "Zweitens"}]}) == "- Erstens\n- Zweitens"
-    assert C.list_markdown({"items": [{"content": "Alternative"}]}) == "- Alternative"
-
-
-def test_tree_walk():
-    tree = {"kids": [{"type": "heading", "content": "T", "heading level": 2}, {"type": "paragraph", "content": "x", "page number": 3}, {"type": "image"}, {"type": "footer", "content": "no"}]}
-    found = list(C.flatten(tree, lambda k: TYPE_OF.get(k.lower(), "text") if k else ""))
-    assert [(e["kind"], e["content"], e["page"], e["level"]) for e in found] == [("heading", "T", 1, 2), ("text", "x", 3, None), ("image", "", 1, None)]
-
-
-def test_breadcrumb_and_continuation():
-    found = C.sections([el("heading", "Kapitel", level=1), el("text", "eins"), el("text", "zwei", page=2)])
-    assert [c["content"] for c in found] == ["Kapitel\n\neins", "Kapitel (Forts.)\n\nzwei"]
-    assert [c["strategy"] for c in found] == ["size", "page_continuation"]
-    assert found[0]["heading_path"] == ["Kapitel"]
-
-
-def test_no_continuation_mark_without_heading_or_after_an_image():
-    assert [c["content"] for c in C.sections([el("text", "a"), el("text", "b", page=2)])] == ["a", "b"]
-    found = C.sections([el("heading", "K", level=1), el("text", "a"), el("image", None, page=2), el("text", "b", page=2)])
-    assert [c["content"] for c in found] == ["K\n\na", None, "K\n\nb"]
-
-
-def test_headings_pop():
-    crumb = C.Breadcrumb()
-    for level, title in ((1, "a"), (2, "b"), (3, "c"), (2, "d"), (None, "e")):
-        crumb.enter(level, title)
-    assert str(crumb) == "e"
-    crumb.enter(3, "f")
-    crumb.enter(1, "")
-    assert str(crumb) == ""
-
-
-def test_table_row_groups():
-    table = "| k | v |\n| --- | --- |\n" + "\n".join(f"| Zeile {i:02d} | {i} |" for i in range(20))
-    groups = C.table_groups(table, "", 1500, 120)
-    assert len(groups) > 1 and {s for _, s in groups} == {"row_groups"}
-    assert all(g.startswith("| k | v |\n| --- | --- |\n") for g, _ in groups)
-    assert [row for g, _ in groups for row in g.split("\n")[2:]] == table.split("\n")[2:]
-    assert C.table_groups("x" * 200, "", 100, 120)[0][1] == "sentence_fallback"
-    assert C.table_groups("  ", "", 100, 120) == []
+    rows = spark.createDataFrame([(x,) for x in ("Png", "TITLE", "OL", "table cell", "caption", "Li", "blink")], "t string")
+    assert [r[0] for r in rows.select(element_type(F.col("t"))).collect()] == ["image", "heading", "list", "_skip", "_skip", "text", "text"]
+
+
+def test_boxes(spark):
+    nodes = [[7, "8", 9.5, 1e3], [7, None, 9, 1], [7, "eight", 9, 1], [7, 8, 9], [], None]
+    rows = spark.createDataFrame([(n, json.dumps({"bounding box": x})) for n, x in enumerate(nodes)] + [(6, "{}"), (7, "no json"), (8, None)], "n int, node string")
+    assert [r[0] for r in rows.orderBy("n").select(C.box(F.col("node"))).collect()] == [[7.0, 8.0, 9.5, 1000.0]] + [None] * 8
+
+
+def test_text_of_deep_nodes():
+    deep = {"content": "end"}
+    for k in range(5000):
+        deep = {"kids": [deep], "content": f" {k} " if k % 1000 == 0 else None}
+    assert C.text_of({"content": "top", "kids": [{"content": ["no"]}, 3, deep, {"content": " last"}]}) == "top 4000 3000 2000 1000 0 end last"
+    assert C.text_of(None) == C.text_of({}) == ""
+
+
+def shown(spark, node):
+    row = spark.createDataFrame([(C.cells_of(node), C.items_of(node))], "cells array<array<struct<text:string,span:int>>>, items array<string>")
+    return tuple(row.select(C.table_markdown(F.col("cells")), C.list_markdown(F.col("items"))).first())
+
+
+def test_tables_and_lists_as_markdown(spark):
+    cell = lambda text, span=None: {"kids": [{"content": text}], "columnSpan": span}
+    grid = {"rows": [{"cells": [cell("x"), cell("wide", 3)]}, {"cells": []}, {"cells": [cell("p|q\nr"), cell("s"), cell("t"), cell("u")]}]}
+    assert shown(spark, grid)[0].split("\n") == ["| x | wide |  |  |", "| --- | --- | --- | --- |", "|  |  |  |  |", "| p\\|q r | s | t | u |"]
+    assert shown(spark, {"rows": [{"cells": [cell("one")]}]})[0] == "| one |\n| --- |"
+    assert shown(spark, {}) == ("", "") and shown(spark, {"rows": [{}, {"cells": []}]})[0] == ""
+    assert shown(spark, {"items": [{"content": "no"}], "list items": [{"content": "b"}, {}, {"kids": [{"content": "c"}, {"content": "d"}]}]})[1] == "- b\n- c d"
+
+
+def test_leaves_of_a_tree():
+    tree = {"kids": [{"type": "Title", "content": "t", "heading level": 4}, {"type": "header", "kids": [{"type": "odd", "content": "in", "page number": 8}]}, {"kids": [{"type": "ol", "items": [{"content": "i"}]}]}, {"type": "jpg"}]}
+    assert [(e["kind"], e["text"], e["items"], e["page"], e["level"]) for e in C.leaves(tree)] == [("heading", "t", None, 1, 4), ("text", "in", None, 8, None), ("list", None, ["i"], 1, None), ("image", "", None, 1, None)]
+
+
+@pytest.mark.parametrize("heads,left", [([(3, "x"), (1, "y"), (2, "z")], "yz"), ([(1, "x"), (2, "y"), (2, ""), (3, "z")], "xz"), ([(2, "x"), (None, "y")], "y"), ([(1, "x"), (1, None)], ""), ([], "")])
+def test_breadcrumbs(heads, left):
+    assert "".join(C.breadcrumb(heads)) == left
+
+
+def test_sections_over_pages():
+    found = chunked(("text", "intro", 1, None), ("heading", "Alpha", 1, 1), ("text", "one", 1, None), ("_skip", "foot", 1, None), ("text", "two", 2, None), ("text", "", 2, None), ("text", "three", 2, None), ("text", "four", 3, None), ("table", "|h|", 3, None), ("text", "five", 4, None))
+    assert [(c["content"], c["strategy"], c["page"]) for c in found] == [
+        ("intro", "size", 1),
+        ("Alpha\n\none", "size", 1),
+        ("Alpha (Forts.)\n\ntwo\n\nthree", "page_continuation", 2),
+        ("Alpha (Forts.)\n\nfour", "page_continuation", 3),
+        ("Alpha\n\n|h|", "intact", 3),
+        ("Alpha\n\nfive", "size", 4),
+    ]
+    assert found[0]["heading_path"] == [] and found[5]["heading_path"] == ["Alpha"]
+    assert [(c["content"], c["strategy"]) for c in chunked(("text", "p", 1, None), ("text", "q", 2, None), ("image", None, 2, None), ("text", "r", 2, None))] == [("p", "size"), ("q", "page_continuation"), (None, "image"), ("r", "size")]
+    assert chunked(("heading", "only", 1, 1), ("_skip", "x", 1, None)) == [] and C.sections([], [], [], []) == []
+
+
+def test_sections_are_as_full_as_they_can_be():
+    rng = random.Random(6)
+    sizes = [rng.randint(1, 60) for _ in range(200)]
+    texts = [chr(97 + k % 26) * n for k, n in enumerate(sizes)]
+    found = [c["content"].split("\n\n") for c in chunked(*(("text", t, 1, None) for t in texts), size=100) if c["strategy"] == "size"]
+    whole = [c["content"] for c in chunked(*(("text", t, 1, None) for t in texts), size=10**6)]
+    assert whole == ["\n\n".join(texts)]
+    assert all(sum(map(len, part)) <= 100 for part in found)
+    starts = C.starts_within(sizes, 100)
+    for a, b in zip(starts, [*starts[1:], None], strict=True):
+        assert sum(sizes[a:b]) <= 100 and (b is None or sum(sizes[a : b + 1]) > 100)
+    assert C.starts_within([200, 1, 200], 100) == [0, 1, 2] and C.starts_within([], 5) == []
+
+
+def test_rows_of_large_tables():
+    head = "| n | square |\n| --- | --- |"
+    rows = [f"| {n} | {n * n} |" for n in range(50)]
+    found = C.table_parts("\n".join([head, *rows, "  "]), 200)
+    assert {how for _, how in found} == {"row_groups"} and all(text.startswith(head + "\n") for text, _ in found)
+    parts = [text.split("\n")[2:] for text, _ in found]
+    assert sum(parts, []) == rows
+    room = 200 - len(head)
+    assert all(sum(map(len, p)) <= room for p in parts) and all(sum(map(len, p)) + len(q[0]) > room for p, q in zip(parts, parts[1:], strict=False))
+    assert C.table_parts(head, 200) == [(head, "intact")] and C.table_parts(" \n", 200) == C.table_parts(None, 200) == []
+    assert {how for _, how in C.table_parts("y" * 300, 200, 120)} == {"sentence_fallback"}
+    long = chunked(("heading", "Beta", 1, 2), ("table", "\n".join([head, *rows]), 1, None), limit=200)
+    assert all(c["content"].startswith("Beta\n\n" + head) for c in long) and len(long) >= len(found)
+
+
+def test_queries_chunk_whole_documents(spark, sf_dir):
+    texts = dict(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+    tables, got = {}, {}
+    for r in QUERIES["table_chunks"](spark, sf_dir).collect():
+        tables.setdefault((r["doc_id"], r["ord"]), []).append(r["content"])
+    assert {k for k in tables} == {(i, n) for i, t in texts.items() for n in range(len(t.split("\n"))) if n % 9 == 4}
+    for (i, n), parts in tables.items():
+        rows = [row for part in parts for row in part.split("\n")[2:]]
+        assert rows == [f"| {w} | 1 |" for w in texts[i].split("\n")[n].split(" ")]
+    for r in QUERIES["layout_to_chunks"](spark, sf_dir).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    for i, text in texts.items():
+        lines = text.split("\n")
+        images = sum(n % 9 == 7 for n in range(len(lines)))
+        rows = got.get(i, [])
+        assert sum(r["chunk_type"] == "image" for r in rows) == images and sorted(r["n"] for r in rows) == list(range(len(rows)))
+        assert all(len(r["content"]) <= C.CHUNK for r in rows if r["chunk_type"] == "text" and r["strategy"] != "intact" and r["strategy"] != "row_groups")
+        short = [n for n in range(len(lines)) if n % 9 in (1, 2, 3, 5, 6) and 0 < len(lines[n]) < 100]
+        written = "\n\n".join(r["content"] for r in rows if r["content"])
+        assert all(np.char.find(written, lines[n].strip()) >= 0 for n in short[:50] if not any(c in lines[n] for c in ".!?\t") and "  " not in lines[n])
 
 
 def test_sentences_and_overlap():
     assert C.split_sentences("") == C.split_sentences(None) == C.split_sentences(" \n ") == []
-    text = "Eins ist da. Zwei ist da. z.B. klein bleibt.\n\nDrei."
-    assert C.split_sentences(text, 1000, 10) == ["Eins ist da. Zwei ist da. z.B. klein bleibt. Drei."]
-    assert C.split_sentences(text, 30, 5) == ["Eins ist da. Zwei ist da.", "t da. z.B. klein bleibt.", "eibt. Drei."] or len(C.split_sentences(text, 30, 5)) >= 2
+    text = "Ann ran. Bob sat! e.g. here it stays.\n\nÄpfel?"
+    assert C.split_sentences(text, 1000, 10) == ["Ann ran. Bob sat! e.g. here it stays. Äpfel?"]
+    assert C.split_sentences(text, 20, 4) == ["Ann ran.", "ran. Bob sat! e.g. h", "g. here it stays.", ".", "ays. Äpfel?"]
     assert C.split_sentences("x" * 25, 10, 3) == ["x" * 10, "x" * 10, "x" * 10, "x" * 4]
     assert C.split_sentences("x" * 5, 2, 2) == ["xx", "xx", "xx", "xx", "x"]
 
 
 def test_fit_for_embedding(spark):
     bad = "�"
-    rows = spark.createDataFrame([("a b",), ("Bericht " + bad * 80 + " Umsatz",), (bad * 120,), ("#" * 50 + "ab",), (None,), ("  ",)], "t string")
-    assert [r[0] for r in rows.select(embedding_input(F.col("t"))).collect()] == ["a b", "Bericht Umsatz", None, None, None, None]
+    rows = spark.createDataFrame([("a b",), ("left " + bad * 80 + " right",), (bad * 120,), ("#" * 50 + "ab",), (None,), ("  ",)], "t string")
+    assert [r[0] for r in rows.select(embedding_input(F.col("t"))).collect()] == ["a b", "left right", None, None, None, None]
 
 
 def test_embedding_isolates_what_fails():
