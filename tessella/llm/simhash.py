@@ -17,30 +17,49 @@ from tessella.plans.lineage import cut
 SEED = 42
 SHINGLE = 3
 DISTANCE = 3
-#: Shingle hashes whose bits are counted at a time.
-COUNTED = 16_384
+#: Shingle hashes whose bits are counted at a time; bytes count up to 255.
+COUNTED = 255 * 64
 
 
-def fingerprint(text: str | None, words_each: int = SHINGLE) -> int:
-    """SimHash of a text's word shingles, repeats included; 0 for a text without words.
+def shingle_hashes(text: str | None, words_each: int = SHINGLE) -> np.ndarray:
+    """XXH64 of a text's word shingles, repeats included; of a text of fewer words, of all of them; none without words.
 
     ``bytes.lower`` changes only A-Z and ``bytes.split`` cuts at exactly the ASCII white space asked for.
     """
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "u8")
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), "i8", len(words)) + 1) - 1
     n = max(1, len(words) - words_each + 1)
     starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
     stops = ends[min(words_each, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), "<u8", n)
-    ones = np.zeros(64, "i8")
-    for k in range(0, n, COUNTED):
-        bits = np.unpackbits(hashes[k : k + COUNTED].view("u1").reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype="i8")
-    return int(((2 * ones > n).astype("u8") << np.arange(64, dtype="u8")).sum())
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), "<u8", n)
+
+
+def sketch(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """A SimHash of ``64 * words`` bits, as longs: a bit is 1 if it is set in over half the hashes, 0 throughout without any.
+
+    The first word counts the hashes themselves, each further word what a mixing of them by the word's number gives.
+    """
+    ones = np.zeros(64 * words, "i8")
+    for k in range(0, len(hashes), COUNTED):
+        some = hashes[k : k + COUNTED]
+        with np.errstate(over="ignore"):
+            wide = np.repeat(some[:, None], words, axis=1) + np.arange(words, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)
+            for _ in range(2 if words > 1 else 0):
+                wide[:, 1:] = (wide[:, 1:] ^ (wide[:, 1:] >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            wide[:, 1:] ^= wide[:, 1:] >> np.uint64(32)
+        bits = np.unpackbits(np.ascontiguousarray(wide, "<u8").view("u1"), axis=1, bitorder="little")
+        even = len(bits) // 255 * 255
+        ones += bits[:even].reshape(-1, 255, 64 * words).sum(axis=1, dtype="u1").sum(axis=0, dtype="i8") + bits[even:].sum(axis=0, dtype="u1")
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")
+
+
+def fingerprint(text: str | None, words_each: int = SHINGLE) -> int:
+    """SimHash of a text's word shingles, repeats included, as an unsigned number; 0 for a text without words."""
+    return int(sketch(shingle_hashes(text, words_each))[0]) % 2**64
 
 
 def with_fingerprints(docs: DataFrame, text_col: str = "text", words_each: int = SHINGLE) -> DataFrame:
@@ -55,16 +74,19 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", words_each: int =
     return docs.withColumn("fp", simhash(text_col))
 
 
-def balls(fp: str, zeros_only: bool) -> str:
-    """SQL: an array of (segment, key) of the two 32-bit halves of ``fp`` and, if asked for, of their neighbours.
+def segment_keys(words: str, count: int, bits: int) -> str:
+    """SQL: the segments of ``bits`` bits of an array of ``count`` longs, each as a long that begins with its number."""
+    per = 64 // bits
+    value = f"shiftrightunsigned({words}[cast(k div {per} as int)], cast({bits} * (k % {per}) as int)) & {(1 << bits) - 1}L"
+    return f"transform(sequence(0, {count * per - 1}), k -> shiftleft(cast(k as bigint), {bits}) | ({value}))"
+
+
+def balls(keys: str, bits: int) -> str:
+    """SQL: the segment keys and their neighbours at one bit's distance that have a one where the key has a zero.
 
-    Of two halves that differ in one bit, one has a zero there, so it is enough to set each zero bit.
+    Of two segments that differ in one bit, one has a zero there, so it is enough to set each zero bit.
     """
-    halves = f"array(struct(0 AS segment, {fp} & 4294967295L AS key), struct(1 AS segment, shiftrightunsigned({fp}, 32) AS key))"
-    if not zeros_only:
-        return halves
-    near = f"transform(filter(sequence(0, 31), i -> (h.key & shiftleft(1L, i)) = 0), i -> struct(h.segment AS segment, h.key | shiftleft(1L, i) AS key))"
-    return f"flatten(transform({halves}, h -> array_append({near}, h)))"
+    return f"flatten(transform({keys}, key -> array_append(transform(filter(sequence(0, {bits - 1}), i -> (key & shiftleft(1L, i)) = 0), i -> key | shiftleft(1L, i)), key)))"
 
 
 def near_pairs(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -75,10 +97,11 @@ def near_pairs(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """
     if not 0 <= distance <= 3:
         raise ValueError("two halves with balls of radius 1 find distances up to 3")
-    held = fps.selectExpr("fp AS dst", f"inline({balls('fp', False)})")
-    probes = fps.selectExpr("fp AS src", f"inline({balls('fp', True)})")
+    halves = segment_keys("array(fp)", 1, 32)
+    held = fps.selectExpr("fp AS dst", f"explode({halves}) AS key")
+    probes = fps.selectExpr("fp AS src", f"explode({balls(halves, 32)}) AS key")
     return (
-        probes.join(held, ["segment", "key"])
+        probes.join(held, "key")
         .where(f"src <> dst AND bit_count(src ^ dst) <= {distance}")
         .select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     )

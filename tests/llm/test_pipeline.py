@@ -1,8 +1,8 @@
 import re
+from itertools import combinations
 
 import corpus_pipeline as P
-from tessella.llm import simhash as H
-from tests.llm.test_repeats_and_simhash import brute, brute_components
+from tests.llm.test_repeats_and_simhash import brute
 from tests.llm.test_tokens_and_packing import check_packing
 
 
@@ -34,11 +34,13 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert after == sorted(first.values())
 
     before, after = (rows_of(x) for x in kept["near dedup"])
-    prints = {r[0]: H.fingerprint(r[1]) for r in before}
-    root, least = brute_components(set(prints.values())), {}
-    for i, f in sorted(prints.items()):
-        least.setdefault(root[f], i)
-    assert after == [r for r in before if r[0] in set(least.values())]
+    shingles = [set(zip(*(r[1].lower().split()[k:] for k in range(5)), strict=False)) or {(r[1].lower(),)} for r in before]
+    root = list(range(len(before)))
+    for a, b in combinations(root[:], 2):
+        if 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b]):
+            root = [root[a] if r == root[b] else r for r in root]
+    first = {r: i for i, r in reversed(list(enumerate(root)))}
+    assert after == [before[i] for i in sorted(first.values())] and len(after) < len(before)
 
     before, after = (rows_of(x) for x in kept["repeated passages"])
     want = brute([(r[0], r[1]) for r in before], 100)
