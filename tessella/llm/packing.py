@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import zlib
 from collections.abc import Iterator
@@ -75,97 +76,117 @@ def best_fit(lengths: list[int], capacity: int, longest_first: bool = False) ->
 
 
 class _Search:
-    """Bins and the pieces in them, while pieces are exchanged. Pieces of one length are alike."""
+    """Bins while they exchange pieces. Those that may still take some are listed by their room and by the lengths they hold.
+
+    Pieces of one length are alike. ``reach[b]`` is ``b`` and the room of the roomiest listed bin that holds a piece of length
+    ``b``: the largest sum such a bin could take for it.
+    """
 
     def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
-        self.capacity, self.size = capacity, np.array(lengths, "i8")
-        self.where = np.empty(len(lengths), "i8")
-        for b, items in enumerate(bins):
-            self.where[items] = b
-        self.fill = np.bincount(self.where, self.size, len(bins)).astype("i8")
-        self.held = [set(x) for x in bins]
-
-    def put(self, i: int, b: int) -> None:
-        old = self.where[i]
-        self.held[old].discard(i)
-        self.fill[old] -= self.size[i]
-        self.where[i] = b
-        self.held[b].add(i)
-        self.fill[b] += self.size[i]
-
-    def of_length(self, b: int, length: int) -> int:
-        return min(i for i in self.held[b] if self.size[i] == length)
+        self.capacity = capacity
+        self.held: list[dict[int, list[int]]] = []
+        for items in bins:
+            by: dict[int, list[int]] = {}
+            for i in items:
+                by.setdefault(lengths[i], []).append(i)
+            self.held.append(by)
+        self.room = [capacity - sum(lengths[i] for i in items) for items in bins]
+
+    def list_all(self) -> None:
+        self.listed = [False] * len(self.room)
+        self.by_room: list[dict[int, None]] = [{} for _ in range(self.capacity + 1)]
+        self.rooms = 0  # bit r: a listed bin has room r
+        self.heaps: list[list[tuple[int, int]]] = [[] for _ in range(self.capacity + 1)]
+        self.reach = np.zeros(self.capacity + 1, "i8")
+        for b, room in enumerate(self.room):
+            if 0 < room < self.capacity:
+                self.enter(b)
+
+    def enter(self, b: int) -> None:
+        room = self.room[b]
+        self.listed[b] = True
+        self.by_room[room][b] = None
+        self.rooms |= 1 << room
+        for length in self.held[b]:
+            heapq.heappush(self.heaps[length], (-room, b))
+            self.look(length)
+
+    def leave(self, b: int) -> None:
+        room = self.room[b]
+        self.listed[b] = False
+        del self.by_room[room][b]
+        if not self.by_room[room]:
+            self.rooms &= ~(1 << room)
+        for length in self.held[b]:
+            self.look(length)
+
+    def look(self, length: int) -> None:
+        heap = self.heaps[length]
+        while heap and not (self.listed[b := heap[0][1]] and self.room[b] == -heap[0][0] and length in self.held[b]):
+            heapq.heappop(heap)
+        self.reach[length] = length - heap[0][0] if heap else 0
+
+    def give(self, length: int, a: int, b: int) -> None:
+        pieces = self.held[a][length]
+        self.held[b].setdefault(length, []).append(pieces.pop())
+        if not pieces:
+            del self.held[a][length]
+        self.room[a] += length
+        self.room[b] -= length
 
     def exchange(self, s: int) -> bool:
-        """The exchange that moves most tokens from bin ``s`` to one as full or fuller; False if there is none.
+        """The exchange that moves most tokens from bin ``s`` to a listed bin; False if there is none.
 
-        A bin that holds a piece of length ``b`` and has room ``r`` can take a sum ``g`` for it if ``b < g <= b + r``. So of each
-        length only the bin with most room counts, and of the lengths the smallest for which ``g <= b + r`` moves most.
+        For a piece of length ``b`` a bin with room ``r`` takes a sum ``g`` if ``b < g <= b + r``. So of each length only the
+        roomiest bin counts, and of the lengths the smallest whose reach is at least ``g`` moves most.
         """
-        fill, size = self.fill, self.size
-        room = np.where(fill >= fill[s], self.capacity - fill, 0)
-        room[s] = 0
-        most = int(room.max())
-        if not most:
-            return False
-        own, counts = np.unique(size[list(self.held[s])], return_counts=True)
-        moved, given, taken = 0, (), 0
-        fitting = own[own <= most]
-        if len(fitting):
-            moved, given = int(fitting[-1]), (int(fitting[-1]),)
-        i, j = np.triu_indices(len(own))
-        pairs = (i < j) | (counts[i] > 1)
-        i, j = i[pairs], j[pairs]
-        sums = np.concatenate([own, own[i] + own[j]])
-        near = np.flatnonzero(room[self.where] > 0)
-        best_room = np.zeros(self.capacity + 1, "i8")
-        np.maximum.at(best_room, size[near], room[self.where[near]])
-        has = np.flatnonzero(best_room)
-        if len(has):
-            k = np.searchsorted(np.maximum.accumulate(has + best_room[has]), sums)
-            gain = sums - has[np.minimum(k, len(has) - 1)]
-            gain[(k == len(has)) | (gain < 0)] = 0
-            top = int(np.argmax(gain))
-            if gain[top] > moved:
-                moved, taken = int(gain[top]), int(has[k[top]])
-                given = (int(own[top]),) if top < len(own) else (int(own[i[top - len(own)]]), int(own[j[top - len(own)]]))
-        if not moved:
+        most = self.rooms.bit_length() - 1
+        own = sorted(self.held[s])
+        moved = given = max((n for n in own if n <= most), default=0)
+        taken, sets = 0, [(n,) for n in own] + [(n, m) for k, n in enumerate(own) for m in own[k if len(self.held[s][n]) > 1 else k + 1 :]]
+        sums = np.fromiter(map(sum, sets), "i8", len(sets))
+        least = np.searchsorted(np.maximum.accumulate(self.reach), sums)
+        gain = sums - least
+        top = int(np.argmax(np.where(least <= self.capacity, gain, 0)))
+        if least[top] <= self.capacity and gain[top] > moved:
+            moved, given, taken = int(gain[top]), sets[top], int(least[top])
+            other = self.heaps[taken][0][1]
+        elif moved:
+            fitting = self.rooms >> moved
+            other, given = next(reversed(self.by_room[moved + (fitting & -fitting).bit_length() - 1])), (moved,)
+        else:
             return False
+        self.leave(other)
         if taken:
-            other = int(self.where[near[(size[near] == taken) & (room[self.where[near]] == best_room[taken])].min()])
-            self.put(self.of_length(other, taken), s)
-        else:
-            other = int(np.argmin(np.where(room >= moved, room, self.capacity + 1)))
+            self.give(taken, other, s)
         for length in given:
-            self.put(self.of_length(s, length), other)
+            self.give(length, s, other)
+        if self.room[other]:
+            self.enter(other)
         return True
 
 
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Fewer bins, by exchanges that each raise the sum of squared fills.
 
-    The emptiest bin that is not full gives to bins as full or fuller: it moves a piece into the tightest room, exchanges one
-    of its pieces for a shorter one, or two for one shorter than both together, always the exchange that moves most. An
-    emptied bin goes. A bin that no exchange can lower is left, and the next emptiest is tried. Rounds over all bins go on
-    while they empty some, or until the lower bound on the number of bins is met. Every exchange moves at least one token to
-    a fuller bin, so each bin's turn ends.
+    Bins that are not full have a turn each, the emptiest first, and give to those whose turn is still to come, which are as
+    full or fuller: a piece into the tightest room, one of its pieces for a shorter one, or two for one shorter than both
+    together, always the exchange that moves most. An emptied bin goes; one that no exchange can lower is left. Rounds go on
+    while anything moves, or until the lower bound on the number of bins is met. As every exchange raises the sum of squares,
+    they end.
     """
-    state = _Search(bins, lengths, capacity)
-    least = -(-int(state.size.sum()) // capacity)
-    alive, before, tried = len(bins), len(bins), np.zeros(len(bins), bool)
-    while alive > least:
-        open_bins = np.flatnonzero(~tried & (state.fill > 0) & (state.fill < capacity))
-        if not len(open_bins):
-            if alive == before:
-                break
-            before, tried = alive, np.zeros(len(bins), bool)
-            continue
-        s = int(open_bins[np.argmin(state.fill[open_bins])])
-        while state.held[s] and state.exchange(s):
-            pass
-        tried[s] = True
-        alive -= not state.held[s]
-    return [sorted(x) for x in state.held if x]
+    state, alive, least = _Search(bins, lengths, capacity), len(bins), -(-sum(lengths) // capacity)
+    moving = True
+    while moving and alive > least:
+        moving = False
+        state.list_all()
+        while alive > least and state.rooms:
+            s = next(reversed(state.by_room[state.rooms.bit_length() - 1]))
+            state.leave(s)
+            while state.held[s] and state.exchange(s):
+                moving = True
+            alive -= not state.held[s]
+    return [sorted(i for pieces in x.values() for i in pieces) for x in state.held if x]
 
 
 def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
