@@ -59,12 +59,14 @@ def json_extract(v: Views) -> DataFrame:
     return v.chunks.select("id", meta("source").alias("source"), meta("page").cast("int").alias("page"), meta("feed_name").alias("feed_name"))
 
 
-@query("SELECT id, page FROM chunks WHERE doc_id IN (0, 1, 2, 3, 4, 5) AND (content_text ILIKE '%tion%' OR content_text ILIKE '%the%' OR caption ILIKE '%tion%' OR caption ILIKE '%the%')")
-def multi_term_search(v: Views) -> DataFrame:
+@query("SELECT id, doc_id, page FROM chunks WHERE (content_text ILIKE '%tion%' OR content_text ILIKE '%the%' OR caption ILIKE '%tion%' OR caption ILIKE '%the%')")
+def multi_term_search(v: Views, terms: tuple[str, ...] = ("tion", "the"), doc_id: int | None = None) -> DataFrame:
+    """Chunks with any of the terms in text or caption, of all documents or of one."""
+    rows = v.chunks if doc_id is None else v.chunks.where(F.col("doc_id") == doc_id)
     found = F.lit(False)
-    for term in ("tion", "the"):
+    for term in terms:
         found = found | F.coalesce(F.col("content_text").ilike(f"%{term}%"), F.lit(False)) | F.coalesce(F.col("caption").ilike(f"%{term}%"), F.lit(False))
-    return v.chunks.where(F.col("doc_id").isin(*range(6)) & found).select("id", "page")
+    return rows.where(found).select("id", "doc_id", "page")
 
 
 @query("""WITH hits AS (SELECT DISTINCT doc_id, page FROM chunks WHERE label = 3)
@@ -251,8 +253,44 @@ def coverage_pct(v: Views) -> DataFrame:
 
 @query("SELECT filename, count(*) AS n FROM chunks JOIN docs USING (doc_id) WHERE embedding IS NULL GROUP BY 1 ORDER BY n DESC, filename LIMIT 10")
 def top_missing(v: Views) -> DataFrame:
-    lost = v.chunks.where("embedding IS NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
-    return lost.join(v.docs, "doc_id").groupBy("filename").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "filename").limit(10)
+    return _top_files(v, F.col("embedding").isNull())
+
+
+def _top_files(v: Views, of: Column) -> DataFrame:
+    """The ten files with most chunks that ``of`` holds for, counted by document before the join."""
+    found = v.chunks.where(of).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return found.join(v.docs, "doc_id").groupBy("filename").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "filename").limit(10)
+
+
+_TEXT_LENGTH = "length(coalesce(content_text, ''))"
+
+
+@query(f"SELECT filename, count(*) AS n FROM chunks JOIN docs USING (doc_id) WHERE chunk_type = 'text' AND {_TEXT_LENGTH} < 50 GROUP BY 1 ORDER BY n DESC, filename LIMIT 10")
+def top_short(v: Views) -> DataFrame:
+    return _top_files(v, F.expr(f"chunk_type = 'text' AND {_TEXT_LENGTH} < 50"))
+
+
+@query(f"SELECT filename, count(*) AS n FROM chunks JOIN docs USING (doc_id) WHERE chunk_type = 'text' AND {_TEXT_LENGTH} > 8000 GROUP BY 1 ORDER BY n DESC, filename LIMIT 10")
+def top_long(v: Views) -> DataFrame:
+    return _top_files(v, F.expr(f"chunk_type = 'text' AND {_TEXT_LENGTH} > 8000"))
+
+
+@query("WITH gone AS (SELECT DISTINCT id FROM chunks WHERE label = 7) SELECT id, doc_id FROM chunks WHERE id NOT IN (SELECT id FROM gone)")
+def delete_by_ids(v: Views) -> DataFrame:
+    """Chunks without those on a list of ids, however long; an anti-join takes the place of batches."""
+    listed = v.chunks.where("label = 7").select("id").distinct()
+    return v.chunks.select("id", "doc_id").join(listed, "id", "left_anti")
+
+
+@query("""WITH r AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'true' WHEN 1 THEN user_id || '' WHEN 2 THEN '"' || user_id || '"' WHEN 3 THEN '"-' || user_id || '"' WHEN 4 THEN '-' || user_id WHEN 5 THEN user_id || '.5' ELSE '""' END AS raw FROM events)
+    SELECT event_id, CASE WHEN regexp_full_match(raw, '-?[0-9]+') THEN raw::BIGINT WHEN regexp_full_match(raw, '"[0-9]+"') THEN trim(raw, '"')::BIGINT END AS n FROM r""")
+def coerce_int(v: Views) -> DataFrame:
+    """Whole numbers from JSON values: a number is one, a string of digits too; a boolean, a sign in a string or a fraction is none."""
+    user = F.col("user_id").cast("string")
+    kinds = (F.lit("true"), user, F.concat(F.lit('"'), user, F.lit('"')), F.concat(F.lit('"-'), user, F.lit('"')), F.concat(F.lit("-"), user), F.concat(user, F.lit(".5")), F.lit('""'))
+    raw = F.element_at(F.array(*kinds), (1 + F.col("event_id") % 7).cast("int"))
+    number = F.when(raw.rlike("^-?[0-9]+$"), raw.try_cast("bigint")).when(raw.rlike('^"[0-9]+"$'), F.btrim(raw, F.lit('"')).try_cast("bigint"))
+    return v.table("events").select("event_id", number.alias("n"))
 
 
 @query("""WITH g AS (SELECT filename, coalesce(json_extract_string(meta, '$.embedding_error'), 'none') AS error, count(*) AS n FROM chunks JOIN docs USING (doc_id) GROUP BY 1, 2)

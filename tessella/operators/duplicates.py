@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.vectors import cosine
+from tessella.functions.blocks import BLOCK, asked_of_all, dealt, meet
 from tessella.operators.components import connected_components
-from tessella.plans.arrow import arrow_rows
-from tessella.plans.lineage import cut
 from tessella.registry import query
 from tessella.sources.views import Views
 
@@ -48,25 +44,41 @@ def dhash_of(v: Views) -> DataFrame:
 def hamming_pairs_within(rows: DataFrame, distance: int, bits: int = 56) -> DataFrame:
     """Pairs of ids whose hashes differ in at most ``distance`` bits.
 
-    Cut into one band more than the distance, two such hashes agree in a band, so pairs meet in an equi-join; rows of equal
-    hashes are one row there, and only their first ids are paired with others.
+    Cut into ``distance // 2 + 1`` bands, two such hashes differ in at most one bit of some band. So each hash is held under its
+    bands, and looked up under them and their neighbours at one bit's distance; of two such bands one has a zero where they
+    differ, so it is enough to set each zero bit. Rows of equal hashes are one row there, and only their first ids are paired
+    with others.
     """
-    bands, width = distance + 1, -(-bits // (distance + 1))
+    bands = distance // 2 + 1
+    width = -(-bits // bands)
     firsts = rows.groupBy("h").agg(F.min("id").alias("id"))
-    keys = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("h", k * width).bitwiseAND(F.lit((1 << width) - 1)).alias("key")) for k in range(bands)])
-    banded = firsts.select("id", "h", F.inline(keys))
-    other = banded.select(F.col("id").alias("id2"), F.col("h").alias("h2"), "band", "key")
-    near = banded.join(other, ["band", "key"]).where("id < id2").where(hamming(F.col("h"), F.col("h2")) <= distance).select("id", "id2").distinct()
+    band = f"transform(sequence(0, {bands - 1}), k -> struct(k AS band, shiftrightunsigned(h, k * {width}) & {(1 << width) - 1}L AS key))"
+    near = f"transform(filter(sequence(0, {width - 1}), i -> (b.key & shiftleft(1L, i)) = 0), i -> struct(b.band AS band, b.key | shiftleft(1L, i) AS key))"
+    probes = firsts.selectExpr("id", "h", f"inline(flatten(transform({band}, b -> array_append({near}, b))))")
+    held = firsts.selectExpr("id AS id2", "h AS h2", f"inline({band})")
+    found = probes.join(held, ["band", "key"]).where("id <> id2").where(hamming(F.col("h"), F.col("h2")) <= distance).select(F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("id2")).distinct()
     same = rows.join(firsts.select("h", F.col("id").alias("first")), "h").where("id <> first").select(F.col("first").alias("id"), F.col("id").alias("id2"))
-    return near.union(same)
+    return found.union(same)
 
 
-@query(f"WITH {HASHES}, f AS (SELECT h, min(id) AS id FROM h GROUP BY 1) SELECT a.id, b.id AS id2 FROM f a JOIN f b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 15 UNION ALL SELECT f.id, h.id FROM h JOIN f USING (h) WHERE h.id <> f.id")
-def hamming_pairs(v: Views) -> DataFrame:
-    """The given grids are unlike each other, so the distance is wide."""
-    return hamming_pairs_within(hashes(v), 15)
+def copies(v: Views) -> DataFrame:
+    """Hashes of images, three to a grid: the grid's own, one that differs in two bits, and one that differs from that in three."""
+    first, second = F.expr("id % 28"), F.expr("28 + id % 28")
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))
+    near = F.col("h").bitwiseXOR(bit(first)).bitwiseXOR(bit(second))
+    far = near.bitwiseXOR(bit((first + 1) % 28)).bitwiseXOR(bit((first + 2) % 28)).bitwiseXOR(bit((first + 3) % 28))
+    return hashes(v).select(F.posexplode(F.array("h", near, far)).alias("n", "h"), F.col("id").alias("grid")).select((F.col("grid") * 3 + F.col("n")).alias("id"), "h")
+
+
+COPIES = HASHES + """, n AS (SELECT id, h, xor(xor(h, 1::BIGINT << (id % 28)::INT), 1::BIGINT << (28 + id % 28)::INT) AS h1 FROM h),
+    c AS (SELECT id * 3 AS id, h FROM n UNION ALL SELECT id * 3 + 1, h1 FROM n UNION ALL SELECT id * 3 + 2, xor(xor(xor(h1, 1::BIGINT << ((id % 28 + 1) % 28)::INT), 1::BIGINT << ((id % 28 + 2) % 28)::INT), 1::BIGINT << ((id % 28 + 3) % 28)::INT) FROM n),
+    f AS (SELECT h, min(id) AS id FROM c GROUP BY 1), p AS (SELECT a.id, b.id AS id2 FROM f a JOIN f b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 4 UNION ALL SELECT f.id, c.id FROM c JOIN f USING (h) WHERE c.id <> f.id)"""
 
 
+@query(f"WITH {COPIES} SELECT id, id2 FROM p")
+def hamming_pairs(v: Views) -> DataFrame:
+    return hamming_pairs_within(copies(v), 4)
+
 
 def clusters(pairs: DataFrame) -> DataFrame:
     """``(id, cluster)`` for every id that is like another, directly or by way of others."""
@@ -78,40 +90,28 @@ REACH = """e AS (SELECT id AS a, id2 AS b FROM p UNION SELECT id2, id FROM p), r
     SELECT a AS id, least(a, min(b)) AS cluster FROM r GROUP BY a"""
 
 
-@query(f"WITH {HASHES}, f AS (SELECT h, min(id) AS id FROM h GROUP BY 1), p AS (SELECT a.id, b.id AS id2 FROM f a JOIN f b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 13 UNION ALL SELECT f.id, h.id FROM h JOIN f USING (h) WHERE h.id <> f.id), " + REACH)
+@query(f"WITH {COPIES}, " + REACH)
 def hamming_clusters(v: Views) -> DataFrame:
-    return clusters(hamming_pairs_within(hashes(v), 13))
+    """Images that are alike by way of others too: the third of a grid is like its second, which is like the first."""
+    return clusters(hamming_pairs_within(copies(v), 4))
 
 
-def cosine_pairs_within(rows: DataFrame, least: float, block: int = 1024) -> DataFrame:
+def cosine_pairs_within(rows: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     """Pairs of ids whose vectors have a cosine of ``least`` or more, exactly.
 
     Cosine has no key to join on, so all rows meet all rows, but in blocks: vectors are gathered into matrices, each pair of
     blocks is one product, and only pairs that qualify leave a task.
     """
-    count = max(1, -(-rows.count() // block))
-
-    def packed(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        m = np.stack(group["v"].to_list()).astype("f8")
-        return pd.DataFrame([{"b": key[0], "ids": group["id"].to_numpy("i8").tobytes(), "m": m.tobytes()}])
+    blocks, count = dealt(rows.withColumn("flag", F.lit(False)), block)
+    left = blocks.select("ids", "m", F.explode(F.sequence("b", F.lit(count - 1).cast("long"))).alias("b2"))
+    right = blocks.select(F.col("b").alias("b2"), F.col("ids").alias("ids2"), F.col("flags").alias("flags2"), F.col("m").alias("m2"))
 
-    blocks = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(count)).alias("b")).groupBy("b").applyInPandas(packed, "b long, ids binary, m binary")
-    left = blocks.select("b", "ids", "m", F.explode(F.sequence("b", F.lit(count - 1).cast("long"))).alias("b2"))
-    right = blocks.select(F.col("b").alias("b2"), F.col("ids").alias("ids2"), F.col("m").alias("m2"))
+    def found(a: np.ndarray, b: np.ndarray, _: np.ndarray, c: np.ndarray) -> pd.DataFrame:
+        i, j = np.nonzero(c >= least)
+        pairs = pd.DataFrame({"id": np.minimum(a[i], b[j]), "id2": np.maximum(a[i], b[j])})
+        return pairs[pairs["id"] < pairs["id2"]].drop_duplicates()
 
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                a, b = np.frombuffer(r.ids, "i8"), np.frombuffer(r.ids2, "i8")
-                x, y = np.frombuffer(r.m).reshape(len(a), -1), np.frombuffer(r.m2).reshape(len(b), -1)
-                sizes = np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1))
-                i, j = np.nonzero(np.round(np.divide(x @ y.T, sizes, out=np.zeros_like(sizes), where=sizes > 0), 6) >= least)
-                one, two = np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
-                pairs = pd.DataFrame({"id": one, "id2": two})
-                yield pairs[pairs["id"] < pairs["id2"]].drop_duplicates()
-
-    with arrow_rows(rows.sparkSession, 16):  # a row holds two blocks
-        return cut(left.join(right, "b2").select("ids", "m", "ids2", "m2").mapInPandas(found, "id long, id2 long"))
+    return meet(left.join(right, "b2"), found, "id long, id2 long")
 
 
 PAIRS = "p AS (SELECT a.vec_id AS id, b.vec_id AS id2 FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.4)"
@@ -167,12 +167,35 @@ def leader_dedup(v: Views) -> DataFrame:
     return leaders(rows, 0.2)
 
 
-@query()
-def greedy_store_dedup(v: Views) -> DataFrame:
-    """New images against a growing store, as a batch: an image takes the name of the smallest one that it is like by way of others.
+def first_match(new: DataFrame, store: DataFrame, least: float = 0.95) -> DataFrame:
+    """``(id, stored_as)`` for each of ``new`` (id, v): the smallest id of ``store`` with a cosine of ``least`` or more, else its own.
 
-    The order-dependent walk has no distributed form; the batch is its transitive closure, which never stores two images
-    that are alike.
+    New images are judged against the store as it stands, a round at a time; a round's images do not see each other.
     """
-    found = clusters(cosine_pairs_within(_vectors(v), 0.4))
-    return v.table("embeddings").select(F.col("vec_id").alias("id")).join(found, "id", "left").select("id", F.coalesce("cluster", "id").alias("stored_as"))
+
+    def found(a: np.ndarray, b: np.ndarray, _: np.ndarray, c: np.ndarray) -> pd.DataFrame:
+        first = np.where(c >= least, b[None, :], np.iinfo("i8").max).min(axis=1, initial=np.iinfo("i8").max)
+        hit = first < np.iinfo("i8").max
+        return pd.DataFrame({"new_id": a[hit], "match": first[hit]})
+
+    best = asked_of_all(new, store.withColumn("flag", F.lit(False)), found, "new_id long, match long").groupBy("new_id").agg(F.min("match").alias("match"))
+    return new.join(best, F.col("id") == F.col("new_id"), "left").select("id", F.coalesce("match", "id").alias("stored_as"))
+
+
+@query("""SELECT n.vec_id AS id, coalesce(min(s.vec_id), n.vec_id) AS stored_as FROM (SELECT * FROM embeddings WHERE vec_id % 4 = 3) n
+    LEFT JOIN (SELECT * FROM embeddings WHERE vec_id % 4 <> 3) s ON round(list_cosine_similarity(n.embedding::DOUBLE[], s.embedding::DOUBLE[]), 6) >= 0.4 GROUP BY n.vec_id""")
+def greedy_store_dedup(v: Views) -> DataFrame:
+    """A round of new images against those stored: every fourth vector is new."""
+    rows = _vectors(v)
+    return first_match(rows.where("id % 4 = 3"), rows.where("id % 4 <> 3"), 0.4)
+
+
+@query("""WITH s AS (SELECT sha256, min(doc_id) AS doc_id FROM docs WHERE doc_id % 3 <> 1 GROUP BY 1), n AS (SELECT sha256, doc_id, min(doc_id) OVER (PARTITION BY sha256) AS first FROM docs WHERE doc_id % 3 = 1)
+    SELECT n.doc_id, coalesce(s.doc_id, n.first) AS stored_as, CASE WHEN s.doc_id IS NOT NULL THEN 'stored' WHEN n.first < n.doc_id THEN 'copy' ELSE 'new' END AS how FROM n LEFT JOIN s USING (sha256)""")
+def save_by_content(v: Views) -> DataFrame:
+    """What is new is saved under its content's hash: not if the store has it, and once if several new ones are equal."""
+    stored = v.docs.where("doc_id % 3 <> 1").groupBy("sha256").agg(F.min("doc_id").alias("stored"))
+    first = v.docs.where("doc_id % 3 = 1").groupBy("sha256").agg(F.min("doc_id").alias("first"))
+    rows = v.docs.where("doc_id % 3 = 1").select("doc_id", "sha256").join(first, "sha256").join(stored, "sha256", "left")
+    how = F.when(F.col("stored").isNotNull(), "stored").when(F.col("first") < F.col("doc_id"), "copy").otherwise("new")
+    return rows.select("doc_id", F.coalesce("stored", "first").alias("stored_as"), how.alias("how"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.functions.blocks import asked_of_all
 from tessella.functions.vectors import cosine, cosine_to, norm
 from tessella.operators.corpus import meta
+from tessella.plans.lineage import cut
 from tessella.registry import query
 from tessella.sources.views import Views
 
@@ -327,21 +331,49 @@ def structural_coverage(v: Views) -> DataFrame:
     return hits.groupBy("chunk_type").agg(F.count("*").alias("n"), pct(heading).alias("heading_pct"), pct(note).alias("note_pct"), pct(~heading & ~note).alias("missing_pct"))
 
 
-PROMPTS = """prompts AS (SELECT vec_id AS prompt, embedding AS pq, label AS plabel FROM embeddings WHERE vec_id IN (1, 2, 3, 5, 6)), gold AS (SELECT prompt, id FROM prompts JOIN chunks ON label = plabel AND id <> prompt),
+PROMPTS = """prompts AS (SELECT vec_id AS prompt, embedding AS pq, label AS plabel FROM embeddings WHERE vec_id % 100 = 0),
+    gold AS (SELECT prompt, id FROM prompts JOIN chunks ON id // 100 = prompt // 100 AND id <> prompt AND abs(label - plabel) <= 2),
     ps AS (SELECT prompt, id, chunk_type, round(list_cosine_similarity(embedding::DOUBLE[], pq::DOUBLE[]), 6) AS score FROM chunks, prompts WHERE embedding IS NOT NULL AND id <> prompt),
     pr AS (SELECT *, row_number() OVER (PARTITION BY prompt, chunk_type ORDER BY score DESC, id) AS r FROM ps QUALIFY r <= CASE WHEN chunk_type = 'image' THEN 20 ELSE 60 END),
     cand AS (SELECT prompt, id, chunk_type, score, row_number() OVER (PARTITION BY prompt ORDER BY chunk_type = 'image', r) AS rank FROM pr)"""
 
 
+def best_of_all(prompts: DataFrame, chunks: DataFrame, texts: int, images: int) -> DataFrame:
+    """``(prompt, id, chunk_type, score, r)``: for each of ``prompts`` (prompt, pq) the best texts and images of all chunks but itself.
+
+    Prompts meet chunks in blocks; a pair of blocks gives no more than the best of each kind, and a window merges them.
+    """
+
+    def found(a: np.ndarray, b: np.ndarray, image: np.ndarray, c: np.ndarray) -> pd.DataFrame:
+        parts = []
+        for kind, most in ((False, texts), (True, images)):
+            at = np.flatnonzero(image == kind)
+            at = at[np.argsort(b[at], kind="stable")]
+            for i, prompt in enumerate(a):
+                own = at[b[at] != prompt]
+                top_ = own[np.argsort(-c[i, own], kind="stable")[:most]]
+                parts.append(pd.DataFrame({"prompt": prompt, "id": b[top_], "image": kind, "score": c[i, top_]}))
+        return pd.concat(parts)
+
+    rows = chunks.where("embedding IS NOT NULL").select("id", F.col("embedding").alias("v"), (F.col("chunk_type") == "image").alias("flag"))
+    near = asked_of_all(prompts.select(F.col("prompt").alias("id"), F.col("pq").alias("v")), rows, found, "prompt long, id long, image boolean, score double")
+    rank = F.row_number().over(W.partitionBy("prompt", "image").orderBy(F.desc("score"), "id"))
+    kept = near.withColumn("r", rank).where(F.col("r") <= F.when(F.col("image"), images).otherwise(texts))
+    return kept.select("prompt", "id", F.when(F.col("image"), "image").otherwise("text").alias("chunk_type"), "score", "r")
+
+
+def _prompts(v: Views) -> DataFrame:
+    """Every vector whose id is divisible by 100 asks."""
+    return v.table("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("prompt"), F.col("embedding").alias("pq"), F.col("label").alias("plabel"))
+
+
 def _candidates(v: Views) -> tuple[DataFrame, DataFrame]:
-    """Gold chunks (those of the prompt's label) and ranked candidates of some prompts: texts first, then images."""
-    prompts = v.table("embeddings").where(F.col("vec_id").isin(1, 2, 3, 5, 6)).select(F.col("vec_id").alias("prompt"), F.col("embedding").alias("pq"), F.col("label").alias("plabel"))
-    gold = v.chunks.join(F.broadcast(prompts), (F.col("label") == F.col("plabel")) & (F.col("id") != F.col("prompt"))).select("prompt", "id")
-    pairs = v.chunks.where("embedding IS NOT NULL").crossJoin(F.broadcast(prompts)).where("id <> prompt")  # five prompts
-    rank = F.row_number().over(W.partitionBy("prompt", "chunk_type").orderBy(F.desc("score"), "id"))
-    best = pairs.select("prompt", "id", "chunk_type", F.round(cosine(F.col("embedding"), F.col("pq")), 6).alias("score")).withColumn("r", rank).where(F.col("r") <= F.when(F.col("chunk_type") == "image", 20).otherwise(60))
+    """Gold chunks (of a like label, among the hundred from the prompt on) and ranked candidates of all prompts: texts first, then images."""
+    prompts = _prompts(v)
+    near = prompts.select("prompt", "plabel", F.expr("prompt div 100").alias("hundred"))
+    gold = v.chunks.select("id", "label", F.expr("id div 100").alias("hundred")).join(near, "hundred").where("id <> prompt AND abs(label - plabel) <= 2").select("prompt", "id")
     order = F.row_number().over(W.partitionBy("prompt").orderBy(F.col("chunk_type") == "image", "r"))
-    return gold, best.select("prompt", "id", "chunk_type", "score", order.alias("rank"))
+    return gold, best_of_all(prompts, v.chunks, 60, 20).select("prompt", "id", "chunk_type", "score", order.alias("rank"))
 
 
 @query(f"""WITH {PROMPTS} SELECT g.prompt, count(*) AS n_gold, round(count(*) FILTER (rank <= 1) / count(*), 6) AS recall_1, round(count(*) FILTER (rank <= 5) / count(*), 6) AS recall_5,
@@ -363,37 +395,91 @@ def cross_reference(v: Views) -> DataFrame:
 
 
 @query(f"""WITH {PROMPTS}, x AS (SELECT g.prompt, count(*) AS n, count(*) FILTER (ch.embedding IS NOT NULL) AS e, count(*) FILTER (c.id IS NOT NULL) AS c, count(*) FILTER (c.rank <= 6) AS f FROM gold g LEFT JOIN cand c ON g.prompt = c.prompt AND g.id = c.id JOIN chunks ch ON g.id = ch.id GROUP BY 1)
-    SELECT p.prompt, CASE WHEN n IS NULL THEN 'missing_chunk' WHEN e = 0 THEN 'missing_embedding' WHEN p.prompt % 5 = 0 THEN 'unknown_due_to_insufficient_evidence' WHEN c = 0 THEN 'low_rank' WHEN f = 0 THEN 'context_packing' ELSE 'generation' END AS class FROM prompts p LEFT JOIN x USING (prompt)""")
+    SELECT p.prompt, CASE WHEN n IS NULL THEN 'missing_chunk' WHEN e = 0 THEN 'missing_embedding' WHEN p.prompt % 500 = 0 THEN 'unknown_due_to_insufficient_evidence' WHEN c = 0 THEN 'low_rank' WHEN f = 0 THEN 'context_packing' ELSE 'generation' END AS class FROM prompts p LEFT JOIN x USING (prompt)""")
 def classify_failure(v: Views) -> DataFrame:
     """Where the evidence for a prompt was lost: never stored, never embedded, unknown, ranked low, not packed, or not used."""
     gold, ranked = _candidates(v)
     rows = gold.join(ranked, ["prompt", "id"], "left").join(v.chunks.select("id", F.col("embedding").isNotNull().alias("has")), "id")
     counts = rows.groupBy("prompt").agg(F.count("*").alias("n"), F.count_if("has").alias("e"), F.count("rank").alias("c"), F.count_if(F.col("rank") <= 6).alias("f"))
     kind = (
-        F.when(F.col("n").isNull(), "missing_chunk").when(F.col("e") == 0, "missing_embedding").when(F.col("prompt") % 5 == 0, "unknown_due_to_insufficient_evidence")
+        F.when(F.col("n").isNull(), "missing_chunk").when(F.col("e") == 0, "missing_embedding").when(F.col("prompt") % 500 == 0, "unknown_due_to_insufficient_evidence")
         .when(F.col("c") == 0, "low_rank").when(F.col("f") == 0, "context_packing").otherwise("generation")
     )
-    prompts = v.table("embeddings").where(F.col("vec_id").isin(1, 2, 3, 5, 6)).select(F.col("vec_id").alias("prompt"))
-    return prompts.join(counts, "prompt", "left").select("prompt", kind.alias("class"))
+    return _prompts(v).select("prompt").join(counts, "prompt", "left").select("prompt", kind.alias("class"))
 
 
-@query("""WITH g AS (SELECT label AS prompt_n, array_agg(vec_id ORDER BY vec_id) AS ids FROM embeddings WHERE vec_id < 100 AND label <> 9 GROUP BY 1), j AS (SELECT 'p' || prompt_n || '_v1' AS k, ids FROM g)
+@query("""WITH g AS (SELECT vec_id // 100 AS h, label, array_agg(vec_id ORDER BY vec_id) AS ids FROM embeddings WHERE label <> 9 GROUP BY 1, 2), j AS (SELECT 'p' || h || 'x' || label || '_v1' AS k, ids FROM g)
     SELECT split_part(k, '_', 1) AS prompt, k AS full_id, unnest(ids) AS chunk_id FROM j""")
 def gold_unnest(v: Views) -> DataFrame:
-    """A gold file, read as a map of prompts; a prompt without gold ids falls out."""
-    rows = v.table("embeddings").where("vec_id < 100").groupBy("label").agg(F.array_join(F.array_sort(F.collect_list("vec_id")), ",").alias("ids"))
+    """Gold files, read as maps of prompts; a prompt without gold ids falls out. A file holds the ids of one label in a hundred."""
+    rows = v.table("embeddings").groupBy(F.expr("vec_id div 100").alias("h"), "label").agg(F.array_join(F.array_sort(F.collect_list("vec_id")), ",").alias("ids"))
     entry = F.when(F.col("label") == 9, F.lit('{"query":"none"}')).otherwise(F.concat(F.lit('{"query":"q","gold_chunk_ids":['), "ids", F.lit("]}")))
-    files = rows.select(F.concat(F.lit('{"p'), "label", F.lit('_v1":'), entry, F.lit("}")).alias("json"))
+    files = rows.select(F.concat(F.lit('{"p'), "h", F.lit("x"), "label", F.lit('_v1":'), entry, F.lit("}")).alias("json"))
     gold = files.select(F.explode(F.from_json("json", "map<string,struct<query:string,gold_chunk_ids:array<bigint>>>")).alias("full_id", "g")).where("g.gold_chunk_ids IS NOT NULL")
     return gold.select(F.split_part("full_id", F.lit("_"), F.lit(1)).alias("prompt"), "full_id", F.explode("g.gold_chunk_ids").alias("chunk_id"))
 
 
-@query("""WITH prompts AS (SELECT conv_id, lower(text) AS wanted FROM conversations WHERE turn = 0 AND length(trim(text)) > 0),
-    hits AS (SELECT p.conv_id AS prompt, c.conv_id AS trace, count(*) OVER (PARTITION BY p.conv_id) AS n FROM prompts p JOIN conversations c ON c.turn = 0 AND left(p.wanted, 60) = left(lower(c.text), 60))
-    SELECT prompt, trace FROM hits WHERE n = 1""")
-def match_traces(v: Views) -> DataFrame:
-    """A prompt's trace, if exactly one begins with the prompt's first 60 characters. Equal beginnings meet in an equi-join."""
+#: Lengths of the strings under which texts are looked up.
+GRAMS = (1, 2, 4, 8, 16)
+
+
+def without_filter(text: Column) -> Column:
+    """A question without the ``@name`` in front of it."""
+    return F.when(text.startswith("@") & (F.instr(text, " ") > 0), F.substr(text, F.instr(text, " ") + 1)).otherwise(text)
+
+
+def grams(text: Column, size: int) -> Column:
+    """All strings of ``size`` characters in ``text``, each once."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(size))))
+
+
+def containing(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(needle, id)`` for each of the distinct ``needles`` and each of ``texts`` (id, body) that contains it, exactly.
+
+    A needle is looked up by one of its strings of 16 characters, or of the largest power of two it has room for: the one
+    that fewest texts hold, so a beginning that many share costs nothing. The whole needle is then checked.
+    """
+    size = F.array_max(F.filter(F.array(*map(F.lit, GRAMS)), lambda n: n <= F.length("needle")))
+    held = cut(texts.select("id", F.explode(F.flatten(F.array(*[grams(F.col("body"), n) for n in GRAMS]))).alias("gram")))
+    wanted = needles.select("needle").distinct().where("needle <> ''")
+    own = wanted.select("needle", F.explode(F.coalesce(*[F.when(size == n, grams(F.col("needle"), n)) for n in GRAMS])).alias("gram"))
+    rare = own.join(held.groupBy("gram").agg(F.count("*").alias("texts")), "gram").groupBy("needle", F.length("gram").alias("size")).agg(F.min(F.struct("texts", "gram")).alias("rarest"), F.count("*").alias("known"))
+    # a needle with a string that no text holds is in none
+    whole = own.groupBy("needle").agg(F.count("*").alias("all")).withColumnRenamed("needle", "own_needle")
+    sought = rare.join(whole, F.col("needle") == F.col("own_needle")).where("known = all").select("needle", F.col("rarest.gram").alias("gram"))
+    return sought.join(held, "gram").join(texts, "id").where(F.contains("body", "needle")).select("needle", "id")
+
+
+def _questions(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Prompts, some with a filter in front, and traces (id, body, stamp) that hold the questions with words around them."""
     first = v.table("conversations").where("turn = 0")
-    key = F.left(F.lower("text"), F.lit(60))
-    traces = first.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min("conv_id").alias("trace")).where("n = 1")
-    return first.where(F.length(F.trim("text")) > 0).select(F.col("conv_id").alias("prompt"), key.alias("key")).join(traces, "key").select("prompt", "trace")
+    prompt = F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("@rss "), "text")).when(F.col("conv_id") % 4 == 1, F.concat(F.lit(" "), "text")).otherwise(F.col("text"))
+    body = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("Please: "), "text", F.lit(" Thanks."))).otherwise(F.col("text"))
+    stamp = F.concat(F.lit("2024-01-0"), 1 + F.col("conv_id") % 7)
+    return first.select(F.col("conv_id").alias("prompt"), prompt.alias("query")), first.select(F.col("conv_id").alias("id"), F.lower(body).alias("body"), stamp.alias("stamp"))
+
+
+ASKS = """p AS (SELECT conv_id AS prompt, CASE conv_id % 4 WHEN 0 THEN '@rss ' || text WHEN 1 THEN ' ' || text ELSE text END AS query FROM conversations WHERE turn = 0),
+    t AS (SELECT conv_id AS id, lower(CASE WHEN conv_id % 3 = 0 THEN 'Please: ' || text || ' Thanks.' ELSE text END) AS body, '2024-01-0' || (1 + conv_id % 7) AS stamp FROM conversations WHERE turn = 0)"""
+
+
+@query(f"""WITH {ASKS}, n AS (SELECT prompt, left(trim(CASE WHEN starts_with(lower(query), '@') AND strpos(query, ' ') > 0 THEN lower(query)[strpos(query, ' ') + 1:] ELSE lower(query) END), 60) AS needle FROM p),
+    h AS (SELECT prompt, min(id) AS trace, count(*) AS n FROM n JOIN t ON needle <> '' AND contains(body, needle) GROUP BY 1) SELECT prompt, trace FROM h WHERE n = 1""")
+def match_traces(v: Views) -> DataFrame:
+    """A prompt's trace: the one that contains its first 60 characters, without a filter in front, if exactly one does."""
+    prompts, traces = _questions(v)
+    asked = prompts.select("prompt", F.left(F.trim(without_filter(F.lower("query"))), F.lit(60)).alias("needle"))
+    one = containing(asked, traces.select("id", "body")).groupBy("needle").agg(F.min("id").alias("trace"), F.count("*").alias("n")).where("n = 1")
+    return asked.join(one, "needle").select("prompt", "trace")
+
+
+@query(f"""WITH {ASKS}, n AS (SELECT prompt, trim(left(lower(CASE WHEN starts_with(trim(query), '@') AND strpos(trim(query), ' ') > 0 THEN trim(query)[strpos(trim(query), ' ') + 1:] ELSE trim(query) END), 60)) AS needle FROM p)
+    SELECT prompt, count(*) AS matches, max_by(id, stamp || lpad(id::VARCHAR, 12, '0')) AS trace FROM n JOIN t ON needle <> '' AND contains(body, needle) GROUP BY 1""")
+def latest_match(v: Views) -> DataFrame:
+    """Of all traces that contain a prompt's beginning, the one with the latest time, the last of equal ones."""
+    prompts, traces = _questions(v)
+    asked = prompts.select("prompt", F.trim(F.left(F.lower(without_filter(F.trim("query"))), F.lit(60))).alias("needle"))
+    hits = containing(asked, traces.select("id", "body")).join(traces.select("id", "stamp"), "id")
+    last = hits.groupBy("needle").agg(F.count("*").alias("matches"), F.max_by("id", F.struct("stamp", "id")).alias("trace"))
+    return asked.join(last, "needle").select("prompt", "matches", "trace")

@@ -91,45 +91,68 @@ def sliding(times: list[int], taken: list[int], limit: int, window: int = 3600)
 
 @query()
 def rate_limit_sliding(v: Views, limit: int = 2) -> DataFrame:
-    """The sliding hour, folded over each user's requests in order."""
+    """The sliding hour, folded over each user's requests in order: partitions are sorted by Spark, and a user's window goes
+    from batch to batch, so no user's history is held."""
 
-    def folded(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["s", "event_id"])
-        decided, _ = sliding(group["s"].tolist(), [], limit)
-        return pd.DataFrame(decided, columns=["allowed", "remaining", "retry_after"]).assign(event_id=group["event_id"].to_numpy())
+    def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, taken = object(), []
+        for batch in batches:
+            rows = []
+            for user, event_id, now in zip(batch["user_id"].tolist(), batch["event_id"].tolist(), batch["s"].tolist(), strict=True):
+                if user != at:
+                    at, taken = user, []
+                (decision,), taken = sliding([now], taken, limit)
+                rows.append((event_id, *decision))
+            yield pd.DataFrame(rows, columns=["event_id", "allowed", "remaining", "retry_after"])
+
+    ordered = _events(v).select("user_id", "event_id", "s").repartition("user_id").sortWithinPartitions("user_id", "s", "event_id")
+    return ordered.mapInPandas(folded, "event_id long, allowed boolean, remaining int, retry_after int")
 
-    return _events(v).select("user_id", "event_id", "s").groupBy("user_id").applyInPandas(folded, "event_id long, allowed boolean, remaining int, retry_after int")
+
+def _whole(batches: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
+    """All rows that a trigger brings for a key, in order; they may come in several batches."""
+    return pd.concat(list(batches)).sort_values(list(order))
 
 
 def stream_changes(events: DataFrame, running: str = "view") -> DataFrame:
-    """``state_changes`` over a stream of (user_id, event_id, event_type): the last state of a service is its state."""
+    """``state_changes`` over a stream of (user_id, event_id, event_type): the last state of a service is its state.
+
+    A trigger's rows of a service are put in order as a whole; rows of an earlier trigger come before. State grows with the
+    number of services, one word each, and is kept, as a service that was silent for long still has its last state.
+    """
 
     def changed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         rows = []
-        for batch in batches:
-            for e in batch.sort_values("event_id").itertuples():
-                if last is not None and e.event_type != last:
-                    rows.append((key[0], e.event_id, last, e.event_type, "error" if last == running else "warning" if e.event_type != running else "info"))
-                last = e.event_type
+        for e in _whole(batches, "event_id").itertuples():
+            if last is not None and e.event_type != last:
+                rows.append((key[0], e.event_id, last, e.event_type, "error" if last == running else "warning" if e.event_type != running else "info"))
+            last = e.event_type
         state.update((last,))
         yield pd.DataFrame(rows, columns=["user_id", "event_id", "old", "new", "severity"])
 
     return events.groupBy("user_id").applyInPandasWithState(changed, "user_id long, event_id long, old string, new string, severity string", "last string", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_quota(events: DataFrame, limit: int) -> DataFrame:
-    """``rate_limit_sliding`` over a stream of (user_id, event_id, s): the times allowed in the last hour are the state."""
+def stream_quota(events: DataFrame, limit: int, window: int = 3600, late: str = "1 day") -> DataFrame:
+    """``rate_limit_sliding`` over a stream of (user_id, event_id, s): the times allowed in the last hour are the state.
+
+    A trigger's rows of a user are put in order as a whole. Rows later than ``late`` are left out; a user's state goes once the
+    watermark is a window past the user's last request.
+    """
 
     def decided(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        taken = list(state.get[0]) if state.exists else []
-        for batch in batches:
-            batch = batch.sort_values(["s", "event_id"])
-            out, taken = sliding(batch["s"].tolist(), taken, limit)
-            yield pd.DataFrame(out, columns=["allowed", "remaining", "retry_after"]).assign(event_id=batch["event_id"].to_numpy())
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = _whole(batches, "s", "event_id")
+        out, taken = sliding(rows["s"].tolist(), list(state.get[0]) if state.exists else [], limit, window)
         state.update((taken,))
+        state.setTimeoutTimestamp(int(rows["s"].max() + window) * 1000)
+        yield pd.DataFrame(out, columns=["allowed", "remaining", "retry_after"]).assign(event_id=rows["event_id"].to_numpy())
 
-    return events.groupBy("user_id").applyInPandasWithState(decided, "event_id long, allowed boolean, remaining int, retry_after int", "taken array<long>", "append", GroupStateTimeout.NoTimeout)
+    timed = events.select("user_id", "event_id", "s", F.timestamp_seconds("s").alias("at")).withWatermark("at", late)
+    return timed.groupBy("user_id").applyInPandasWithState(decided, "event_id long, allowed boolean, remaining int, retry_after int", "taken array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,18 +97,89 @@ def run_stream(df, name, mode="append"):
     return df.sparkSession.table(name)
 
 
+class Only:
+    """Views of one given table of events."""
+
+    def __init__(self, rows):
+        self.rows = rows
+
+    def table(self, name):
+        assert name == "events"
+        return self.rows
+
+
 def test_streams_decide_like_batches(spark, sf_dir, tmp_path):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 400")
-    for k in range(3):  # three files, one after the other
-        events.where(f"event_id >= {k * 150} AND event_id < {(k + 1) * 150}").withColumn("s", F.unix_timestamp("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    schema = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string, s bigint"
-    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    changes = run_stream(monitors.stream_changes(stream()), "changes")
-    assert changes.count() > 50
-    counts = run_stream(monitors.windowed_counts(stream()), "windows", "update")
-    assert counts.count() > 0
-    quota = run_stream(monitors.stream_quota(stream().select("user_id", "event_id", "s"), 1), "quota")
-    assert quota.count() == 400
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 450")
+    # time follows the id, as rows of a later file cannot come before those of an earlier one; within a file the order is reversed
+    events = events.withColumn("user_id", F.col("user_id") % 5).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id") * 700)).withColumn("s", F.unix_timestamp("ts"))
+    for k in range(3):
+        part = events.where(f"event_id >= {k * 150} AND event_id < {(k + 1) * 150}")
+        part.coalesce(1).sortWithinPartitions(F.desc("event_id")).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = events.schema
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)  # a key's rows come in several batches
+    try:
+        stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        changes = run_stream(monitors.stream_changes(stream()), "changes").collect()
+        quota = run_stream(monitors.stream_quota(stream().select("user_id", "event_id", "s"), 1), "quota").collect()
+        counts = run_stream(monitors.windowed_counts(stream()), "windows", "complete").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = monitors.state_changes(Only(events)).select("user_id", "event_id", "old", "new", "severity").collect()
+    assert sorted(map(tuple, changes)) == sorted(map(tuple, want)) and len(want) > 50
+    want = monitors.rate_limit_sliding(Only(events), 1).collect()
+    assert sorted(map(tuple, quota)) == sorted(map(tuple, want)) and {r["allowed"] for r in want} == {True, False}
+    want = events.groupBy(F.window("ts", "1 hour"), "event_type").count().collect()
+    assert sorted(map(tuple, counts)) == sorted(map(tuple, want))
+
+
+def test_sliding_quota_against_each_users_history(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("s", F.unix_timestamp("ts"))
+    users = {}
+    for r in events.select("user_id", "s", "event_id").collect():
+        users.setdefault(r["user_id"] % 3, []).append((r["s"], r["event_id"]))
+    want = set()
+    for rows in users.values():
+        taken = []
+        for now, event in sorted(rows):
+            last = [t for t in taken if now - 3600 < t <= now]
+            taken += [now] if len(last) < 2 else []
+            want.add((event, True, 1 - len(last), 0) if len(last) < 2 else (event, False, 0, max(1, last[0] + 3600 - now)))
+    got = monitors.rate_limit_sliding(Only(events.withColumn("user_id", F.col("user_id") % 3))).collect()
+    assert set(map(tuple, got)) == want and len(got) == len(want)
+
+
+def test_containing_against_all_pairs(spark):
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choices("ab ", k=n))
+    texts = [(i, ("same beginning of " if i % 2 else "") + text(rng.randrange(60))) for i in range(80)] + [(80, ""), (81, None), (82, "Äö\U0001f600ü")]
+    needles = ["", "a", "ab", "zz", "same beginning of ", "Äö\U0001f600", None] + [t[a : a + rng.randrange(1, 61)] for _, t in texts[:80] for a in (0, 5)]
+    got = R.containing(spark.createDataFrame([(n,) for n in needles], "needle string"), spark.createDataFrame(texts, "id long, body string")).collect()
+    want = {(n, i) for n in needles for i, t in texts if n and t and n in t}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_blocks_of_unequal_vectors(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, None), (4, [0.0, 0.0, 0.0]), (5, [0.9, 0.1, 0.0])], "id long, v array<double>")
+    assert sorted(map(tuple, D.cosine_pairs_within(rows, 0.9, block=2).collect())) == [(1, 2), (1, 5), (2, 5)]
+    assert dict(D.first_match(rows.where("id > 2"), rows.where("id <= 2"), 0.9).collect()) == {3: 3, 4: 4, 5: 1}
+    assert D.cosine_pairs_within(rows.limit(0), 0.9).count() == 0
+
+
+def test_hamming_pairs_against_all_pairs(spark):
+    rng = random.Random(3)
+    base = [rng.getrandbits(56) for _ in range(40)]
+    rows = [(i, base[i % 40] ^ sum(1 << b for b in rng.sample(range(56), rng.randrange(5)))) for i in range(200)]
+    for distance in (0, 1, 3, 4, 6):
+        got = D.clusters(D.hamming_pairs_within(spark.createDataFrame(rows, "id long, h long"), distance)).collect()
+        root = {i: i for i, _ in rows}
+        for i, a in rows:
+            for j, b in rows:
+                if i < j and (a ^ b).bit_count() <= distance and root[i] != root[j]:
+                    old = max(root[i], root[j])
+                    root |= {k: min(root[i], root[j]) for k, r in root.items() if r == old}
+        alone = {i for i in root if sum(r == root[i] for r in root.values()) == 1}
+        assert dict(map(tuple, got)) == {i: r for i, r in root.items() if i not in alone}
 
 
 def test_only_new_files_are_taken(spark, tmp_path):
