@@ -12,17 +12,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessella.llm.frames import small_batches
-from tessella.llm.simhash import SEED, balls, segment_keys, shingle_hashes, sketch
+from tessella.llm.simhash import SEED, likely_balls, margins, packed, shingle_hashes
 from tessella.operators.components import connected_components
 from tessella.plans.lineage import cut
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Longs of a fingerprint and bits of a segment, three to a long. With balls of radius 1, a pair of 23 or fewer differing bits
-#: in the segments is always found; one of a similarity of 0.8, which differs in about 39 of 256 bits, nine times in ten.
-WORDS, BITS = 4, 20
-#: Bits in which similar texts differ at most, in one long and in all: four standard deviations above the mean at 0.8.
-WORD_APART, APART = 22, 64
+#: Longs of a fingerprint, bits of a segment, and narrowly decided bits that are flipped in each: 21 segments of 24 bits, 84
+#: keys. Two sets of a similarity of just over 0.8 differ in about a seventh of the bits; nine such pairs in ten share a key.
+WORDS, BITS, FLIPS = 8, 24, 3
+#: Bits in which similar texts differ at most, in one long and in all: over three standard deviations above the mean at 0.8.
+WORD_APART, APART = 20, 112
 #: Rows of two longs that are broadcast at most; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: For products like 0.8 * 15 that floating point puts beside the whole number.
@@ -39,35 +39,65 @@ def distance(a: str, b: str, words: int = WORDS) -> Column:
     return F.expr("+".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(words)))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words_each: int, similarity: float) -> DataFrame:
-    """The ``(src, dst)`` of ``pairs`` whose complete fingerprints are near and whose whole sets have the similarity."""
+def whole_sets(wanted: DataFrame, nodes: DataFrame, rows: DataFrame, words_each: int) -> DataFrame:
+    """``(node, held)``: the sets of shingles of ``wanted`` nodes, from one text each."""
 
     @F.pandas_udf("array<long>")
     def sets(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: shingles(t, words_each).view("i8"))
 
+    wanted = cut(wanted.select("node").distinct().join(nodes, "node").select("node", "rk"))
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    return cut(rows.join(few, "rk").groupBy("node").agg(F.first("text").alias("text")).select("node", sets("text").alias("held")))
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words_each: int, similarity: float, held: DataFrame | None = None) -> DataFrame:
+    """The ``(src, dst)`` of ``pairs`` whose complete fingerprints are near and whose whole sets have the similarity."""
     side = lambda name: nodes.select(F.col("node").alias(name), F.col("ws").alias(f"ws_{name}"), F.col("n").alias(f"n_{name}"))
     alike = F.least("n_src", "n_dst") >= similarity * F.greatest("n_src", "n_dst") - EPS
     near = cut(pairs.distinct().join(side("src"), "src").join(side("dst"), "dst").where(alike & (distance("ws_src", "ws_dst") <= APART)).select("src", "dst"))
-    wanted = cut(near.select(F.col("src").alias("node")).union(near.select("dst")).distinct().join(nodes, "node").select("node", "rk"))
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    held = cut(rows.join(few, "rk").groupBy("node").agg(F.first("text").alias("text")).select("node", sets("text").alias("held")))
+    if held is None:
+        held = whole_sets(near.select(F.col("src").alias("node")).union(near.select("dst")), nodes, rows, words_each)
     a, b = held.select(F.col("node").alias("src"), F.col("held").alias("a")), held.select(F.col("node").alias("dst"), F.col("held").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     return cut(near.join(a, "src").join(b, "dst").where(both >= similarity * (F.size("a") + F.size("b") - both) - EPS).select("src", "dst"))
 
 
+def with_main(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (with ``part``) under keys that hold several parts, with ``main``, the part of most of a key's rows."""
+    main = rows.groupBy(key, "part").count().groupBy(key).agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts"))
+    return rows.join(main.where("parts > 1").drop("parts"), key)
+
+
+def sharing_rare(held: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+    """``(src, dst)`` of nodes in different parts that can have the similarity, by the rare shingles that they share.
+
+    In any order of shingles, two such sets share one of the first ``n - ceil(similarity * n) + 1``. With rare ones first, texts that
+    were changed in many places share none of theirs. Where a first common one stands bounds what may follow.
+    """
+    tokens = held.select("node", F.explode("held").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    ordered = tokens.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"))
+    n = F.size("all")
+    first = ordered.select("node", n.alias("n"), F.posexplode(F.slice("all", F.lit(1), n - F.ceil(similarity * n - EPS).cast("int") + 1)).alias("pos", "t")).where("t.df > 1")
+    rows = with_main(cut(first.select("node", "n", "pos", "t.token").join(parts, "node")), "token")
+    side = lambda x, these: these.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "part")])
+    follow = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - EPS
+    alike = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - EPS
+    return side("a", rows.where("part <> main")).join(side("b", rows), "token").where("part_a <> part_b").where(follow & alike).select(F.least("node_a", "node_b").alias("src"), F.greatest("node_a", "node_b").alias("dst"))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with ``kept``: true for one row of each group linked by texts of ``similarity`` or more.
 
     Similarity is the Jaccard similarity of the sets of word shingles. Candidates come from multi-index hashing: a SimHash of
-    256 bits over the set is cut into twelve segments; the table holds each fingerprint under its segments, probes look up
-    each segment and its neighbours at one bit's distance, and complete distances are checked. Whole sets decide, so no
-    link is wrong; a pair of just 0.8 may be missed (measured recall in the README).
+    512 bits over the set is cut into segments; each fingerprint is listed under its segments and a small ball around them
+    (see ``likely_balls``), and distances are checked. Whole sets decide, so no link is wrong; a pair of just over 0.8 may be
+    missed (measured recall in the README).
 
-    Of all nodes under a key, the smallest and the largest owner are compared with the others first; then whatever is not in
-    the component of most of the key's nodes yet is compared with the rest. So a large group of near copies makes pairs in
-    proportion to its size.
+    Of all nodes under a key, the smallest and the largest are compared with the others first. What is then still close to a
+    node of another component is compared by the rare shingles that such nodes share. So a large group of texts makes pairs
+    in proportion to its size, also where many of them are just not similar enough.
 
     Rows of equal sets are one node, named by a 64-bit hash, as are rows of equal id and text. The row with the smallest id is
     kept, a null id only where there is no other; of rows with the same id and text any one, of rows with the same id and
@@ -79,35 +109,32 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = F.xxhash64(F.col(id_col), text)
     rows = docs.select(key.alias("rk"), F.col(id_col).alias("id"), text.alias("text"))
 
-    @F.pandas_udf("node long, n int, ws array<long>")
+    @F.pandas_udf("node long, n int, ws array<long>, keys array<long>")
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [shingles(t, words_each) for t in texts]
             node = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), "u8", len(sets)).view("i8")
-            yield pd.DataFrame({"node": node, "n": list(map(len, sets)), "ws": [sketch(s, WORDS) for s in sets]})
+            counted = [margins(s, WORDS) for s in sets]
+            yield pd.DataFrame({"node": node, "n": list(map(len, sets)), "ws": list(map(packed, counted)), "keys": [likely_balls(m, BITS, FLIPS) for m in counted]})
 
     printed = cut(rows.select("rk", "id", prints("text").alias("p")).select("rk", "id", "p.*"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rk")).alias("first")
-    nodes = cut(printed.groupBy("node").agg(F.first("n").alias("n"), F.first("ws").alias("ws"), first).select("node", "n", "ws", "first", "first.rk"))
-
-    owned = segment_keys("ws", WORDS, BITS)
-    at = F.struct("node", F.col("ws")[WORDS - 1].alias("w")).alias("at")
-    owners = nodes.selectExpr(f"explode({owned}) AS key", "node", "ws").select("key", at)
-    ends = owners.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-    probes = nodes.selectExpr("node", "ws", f"{owned} AS owned").selectExpr("node", "ws", "owned", f"explode({balls('owned', BITS)}) AS key").select("key", at, F.expr("array_contains(owned, key)").alias("own"))
-    shared = cut(probes.join(ends, "key").where("at.node <> lo.node OR lo.node <> hi.node"))
-    by = lambda x, y: (F.least(F.col(f"{x}.node"), F.col(f"{y}.node")).alias("src"), F.greatest(F.col(f"{x}.node"), F.col(f"{y}.node")).alias("dst"))
-    close = lambda x, y: F.expr(f"{x}.node <> {y}.node AND bit_count({x}.w ^ {y}.w) <= {WORD_APART}")
-    edges = verified(shared.where(close("at", "lo")).select(*by("at", "lo")).union(shared.where(close("at", "hi")).select(*by("at", "hi"))), nodes, rows, words_each, similarity)
-
-    linked = connected_components(edges)
-    part = F.coalesce("component", "at.node").alias("part")
-    parts = cut(shared.join(linked, F.col("at.node") == F.col("node"), "left").select("key", "at", "own", part))
-    main = parts.groupBy("key", "part").count().groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    left = cut(parts.join(main, "key"))
-    strays = left.where("part <> main").select("key", F.col("at").alias("a"), F.col("part").alias("pa"), F.col("own").alias("own_a"))
-    rest = strays.join(left.select("key", F.col("at").alias("b"), F.col("part").alias("pb"), F.col("own").alias("own_b")), "key").where("pa <> pb AND (own_a OR own_b)").where(close("a", "b"))
-    edges = edges.union(verified(rest.select(*by("a", "b")), nodes, rows, words_each, similarity))
+    nodes = cut(printed.groupBy("node").agg(F.first("n").alias("n"), F.first("ws").alias("ws"), F.first("keys").alias("keys"), first).select("node", "n", "ws", "keys", "first", "first.rk"))
+
+    listed = nodes.select(F.explode("keys").alias("key"), F.struct("node", F.col("ws")[0].alias("w")).alias("at"))
+    ends = listed.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo.node <> hi.node")
+    shared = cut(listed.join(ends, "key"))
+    close = lambda x, y: F.expr(f"bit_count({x}.w ^ {y}.w) <= {WORD_APART}")
+    to = lambda end: shared.where(F.col("at.node") != F.col(f"{end}.node")).where(close("at", end)).select(F.least("at.node", f"{end}.node").alias("src"), F.greatest("at.node", f"{end}.node").alias("dst"))
+    edges = verified(to("lo").union(to("hi")), nodes, rows, words_each, similarity)
+
+    linked = cut(nodes.select("node").join(connected_components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("part")))
+    left = cut(with_main(shared.select("key", "at", F.col("at.node").alias("node")).join(linked, "node").select("key", "at", "part"), "key"))
+    strays, mains = left.where("part <> main").select("key", F.col("at").alias("b"), F.col("part").alias("part_b")), left.where("part = main").select("key", F.col("at").alias("b"))
+    open_ = left.join(strays, (left["key"] == strays["key"]) & (left["part"] != strays["part_b"]) & close("at", "b"), "left_semi")
+    open_ = open_.union(left.where("part <> main").join(mains, (left["key"] == mains["key"]) & close("at", "b"), "left_semi"))
+    held = whole_sets(cut(open_.select(F.col("at.node").alias("node")).distinct()), nodes, rows, words_each)
+    edges = edges.union(verified(sharing_rare(held, linked, similarity), nodes, rows, words_each, similarity, held))
 
     linked = connected_components(edges).withColumnRenamed("node", "at")
     kept = nodes.join(linked, F.col("node") == F.col("at"), "left").groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.rk").alias("kept_rk"))

@@ -38,8 +38,8 @@ def shingle_hashes(text: str | None, words_each: int = SHINGLE) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), "<u8", n)
 
 
-def sketch(hashes: np.ndarray, words: int = 1) -> np.ndarray:
-    """A SimHash of ``64 * words`` bits, as longs: a bit is 1 if it is set in over half the hashes, 0 throughout without any.
+def margins(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """For each of ``64 * words`` bits, in how many more of the hashes it is set than not. Its sign is the SimHash's bit.
 
     The first word counts the hashes themselves, each further word what a mixing of them by the word's number gives.
     """
@@ -54,12 +54,31 @@ def sketch(hashes: np.ndarray, words: int = 1) -> np.ndarray:
         bits = np.unpackbits(np.ascontiguousarray(wide, "<u8").view("u1"), axis=1, bitorder="little")
         even = len(bits) // 255 * 255
         ones += bits[:even].reshape(-1, 255, 64 * words).sum(axis=1, dtype="u1").sum(axis=0, dtype="i8") + bits[even:].sum(axis=0, dtype="u1")
-    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")
+    return 2 * ones - len(hashes)
+
+
+def packed(margin: np.ndarray) -> np.ndarray:
+    """The SimHash as longs: a bit is 1 if it is set in over half the hashes."""
+    return np.packbits(margin > 0, bitorder="little").view("<i8")
+
+
+def likely_balls(margin: np.ndarray, bits: int, flips: int) -> np.ndarray:
+    """Keys of the segments of ``bits`` bits, each with its number ahead, and of their neighbours at one bit's distance.
+
+    Of a ball of radius 1 only the ``flips`` neighbours are listed whose bit was decided most narrowly: these are the bits in
+    which a near copy differs, if it differs in one. Two copies meet if one lists what the other lists, so they may differ in
+    two such bits.
+    """
+    count = len(margin) // bits
+    rows = margin[: count * bits].reshape(count, bits)
+    own = (rows > 0) @ (np.int64(1) << np.arange(bits)) | np.arange(count) << bits
+    narrow = np.argsort(np.abs(rows), axis=1, kind="stable")[:, :flips]
+    return np.concatenate([own[:, None], own[:, None] ^ np.int64(1) << narrow], axis=1).ravel()
 
 
 def fingerprint(text: str | None, words_each: int = SHINGLE) -> int:
     """SimHash of a text's word shingles, repeats included, as an unsigned number; 0 for a text without words."""
-    return int(sketch(shingle_hashes(text, words_each))[0]) % 2**64
+    return int(packed(margins(shingle_hashes(text, words_each)))[0]) % 2**64
 
 
 def with_fingerprints(docs: DataFrame, text_col: str = "text", words_each: int = SHINGLE) -> DataFrame:
