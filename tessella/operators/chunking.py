@@ -295,33 +295,67 @@ def layout_flatten(v: Views) -> DataFrame:
     return rendered(v).withColumn("kind", F.when(F.col("kind") == "list", "text").otherwise(F.col("kind")))
 
 
+#: Elements that have no end tag (fixed values).
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
+HIDDEN = ("script", "style", "template", "noscript")
+
+
+class Selector:
+    """A tag, ``.class``, ``#id`` or several of these, as in ``div.story``; all parts must fit."""
+
+    def __init__(self, text: str):
+        parts = re.findall(r"([.#]?)([\w-]+)", text)
+        self.tag = next((name for mark, name in parts if not mark), None)
+        self.classes = {name for mark, name in parts if mark == "."}
+        self.id = next((name for mark, name in parts if mark == "#"), None)
+
+    def fits(self, tag: str, attrs: dict[str, str | None]) -> bool:
+        return (self.tag in (None, tag)) and self.classes <= set((attrs.get("class") or "").split()) and self.id in (None, attrs.get("id"))
+
+
 class _Text(html.parser.HTMLParser):
-    """Text of a page, or of one kind of element in it, a line for each stretch between tags."""
+    """Text of a page, or of what a selector finds in it, without what is hidden; a line for each stretch between tags.
 
-    HIDDEN = frozenset(("script", "style", "template", "noscript"))
+    What is found apart makes parts of its own.
+    """
 
-    def __init__(self, within: str | None = None):
+    def __init__(self, within: Selector | None = None, strip: tuple[Selector, ...] = ()):
         super().__init__()
-        self.within, self.depth, self.hidden, self.parts = within, 0, 0, []
+        self.within, self.strip, self.parts = within, (*map(Selector, HIDDEN), *strip), [[]]
+        self.open: list[tuple[str, bool, bool]] = []  # tag, begins what is looked for, begins what is hidden
 
     def handle_starttag(self, tag, attrs):
-        self.depth += tag == self.within
-        self.hidden += tag in self.HIDDEN
+        if tag not in VOID:
+            given = dict(attrs)
+            found = self.within is not None and self.within.fits(tag, given)
+            if found and not any(f for _, f, _ in self.open):
+                self.parts.append([])
+            self.open.append((tag, found, any(s.fits(tag, given) for s in self.strip)))
 
     def handle_endtag(self, tag):
-        self.depth -= tag == self.within and self.depth > 0
-        self.hidden -= tag in self.HIDDEN and self.hidden > 0
+        if any(t == tag for t, _, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
 
     def handle_data(self, data):
-        if not self.hidden and (self.within is None or self.depth) and data.strip():
-            self.parts.append(data.strip())
+        inside = self.within is None or any(f for _, f, _ in self.open)
+        if data.strip() and inside and not any(h for _, _, h in self.open):
+            self.parts[-1].append(data.strip())
+
+    def text(self) -> str:
+        return "\n\n".join("\n".join(part) for part in self.parts if part)
 
 
-def html_text(page: str | None, within: str | None = None) -> str:
-    parser = _Text(within)
+def html_text(page: str | None, within: str | None = None, strip: tuple[str, ...] = ()) -> str:
+    parser = _Text(Selector(within) if within else None, tuple(map(Selector, strip)))
     parser.feed(page or "")
     parser.close()
-    return "\n".join(parser.parts)
+    return parser.text()
+
+
+def article_body(page: str | None, selectors: tuple[str, ...], strip: tuple[str, ...] = (), least: int = 100) -> str | None:
+    """The text of the first selector that finds ``least`` characters or more; none if no selector does."""
+    return next((text for text in (html_text(page, s, strip) for s in selectors) if len(text) >= least), None)
 
 
 @F.pandas_udf(StringType())
@@ -331,7 +365,7 @@ def page_text(pages: pd.Series) -> pd.Series:
 
 @F.pandas_udf(StringType())
 def article_text(pages: pd.Series) -> pd.Series:
-    return pages.map(lambda p: html_text(p, "article"))
+    return pages.map(lambda p: article_body(p, ("div.story", "article"), ("h1", ".ad")))
 
 
 @query()
@@ -341,7 +375,7 @@ def html_to_text(v: Views) -> DataFrame:
 
 @query()
 def extract_article(v: Views) -> DataFrame:
-    """The article's text if it has a hundred characters, else the page's, else the feed's summary."""
+    """The text that selectors find, without what is stripped, if it has a hundred characters; else the feed's content; else its summary."""
     tiers = v.table("pages").select("page_id", F.when(F.col("page_id") % 5 != 0, article_text("html")).alias("a"), F.when(F.col("page_id") % 10 != 0, page_text("html")).alias("b"), F.concat(F.lit("summary of "), "url").alias("c"))
     long = lambda c: F.length(F.coalesce(F.col(c), F.lit(""))) >= 100
     return tiers.select("page_id", F.when(long("a"), 1).when(long("b"), 2).otherwise(3).alias("tier"), F.when(long("a"), F.col("a")).when(long("b"), F.col("b")).otherwise(F.col("c")).alias("text"))

@@ -160,3 +160,12 @@ def test_uuid5(spark):
 def test_page_text():
     page = "<html><script>no</script><article><h1>T</h1><p>a<br>b</p></article><p>c</p>"
     assert C.html_text(page) == "T\na\nb\nc" and C.html_text(page, "article") == "T\na\nb" and C.html_text(None) == ""
+    assert C.html_text("<style>x</style><p>open<b>bold<div>in</p></div>after") == "open\nbold\nin\nafter"
+
+
+def test_selectors():
+    page = '<nav>n</nav><div class="big story" id="m"><p>one</p><div class="ad">buy</div><img src=x><p>two</div><div class="story">three</div>rest'
+    assert C.html_text(page, "div.story", (".ad",)) == "one\ntwo\n\nthree" and C.html_text(page, "#m") == "one\nbuy\ntwo"
+    assert C.html_text(page, ".story.big", ("p",)) == "buy" and C.html_text(page, "section") == ""
+    assert C.article_body(page, ("section", "div.story", "nav"), (), 10) == "one\nbuy\ntwo\n\nthree"
+    assert C.article_body(page, ("nav",)) is None and C.article_body(None, ("nav",)) is None
