@@ -45,7 +45,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     The rows are those whose ids hash lowest, so the sample does not depend on partitions. They are chosen from the
     labels alone, at most ``max_rows`` of them, so the chosen ids may be broadcast and no text is shuffled. Texts of
     more than ``max_chars`` characters are left out of the sample (not of scoring). Labels other than 0 and 1 and null
-    ids are ignored; of several labels of one id the larger holds; null text counts as empty.
+    ids are ignored; of several labels of one id the larger holds, of several texts the first in order; null text counts as empty.
     """
     chosen = (
         labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & train)
@@ -55,5 +55,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
         .limit(max_rows)
     )
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.where(F.length(text) <= max_chars).join(F.broadcast(chosen), id_col).select(id_col, text.alias("text_"), "label_").dropDuplicates([id_col])
+    found = docs.where(F.length(text) <= max_chars).join(F.broadcast(chosen), id_col).select(id_col, text.alias("text_"), "label_")
+    rows = found.groupBy(id_col).agg(F.min("text_").alias("text_"), F.first("label_").alias("label_"))
     return [(r["text_"], r["label_"]) for r in sorted(rows.collect(), key=lambda r: r[id_col])]

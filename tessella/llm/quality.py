@@ -121,13 +121,14 @@ def quality_score(spark, buckets: np.ndarray, bias: float, s: Settings = Setting
     return score
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, train: Column, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings(), max_rows: int = MAX_ROWS) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, train: Column, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings(), max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> DataFrame:
     """``docs`` with ``score`` (of label 1, from 0 to 1) and ``predicted`` (1 from ``threshold`` on).
 
-    The model is trained on a sample of at most ``max_rows`` rows of ``labels`` for which ``train`` holds. Every
+    The model is trained on a sample of at most ``max_rows`` rows of ``labels`` for which ``train`` holds, of texts of at
+    most ``max_chars`` characters, so that the driver's share is bounded. Every
     whole text is scored, whatever its id. Null text counts as empty and scores by the bias alone. Repeated rows score
     alike; columns named ``score`` or ``predicted`` are replaced; an empty table gives an empty result.
     """
-    buckets, bias = train_quality(labelled_sample(docs, labels, "quality", train, max_rows, MAX_CHARS, id_col, text_col), settings)
+    buckets, bias = train_quality(labelled_sample(docs, labels, "quality", train, max_rows, max_chars, id_col, text_col), settings)
     scored = docs.withColumn("score", quality_score(docs.sparkSession, buckets, bias, settings)(F.col(text_col)))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -1,3 +1,4 @@
+import random
 import re
 from itertools import combinations
 
@@ -60,3 +61,26 @@ def test_pipeline_of_nothing(spark, sf_dir):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.collect() == []
+
+
+def test_stages_with_odd_rows(spark, sf_dir):
+    rng = random.Random(3)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    long = " ".join(f"v{rng.randrange(10**6)}" for _ in range(40_000))
+    rows = [(1, text), (1, text), (2, text + " more"), (3, text.replace(" ", "\n")), (3, "other words here"), (None, text), (None, None), (4, None), (5, ""), (6, " \t "), (7, long), (8, long[:5000] + " end"), (9, "short")]
+    docs = spark.createDataFrame([(i, t, "xx", None, 0, True, 0.5, 9) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept boolean, score double, component_id int")
+    left = {}
+    for name, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.columns == list(P.COLUMNS)
+        left[name] = sorted((str(r["doc_id"]), r["text"]) for r in docs.collect())
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    assert left["toxicity"] == sorted((str(i), t) for i, t in rows)
+    # one of each text: the empty ones are 4 (null counts as empty), 5 or 6 of the same kind as white space is one space
+    assert [i for i, _ in left["exact dedup"]] == ["1", "2", "3", "4", "6", "7", "8", "9"]
+    assert [i for i, _ in left["near dedup"]] == ["1", "3", "4", "7", "8", "9"]
+    by = dict(left["repeated passages"])
+    assert [i for i, _ in left["repeated passages"]] == ["1", "3", "4", "7", "8", "9"]
+    assert by["1"] == text and by["7"] == long and len(by["8"]) < 100 and (by["4"] or "") == ""
+    packed = P.STAGES[-1][1](spark, docs, sf_dir).collect()
+    assert check_packing(packed, 2048) >= 1 and {r["doc_id"] for r in packed} == {1, 3, 4, 7, 8, 9}
