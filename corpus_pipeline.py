@@ -1,4 +1,10 @@
-"""A corpus from raw documents to packed training sequences, in five stages."""
+"""A corpus from raw documents to packed training sequences, in five stages.
+
+Each stage takes documents and all but the last return documents: the columns of ``COLUMNS``, whatever others came in. In all of
+them a null text counts as empty and a null id comes after all others; an empty table gives an empty result; texts are read
+whole, however long. Ties are broken by the smaller id. Rows that repeat an id are rows of their own: decisions are about rows,
+not ids.
+"""
 
 from __future__ import annotations
 
@@ -16,13 +22,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; equal texts fare alike, null and empty texts score by the share of toxic labels."""
     scored = score_toxicity(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), ~held_out("doc_id", 4, 2))
     return scored.where("predicted = 0").select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest id stays."""
+    """Of equal texts the smallest id stays, and of rows that repeat it one."""
     return exact_dedup(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
@@ -38,7 +44,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, as sequences of tokens."""
+    """What is left, as sequences of tokens; an empty document is one piece."""
     return pack_documents(docs)
 
 
