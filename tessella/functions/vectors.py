@@ -27,6 +27,16 @@ def unit(a: Column) -> Column:
     return F.when(norm(a) > 0, F.transform(a, lambda x: x.cast("double") / norm(a)))
 
 
+def matrix(vectors: np.ndarray, width: int) -> np.ndarray:
+    """Vectors as rows of ``width`` numbers: missing ones are zeros. A longer vector is an error."""
+    if all(len(v) == width for v in vectors):
+        return np.stack(vectors).astype("f8")
+    out = np.zeros((len(vectors), width))
+    for i, v in enumerate(vectors):
+        out[i, : len(v)] = v
+    return out
+
+
 def cosine_to(vector: list[float]):
     """A column function: ``cosine`` with one given vector.
 
@@ -41,7 +51,7 @@ def cosine_to(vector: list[float]):
         known = vectors.notna().to_numpy()
         out = np.full(len(vectors), None, dtype=object)
         if known.any():
-            m = np.stack(vectors.to_numpy()[known]).astype("f8")
+            m = matrix(vectors.to_numpy()[known], len(asked))
             sizes = np.sqrt((m * m).sum(axis=1)) * size
             out[known] = np.divide(m @ asked, sizes, out=np.zeros(len(m)), where=sizes > 0)
         return pd.Series(out)
