@@ -134,7 +134,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     copies is one row.
 
     Null text counts as empty and has fingerprint zero, linked like any other. Null ids are kept and never the smallest
-    while another id exists. Repeated rows give repeated rows. An empty table gives an empty result.
+    while another id exists. Repeated rows give repeated rows. Texts are read whole, however long; their shingles are counted
+    in parts. Further columns are not used, whatever their names. An empty table gives an empty result.
     """
     prints = cut(with_fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", words_each).select("doc_id", "fp"))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
