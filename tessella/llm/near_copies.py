@@ -95,8 +95,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (see ``likely_balls``), and distances are checked. Whole sets decide, so no link is wrong; a pair of just over 0.8 may be
     missed (measured recall in the README).
 
-    Of all nodes under a key, the smallest and the largest are compared with the others first. What is then still close to a
-    node of another component is compared by the rare shingles that such nodes share. So a large group of texts makes pairs
+    Of all nodes under a key, the smallest is compared with the others first. What is then still close to a node of another
+    component is compared by the rare shingles that such nodes share. So a large group of texts makes pairs
     in proportion to its size, also where many of them are just not similar enough.
 
     Rows of equal sets are one node, named by a 64-bit hash, as are rows of equal id and text. The row with the smallest id is
@@ -122,11 +122,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = cut(printed.groupBy("node").agg(F.first("n").alias("n"), F.first("ws").alias("ws"), F.first("keys").alias("keys"), first).select("node", "n", "ws", "keys", "first", "first.rk"))
 
     listed = nodes.select(F.explode("keys").alias("key"), F.struct("node", F.col("ws")[0].alias("w")).alias("at"))
-    ends = listed.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo.node <> hi.node")
-    shared = cut(listed.join(ends, "key"))
     close = lambda x, y: F.expr(f"bit_count({x}.w ^ {y}.w) <= {WORD_APART}")
-    to = lambda end: shared.where(F.col("at.node") != F.col(f"{end}.node")).where(close("at", end)).select(F.least("at.node", f"{end}.node").alias("src"), F.greatest("at.node", f"{end}.node").alias("dst"))
-    edges = verified(to("lo").union(to("hi")), nodes, rows, words_each, similarity)
+    # rows with a close node under their key; what meets by chance goes here, and no pairs are made
+    met = listed.select("key", F.col("at").alias("other"))
+    shared = cut(listed.join(met, (listed["key"] == met["key"]) & F.expr("at.node <> other.node") & close("at", "other"), "left_semi"))
+    pivots = shared.groupBy("key").agg(F.min("at").alias("lo"))
+    to_pivot = shared.join(pivots, "key").where(F.expr("at.node <> lo.node") & close("at", "lo")).select(F.col("lo.node").alias("src"), F.col("at.node").alias("dst"))
+    edges = verified(to_pivot, nodes, rows, words_each, similarity)
 
     linked = cut(nodes.select("node").join(connected_components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("part")))
     left = cut(with_main(shared.select("key", "at", F.col("at.node").alias("node")).join(linked, "node").select("key", "at", "part"), "key"))
