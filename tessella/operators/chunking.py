@@ -148,14 +148,24 @@ def items_of(node: dict) -> list[str]:
     return [text_of(item) for item in node.get("list items") or node.get("items") or []]
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def table_markdown(cells: Column) -> Column:
     """Rows of (text, span) as Markdown: a wide cell is followed by empty ones, short rows are filled up, the first is the head."""
     shown = lambda cell: F.trim(F.replace(F.replace(cell["text"], F.lit("|"), F.lit(r"\|")), F.lit("\n"), F.lit(" ")))
     lines = F.transform(cells, lambda row: F.flatten(F.transform(row, lambda cell: F.concat(F.array(shown(cell)), F.array_repeat(F.lit(""), cell["span"] - 1)))))
-    columns = F.coalesce(F.array_max(F.transform(lines, F.size)), F.lit(0))
-    full = F.transform(lines, lambda line: F.concat(line, F.array_repeat(F.lit(""), columns - F.size(line))))
-    ruled = F.concat(F.slice(full, 1, 1), F.array(F.array_repeat(F.lit("---"), columns)), F.slice(full, F.lit(2), F.greatest(F.size(full), F.lit(1))))
-    return F.when(columns == 0, "").otherwise(F.array_join(F.transform(ruled, lambda line: F.concat(F.lit("| "), F.array_join(line, " | "), F.lit(" |"))), "\n"))
+    written = lambda line: F.concat(F.lit("| "), F.array_join(line, " | "), F.lit(" |"))
+
+    def ruled(lines: Column, columns: Column) -> Column:
+        full = F.transform(lines, lambda line: written(F.concat(line, F.array_repeat(F.lit(""), columns - F.size(line)))))
+        rule = F.array(written(F.array_repeat(F.lit("---"), columns)))
+        return _with(full, lambda x: F.array_join(F.concat(F.slice(x, 1, 1), rule, F.slice(x, F.lit(2), F.greatest(F.size(x), F.lit(1)))), "\n"))
+
+    widest = lambda lines: F.coalesce(F.array_max(F.transform(lines, F.size)), F.lit(0))
+    return _with(lines, lambda x: _with(widest(x), lambda columns: F.when(columns == 0, "").otherwise(ruled(x, columns))))
 
 
 def list_markdown(items: Column) -> Column:
