@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from tessella.llm.byte_bpe import bpe_digests
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.frames import held_out, table
+from tessella.llm.lexical import lexical_search
 from tessella.llm.packing import pack_documents
 from tessella.llm.quality import score_quality
+from tessella.llm.resampling import resample
 from tessella.llm.simhash import simhash_components
 from tessella.llm.suffix_dedup import remove_repeats
 from tessella.llm.toolcalls import link_tool_calls
 from tessella.llm.topk import exact_top_k
 from tessella.llm.toxicity import score_toxicity
 from tessella.llm.url_trie import Rule, filter_urls
+from tessella.llm.warc import archived
 
 #: The rules of the URL query (fixed values).
 URL_RULES = (
@@ -99,7 +102,36 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_top_k, op4_exact_dedup, op5_quality, op6_suffix_dedup, op7_simhash, op8_tool_calls, op9_url_filter, op10_packing)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_byte_bpe,
+        op3_top_k,
+        op4_exact_dedup,
+        op5_quality,
+        op6_suffix_dedup,
+        op7_simhash,
+        op8_tool_calls,
+        op9_url_filter,
+        op10_packing,
+        op11_resampling,
+        op12_lexical,
+        op13_warc,
+    )
+}
 
 ORACLE_SQL = {
     "op3_top_k": """
@@ -153,4 +185,39 @@ ORACLE_SQL = {
                    row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS n
             FROM u LEFT JOIN r ON (host = rule_host OR host LIKE '%.' || rule_host) AND starts_with(path, rule_path))
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE n = 1""",
+    "op11_resampling": r"""
+        WITH words AS (SELECT r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+                       FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT -row_number() OVER (), NULL, text FROM benchmark)),
+        runs AS (SELECT r, unnest(list_concat(w, list_transform(range(1, len(w)::INT), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w)::INT - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM words),
+        counted AS (SELECT r, f, count(*) AS n FROM runs GROUP BY r, f),
+        crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS steps),
+        bytes AS (SELECT f, list_transform(range(octet_length(encode(f))), lambda i: ('0x' || substr(hex(encode(f)), 2 * i::INT + 1, 2))::BIGINT) AS b FROM (SELECT DISTINCT f FROM counted)),
+        buckets AS (SELECT f, xor(list_reduce(b, lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM bytes, crc),
+        sides AS (SELECT bucket, coalesce(sum(n) FILTER (r > 0), 0)::BIGINT AS s, coalesce(sum(n) FILTER (r < 0), 0)::BIGINT AS t FROM counted JOIN buckets USING (f) GROUP BY bucket),
+        gains AS (SELECT bucket, floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000))::DOUBLE / ((s + 1) * (sum(t) OVER () + 10000))::DOUBLE))::BIGINT AS gain FROM sides),
+        weights AS (SELECT r, sum(n * gain)::BIGINT AS weight FROM counted JOIN buckets USING (f) JOIN gains USING (bucket) WHERE r > 0 GROUP BY r),
+        scored AS (SELECT r, doc_id, len(w) AS words, len(w) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0) AS n_features, coalesce(weight, 0) AS weight,
+                          coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+                   FROM words LEFT JOIN weights USING (r) WHERE r > 0),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) FILTER (words >= 20) OVER () AS able FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= 5 * able // 100 THEN place END AS rank FROM placed""",
+    "op12_lexical": r"""
+        WITH words AS (SELECT r, doc_id, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                       FROM (SELECT row_number() OVER () AS r, doc_id, NULL AS item_id, text FROM documents
+                             UNION ALL SELECT -row_number() OVER (), NULL, item_id, text FROM (SELECT DISTINCT item_id, coalesce(text, '') AS text FROM benchmark))),
+        counted AS (SELECT r, doc_id, item_id, term, count(*) AS tf FROM words GROUP BY r, doc_id, item_id, term),
+        sizes AS (SELECT r, sum(tf)::BIGINT AS size FROM counted WHERE r > 0 GROUP BY r),
+        totals AS (SELECT count(*) AS docs, sum(size)::BIGINT AS terms FROM sizes),
+        weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight FROM (SELECT term, count(*) AS df FROM counted WHERE r > 0 GROUP BY term), totals),
+        scored AS (SELECT q.r AS item, q.item_id, d.r, d.doc_id, sum(q.tf * weight * ((1000000000 * d.tf) // (1000 * d.tf + 12 * (75 + (25 * size * docs) // terms))))::BIGINT AS score
+                   FROM counted q JOIN counted d ON q.term = d.term AND q.r < 0 AND d.r > 0 JOIN weights w ON w.term = q.term JOIN sizes s ON s.r = d.r, totals GROUP BY ALL),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM scored WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20""",
+    "op13_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST) AS n,
+                          max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last, sha1(coalesce(html, '')) AS h FROM pages)
+        SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 10 * (i // 8)::INT + 1, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31) + 1, 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN n > 1 THEN last END AS refers_to
+        FROM p""",
 }
