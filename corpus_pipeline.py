@@ -17,6 +17,7 @@ from tessella.llm.near_copies import near_copies
 from tessella.llm.packing import pack_documents
 from tessella.llm.suffix_dedup import remove_repeats
 from tessella.llm.toxicity import score_toxicity
+from tessella.plans.lineage import cut
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -55,8 +56,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, over the documents."""
+    """All stages, one after the other, over the documents; each stage's rows are computed once and kept for the next."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = cut(stage(spark, docs, sf_dir))
     return docs
