@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pandas as pd
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from tessella.functions.blocks import asked_of_all
 from tessella.functions.vectors import cosine, cosine_to, norm
 from tessella.operators.corpus import meta
+from tessella.operators.fulltext import ASKED, LEXICAL, chunk_index, search
 from tessella.plans.lineage import cut
 from tessella.registry import query
 from tessella.sources.views import Views
@@ -226,48 +226,6 @@ def seeded_sample(v: Views, seed: int = 7, n: int = 5) -> DataFrame:
     return v.chunks.select("id", "chunk_type").orderBy(F.xxhash64("id", F.lit(seed))).limit(n)
 
 
-LEXICAL = """tok AS (SELECT id, string_split_regex(lower(content_text), '[^\\p{L}\\p{N}]+') AS w FROM chunks WHERE content_text IS NOT NULL),
-    tf AS (SELECT id, len(list_filter(['the', 'ened'], lambda t: list_contains(w, t))) + contains(' ' || array_to_string(w, ' ') || ' ', ' in the ')::INT AS matched, len(list_filter(w, lambda x: x IN ('the', 'ened', 'in')))::BIGINT AS tf FROM tok WHERE NOT list_contains(w, 'ofa')),
-    lexical AS (SELECT id, matched, tf, row_number() OVER (ORDER BY matched DESC, tf DESC, id) AS lexical_rank FROM tf WHERE matched = 3 OR matched > 0 AND (SELECT count(*) FROM tf WHERE matched = 3) < 20 QUALIFY lexical_rank <= 300)"""
-
-
-def parsed(asked: str) -> tuple[list[list[str]], list[list[str]]]:
-    """What a search asks for and what it excludes, as lists of words: one for a word, several for a phrase in quotes."""
-    wanted: list[list[str]] = []
-    excluded: list[list[str]] = []
-    for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', asked.lower()):
-        words = [w for w in re.split(r"[\W_]+", phrase or word) if w]
-        if words and not (word == "or" and not minus):
-            (excluded if minus else wanted).append(words)
-    return wanted, excluded
-
-
-def lexical(chunks: DataFrame, asked: str, k: int = 300, sparse: int = 20) -> DataFrame:
-    """Chunks with all that is asked for; if fewer than ``sparse`` have it, those with some too, by how much, then how often.
-
-    Chunks with what a minus excludes are out. Words count as they are written, without stemming.
-    """
-    wanted, excluded = parsed(asked)
-    words = F.split(F.lower("content_text"), r"[^\p{L}\p{N}]+")
-    holds = lambda part: F.array_contains("w", part[0]) if len(part) == 1 else F.contains(F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")), F.lit(f" {' '.join(part)} "))
-    count = lambda parts: sum((holds(x).cast("int") for x in parts), F.lit(0))
-    rows = chunks.where("content_text IS NOT NULL").select("id", words.alias("w")).where(count(excluded) == 0)
-    single = sorted({w for part in wanted for w in part})
-    found = rows.select("id", count(wanted).alias("matched"), F.size(F.filter("w", lambda x: x.isin(*single) if single else F.lit(False))).cast("long").alias("tf")).where("matched > 0")
-    full = found.agg((F.count_if(F.col("matched") == len(wanted)) >= sparse).alias("enough"))
-    fit = found.crossJoin(F.broadcast(full)).where((F.col("matched") == len(wanted)) | ~F.col("enough"))  # one row
-    best = fit.select("id", "matched", "tf").orderBy(F.desc("matched"), F.desc("tf"), "id").limit(k)
-    return best.withColumn("lexical_rank", F.row_number().over(W.orderBy(F.desc("matched"), F.desc("tf"), "id")))
-
-
-ASKED = 'the "in the" ened -ofa'
-
-
-@query(f"WITH {LEXICAL} SELECT id, matched, tf, lexical_rank FROM lexical WHERE lexical_rank <= 50")
-def lexical_topk(v: Views) -> DataFrame:
-    return lexical(v.chunks, ASKED, 50)
-
-
 FUSED = f"""{SCORED}, dense AS (SELECT id, page, row_number() OVER (ORDER BY score DESC, id) AS dense_rank FROM scored WHERE chunk_type = 'text' QUALIFY dense_rank <= 200), {LEXICAL},
     fused AS (SELECT id, dense_rank, lexical_rank, round(coalesce(1.0::DOUBLE / (60 + dense_rank), 0.0) + coalesce(1.0::DOUBLE / (60 + lexical_rank), 0.0), 9) AS rrf FROM dense FULL JOIN lexical USING (id))"""
 
@@ -281,7 +239,7 @@ def fused(dense: DataFrame, lex: DataFrame, k: int = 60) -> DataFrame:
 def _fused(v: Views) -> DataFrame:
     best = top(_scored(v).where("chunk_type = 'text'"), 200)
     dense = best.select("id", F.row_number().over(W.orderBy(F.desc("score"), "id")).alias("dense_rank"))
-    return fused(dense, lexical(v.chunks, ASKED).select("id", "lexical_rank"))
+    return fused(dense, search(chunk_index(v), ASKED).select("id", "lexical_rank"))
 
 
 @query(f"WITH {FUSED} SELECT id, dense_rank, lexical_rank, rrf FROM fused ORDER BY rrf DESC, id LIMIT 20")

@@ -166,16 +166,6 @@ def test_blocks_of_unequal_vectors(spark):
     assert D.cosine_pairs_within(rows.limit(0), 0.9).count() == 0
 
 
-def test_searches_with_phrases_and_exclusions(spark):
-    assert R.parsed('Red "blue  green" -old or -"a b" "" -') == ([["red"], ["blue", "green"]], [["old"], ["a", "b"]])
-    texts = ["red blue", "Blue red!", "red", "red blue old", "blue", None, "blue-red red", "green"]
-    chunks = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, content_text string")
-    found = lambda asked, sparse: [tuple(r) for r in R.lexical(chunks, asked, 5, sparse).orderBy("lexical_rank").select("id", "matched", "tf").collect()]
-    assert found("red blue -old", 3) == [(6, 2, 3), (0, 2, 2), (1, 2, 2)]
-    assert found("red blue -old", 4) == [(6, 2, 3), (0, 2, 2), (1, 2, 2), (2, 1, 1), (4, 1, 1)]
-    assert [i for i, *_ in found('"red blue"', 1)] == [0, 3] and found("none", 1) == [] and found("", 1) == []
-
-
 def test_hamming_pairs_against_all_pairs(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(56) for _ in range(40)]
