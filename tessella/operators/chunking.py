@@ -181,22 +181,51 @@ def box(node: Column) -> Column:
 NODES = "array<struct<kind:string,page:int,level:int,node:string,text:string,items:array<string>,cells:array<array<struct<text:string,span:int>>>>>"
 
 
+def number(value: object, default: int) -> int:
+    """A whole number from a layout node, which may be written as text; the default for what is none."""
+    try:
+        return int(value) if value else default
+    except (TypeError, ValueError):
+        return default
+
+
+def heading_level(node: dict, raw: str) -> int:
+    """A heading's level as the node states it, else the digit in its type, else 1."""
+    stated = node.get("heading level") or node.get("headingLevel") or node.get("level")
+    return number(stated or next((c for c in raw if c.isdigit()), None), 1)
+
+
 def leaves(tree: dict) -> list[dict]:
-    """Elements of a layout tree in reading order, not yet rendered; a table, list or text is one with all below it.
+    """Elements of a layout tree below its root, in reading order, not yet rendered.
 
-    What has no type, or none that is known, is looked into if it holds further nodes.
+    A header, footer or caption is left out with all below it; an image, table or list is one element with all below it. A
+    heading or text is an element of its own content, or without any of the text below it, and what is below it follows. A
+    type that is missing or not known is text; text without content is no element.
     """
-    found, waiting = [], [tree]
+    found, waiting = [], list(reversed(tree.get("kids") or []))
     while waiting:
         node = waiting.pop()
+        if not isinstance(node, dict):
+            continue
         raw = str(node.get("type") or "").lower()
-        kind = ELEMENT_TYPES.get(raw, "text" if raw else "")
-        if kind in ("", "_skip"):
-            waiting += reversed(node.get("kids") or [])
+        kind = ELEMENT_TYPES.get(raw, "text")
+        if kind == "_skip":
             continue
-        leaf = {"kind": kind, "page": node.get("page number") or 1, "level": node.get("heading level"), "node": json.dumps({"bounding box": node.get("bounding box")})}
-        held = {"cells": cells_of(node)} if kind == "table" else {"items": items_of(node)} if kind == "list" else {"text": text_of(node)}
-        found.append({"text": None, "items": None, "cells": None} | leaf | held)
+        leaf = {"kind": kind, "page": number(node.get("page number") or node.get("pageNumber"), 1), "level": None, "node": json.dumps({"bounding box": node.get("bounding box")}), "text": None, "items": None, "cells": None}
+        if kind == "table":
+            found.append(leaf | {"cells": cells_of(node)})
+        elif kind == "list":
+            found.append(leaf | {"items": items_of(node)})
+        elif kind == "image":
+            found.append(leaf)
+        else:
+            content = node.get("content")
+            text = (content if isinstance(content, str) and content else text_of(node)).strip()
+            if kind == "heading":
+                found.append(leaf | {"text": text, "level": heading_level(node, raw)})
+            elif text:
+                found.append(leaf | {"text": text})
+            waiting += reversed(node.get("kids") or [])
     return found
 
 
@@ -272,18 +301,25 @@ def heading_path(v: Views) -> DataFrame:
 def trees(v: Views) -> DataFrame:
     """Layout trees as JSON, one a document: a page of all its lines, a list of all its words and a table of them, six a row.
 
-    The boxes of some have only three numbers, of others no numbers.
+    The first line is also a heading with a text below it, the last a footer's, an untyped node's and that of a text with no content
+    of its own. The boxes of some have only three numbers, of others no numbers.
     """
     words, lines = F.split("text", " "), F.split("text", "\n")
     edges = F.when(F.col("doc_id") % 3 == 1, F.array(*map(F.lit, "123"))).when(F.col("doc_id") % 3 == 2, F.array(*map(F.lit, "1x34"))).otherwise(F.array(F.lit("1"), F.lit("2"), F.col("doc_id").cast("string"), F.lit("4")))
     leaf = lambda kind, content: F.struct(F.lit(kind).alias("type"), content.alias("content"), F.lit(1).alias("page number"), edges.alias("bounding box"))
     paragraphs = F.array_join(F.transform(lines, lambda x: F.to_json(leaf("paragraph", x))), ",")
+    last = F.element_at(lines, -1)
     head = F.to_json(leaf("h1", lines[0]))
+    under = lambda kind, content: F.struct(F.lit(kind).alias("type"), F.lit("3").alias("pageNumber"), content.alias("content"))
+    nested = F.to_json(F.struct(F.lit("h3").alias("type"), lines[0].alias("content"), F.array(under("paragraph", last), under("caption", last)).alias("kids")))
+    footer = F.to_json(F.struct(F.lit("footer").alias("type"), F.array(under("paragraph", last)).alias("kids")))
+    untyped = F.to_json(F.struct(last.alias("content"), F.array(F.struct(F.lit("png").alias("type"))).alias("kids")))
+    empty = F.to_json(F.struct(F.lit("paragraph").alias("type"), F.array(under("blink", last)).alias("kids")))
     items = F.to_json(F.struct(F.lit("ul").alias("type"), F.transform("words", lambda w: F.struct(w.alias("content"))).alias("list items")))
     row = lambda i: F.struct(F.transform(F.slice(F.col("words"), i * 6 + 1, F.lit(6)), lambda w: F.struct(w.alias("content"))).alias("cells"))
     cells = F.to_json(F.transform(F.sequence(F.lit(0), F.expr("(size(words) - 1) div 6").cast("int")), row))
     grid = F.concat(F.lit('{"type":"table","rows":'), F.regexp_replace(cells, r"\]$", ""), F.lit(',{"cells":[{"content":"a|b","column span":2}]}]}'))
-    kids = F.concat(F.lit('{"kids":['), F.concat_ws(",", head, paragraphs, items, grid), F.lit("]}"))
+    kids = F.concat(F.lit('{"kids":['), F.concat_ws(",", head, paragraphs, items, grid, nested, footer, untyped, empty), F.lit("]}"))
     return v.table("documents").withColumn("words", words).select("doc_id", kids.alias("tree"))
 
 
@@ -299,10 +335,25 @@ def rendered(v: Views) -> DataFrame:
     return rows.select("doc_id", "ord", "e.kind", "e.page", "e.level", box(F.col("e.node")).alias("bbox"), content.alias("content"))
 
 
-@query()
+FLAT = """d AS (SELECT doc_id, string_split(text, chr(10)) AS ls, string_split(text, ' ') AS ws FROM documents),
+    cut AS (SELECT doc_id, ls, trim(ls[1], ' ' || chr(9) || chr(13)) AS head, trim(ls[len(ls)], ' ' || chr(9) || chr(13)) AS last, list_transform(ws, lambda w: trim(w, ' ' || chr(9) || chr(10) || chr(13))) AS ws FROM d),
+    parts AS (SELECT doc_id, list_filter(list_transform(ls, lambda l: trim(l, ' ' || chr(9) || chr(13))), lambda l: l <> '') AS ls, head, last, list_filter(ws, lambda w: w <> '') AS items,
+        list_transform(ws, lambda w: replace(replace(w, '|', '\\|'), chr(10), ' ')) AS cells FROM cut),
+    grid AS (SELECT *, least(len(cells), 6)::INT AS wide, list_transform(range((len(cells) + 5) // 6), lambda i: cells[6 * i + 1 : 6 * i + 6]) AS rows FROM parts),
+    drawn AS (SELECT *, greatest(wide, 2) AS width, list_transform(list_append(rows, ['a\\|b', '']), lambda r: '| ' || array_to_string(list_concat(r, list_transform(range(greatest(greatest(wide, 2) - len(r), 0)), lambda i: '')), ' | ') || ' |') AS lines FROM grid),
+    found AS (SELECT doc_id, unnest(list_concat([{'kind': 'heading', 'page': 1, 'level': 1, 'content': head}], list_transform(ls, lambda l: {'kind': 'text', 'page': 1, 'level': NULL, 'content': l}),
+        [{'kind': 'list', 'page': 1, 'level': NULL, 'content': array_to_string(list_transform(items, lambda w: '- ' || w), chr(10))},
+         {'kind': 'table', 'page': 1, 'level': NULL, 'content': array_to_string(list_concat(lines[1:1], ['| ' || array_to_string(list_transform(range(width), lambda i: '---'), ' | ') || ' |'], lines[2:]), chr(10))},
+         {'kind': 'heading', 'page': 1, 'level': 3, 'content': head}],
+        CASE WHEN last <> '' THEN [{'kind': 'text', 'page': 3, 'level': NULL, 'content': last}, {'kind': 'text', 'page': 1, 'level': NULL, 'content': last}] ELSE [] END,
+        [{'kind': 'image', 'page': 1, 'level': NULL, 'content': NULL}],
+        CASE WHEN last <> '' THEN [{'kind': 'text', 'page': 1, 'level': NULL, 'content': last}, {'kind': 'text', 'page': 3, 'level': NULL, 'content': last}] ELSE [] END)) AS e FROM drawn)"""
+
+
+@query(f"WITH {FLAT} SELECT doc_id, e.kind, e.page, e.level, md5(e.content) AS content_md5, count(*) AS n FROM found GROUP BY ALL")
 def layout_flatten(v: Views) -> DataFrame:
-    """Elements of layout trees; a list is text once it is rendered."""
-    return rendered(v).withColumn("kind", F.when(F.col("kind") == "list", "text").otherwise(F.col("kind")))
+    """Elements of layout trees, and how many of a document are alike."""
+    return rendered(v).select("doc_id", "kind", "page", "level", F.md5(F.encode("content", "utf-8")).alias("content_md5")).groupBy("doc_id", "kind", "page", "level", "content_md5").agg(F.count("*").alias("n"))
 
 
 #: Elements that have no end tag (fixed values).
@@ -493,8 +544,8 @@ def lists_as_markdown(v: Views) -> DataFrame:
     return rendered(v).where("kind = 'list'").select("doc_id", F.col("content").alias("md"))
 
 
-@query("SELECT doc_id, doc_id % 3 = 0 AS has_box, CASE WHEN doc_id % 3 = 0 THEN doc_id::DOUBLE END AS third FROM documents")
+@query("SELECT doc_id, len(string_split(text, chr(10))) + 7 AS nodes, CASE WHEN doc_id % 3 = 0 THEN len(string_split(text, chr(10))) + 1 ELSE 0 END AS boxes, CASE WHEN doc_id % 3 = 0 THEN doc_id::DOUBLE END AS third FROM documents")
 def bbox_parse(v: Views) -> DataFrame:
-    """Boxes of layout nodes as four numbers; null where they are not."""
-    first = trees(v).select("doc_id", box(F.get_json_object("tree", "$.kids[0]")).alias("b"))
-    return first.select("doc_id", F.col("b").isNotNull().alias("has_box"), F.col("b")[2].alias("third"))
+    """Boxes of all nodes of the layout trees' pages as four numbers; null where they are not."""
+    nodes = trees(v).select("doc_id", F.explode(F.from_json(F.get_json_object("tree", "$.kids"), "array<string>")).alias("node")).select("doc_id", box(F.col("node")).alias("b"))
+    return nodes.groupBy("doc_id").agg(F.count("*").alias("nodes"), F.count("b").alias("boxes"), F.max(F.col("b")[2]).alias("third"))

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.blocks import BLOCK, asked_of_all, dealt, meet
 from tessella.operators.components import connected_components
+from tessella.plans.lineage import cut
 from tessella.registry import query
 from tessella.sources.views import Views
 
+logger = logging.getLogger(__name__)
+
 
 def dhash(pixels: Column, width: int, height: int) -> Column:
     """A difference hash: a bit for each pixel that is darker than its right neighbour, row by row, lowest bit first."""
@@ -168,26 +174,74 @@ def leader_dedup(v: Views) -> DataFrame:
 
 
 def first_match(new: DataFrame, store: DataFrame, least: float = 0.95) -> DataFrame:
-    """``(id, stored_as)`` for each of ``new`` (id, v): the smallest id of ``store`` with a cosine of ``least`` or more, else its own.
-
-    New images are judged against the store as it stands, a round at a time; a round's images do not see each other.
-    """
+    """``(id, match)`` for each of ``new`` (id, v) that ``store`` (id, v) has something like: the smallest id with that cosine."""
 
     def found(a: np.ndarray, b: np.ndarray, _: np.ndarray, c: np.ndarray) -> pd.DataFrame:
         first = np.where(c >= least, b[None, :], np.iinfo("i8").max).min(axis=1, initial=np.iinfo("i8").max)
         hit = first < np.iinfo("i8").max
-        return pd.DataFrame({"new_id": a[hit], "match": first[hit]})
+        return pd.DataFrame({"id": a[hit], "match": first[hit]})
 
-    best = asked_of_all(new, store.withColumn("flag", F.lit(False)), found, "new_id long, match long").groupBy("new_id").agg(F.min("match").alias("match"))
-    return new.join(best, F.col("id") == F.col("new_id"), "left").select("id", F.coalesce("match", "id").alias("stored_as"))
+    return asked_of_all(new, store.withColumn("flag", F.lit(False)), found, "id long, match long").groupBy("id").agg(F.min("match").alias("match"))
 
 
-@query("""SELECT n.vec_id AS id, coalesce(min(s.vec_id), n.vec_id) AS stored_as FROM (SELECT * FROM embeddings WHERE vec_id % 4 = 3) n
-    LEFT JOIN (SELECT * FROM embeddings WHERE vec_id % 4 <> 3) s ON round(list_cosine_similarity(n.embedding::DOUBLE[], s.embedding::DOUBLE[]), 6) >= 0.4 GROUP BY n.vec_id""")
+def first_independent(edges: DataFrame) -> DataFrame:
+    """The nodes of ``edges`` (a, b; a before b) that a walk in order would take: each that has no neighbour taken before it.
+
+    In each round all nodes without an open node before them are taken, and what follows them goes, with all its edges. That is
+    the set of the sequential walk, the lexicographically first independent set, after few rounds (in random orders about as
+    many as the logarithm of the number of nodes). Rounds go on until no edge is open.
+    """
+    nodes = cut(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct())
+    open_, taken, rounds = cut(edges.select("a", "b").distinct()), None, 0
+    gone = None  # nodes that follow one that was taken
+    while True:
+        late = open_.select(F.col("b").alias("id")).distinct()
+        now = cut(open_.select(F.col("a").alias("id")).distinct().join(late, "id", "left_anti"))
+        if now.isEmpty():
+            break
+        rounds += 1
+        taken = now if taken is None else taken.union(now)
+        after = open_.join(now, F.col("a") == F.col("id"), "left_semi").select(F.col("b").alias("id")).distinct()
+        gone = cut(after) if gone is None else cut(gone.union(after))
+        left = open_.join(now, F.col("a") == F.col("id"), "left_anti").join(after, F.col("b") == F.col("id"), "left_anti")
+        open_ = cut(left.join(after, F.col("a") == F.col("id"), "left_anti"))
+    logger.info("first independent set: %d rounds", rounds)
+    return nodes if gone is None else nodes.join(gone, "id", "left_anti")
+
+
+def ordered_store(new: DataFrame, store: DataFrame, least: float = 0.95, content: str | None = None) -> DataFrame:
+    """``(id, stored_as)`` of each of ``new`` (id, v), saved one after the other by id into ``store`` (id, v), which grows.
+
+    What is like something stored, by a cosine of ``least`` or more, is stored as the first such thing: the smallest id of the store
+    as it was, else the first new one that was itself saved. So the answer depends on the order, as saving one by one does, but is found
+    by rounds over the graph of like ones. Ids of the store and of new ones may not meet. Copies by ``content``, a column of
+    ``new``, are saved once, whatever their vector; null content is no copy. A null vector, or one without direction, is like
+    nothing. Rows that repeat an id are one, the first in order. Pairs are found in blocks, all against all, as a cosine has no
+    key to join on.
+    """
+    copy = F.coalesce(F.col(content).cast("string"), F.concat(F.lit("#"), F.col("id"))) if content else F.concat(F.lit("#"), F.col("id"))
+    rows = cut(new.select("id", F.col("v").alias("v"), copy.alias("copy")).groupBy("id").agg(F.min(F.struct("copy", "v")).alias("r")).select("id", "r.v", F.min("id").over(W.partitionBy("r.copy")).alias("first")))
+    firsts = rows.where("id = first").select("id", "v")
+    known = cut(first_match(firsts, store, least))
+    fresh = firsts.join(known, "id", "left_anti")
+    edges = cut(cosine_pairs_within(fresh, least).select(F.col("id").alias("a"), F.col("id2").alias("b")))
+    saved = cut(first_independent(edges))
+    like = edges.join(saved, F.col("a") == F.col("id"), "left_semi").join(saved, F.col("b") == F.col("id"), "left_anti").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("match"))
+    stored = known.union(like).withColumnRenamed("id", "first")
+    return rows.join(stored, "first", "left").select("id", F.coalesce("match", "first").alias("stored_as"))
+
+
+@query("""WITH n AS (SELECT vec_id AS id, embedding AS v, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings WHERE vec_id % 4 = 3),
+    st AS (SELECT n.id, min(s.vec_id) AS s FROM n JOIN embeddings s ON s.vec_id % 4 <> 3 AND round(list_cosine_similarity(n.v::DOUBLE[], s.embedding::DOUBLE[]), 6) >= 0.45 GROUP BY n.id),
+    near AS (SELECT b.id, list(a.id) AS before FROM n a JOIN n b ON a.id < b.id AND round(list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]), 6) >= 0.45 GROUP BY b.id),
+    walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS saved, NULL::BIGINT AS id, NULL::BIGINT AS stored_as
+        UNION ALL SELECT n.n, CASE WHEN st.s IS NULL AND len(list_intersect(saved, coalesce(before, []))) = 0 THEN list_append(saved, n.id) ELSE saved END, n.id, coalesce(st.s, list_min(list_intersect(saved, coalesce(before, []))), n.id)
+        FROM walk JOIN n ON n.n = walk.n + 1 LEFT JOIN st ON st.id = n.id LEFT JOIN near ON near.id = n.id)
+    SELECT id, stored_as FROM walk WHERE id IS NOT NULL""")
 def greedy_store_dedup(v: Views) -> DataFrame:
-    """A round of new images against those stored: every fourth vector is new."""
+    """Every fourth vector is new and saved one after the other."""
     rows = _vectors(v)
-    return first_match(rows.where("id % 4 = 3"), rows.where("id % 4 <> 3"), 0.4)
+    return ordered_store(rows.where("id % 4 = 3"), rows.where("id % 4 <> 3"), 0.45)
 
 
 @query("""WITH s AS (SELECT sha256, min(doc_id) AS doc_id FROM docs WHERE doc_id % 3 <> 1 GROUP BY 1), n AS (SELECT sha256, doc_id, min(doc_id) OVER (PARTITION BY sha256) AS first FROM docs WHERE doc_id % 3 = 1)

@@ -6,9 +6,12 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 EPOCH = 1704067200  # 2024-01-01 UTC
 
+_schemas: dict[tuple[str, str], StructType] = {}
+
 
 class Views:
     """``docs`` and ``chunks`` as a store of an ingested corpus would hold them; the other tables as they are.
@@ -20,7 +23,12 @@ class Views:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A table; its schema is read from a file once a session, as that is a job of its own."""
+        path = f"{self.sf_dir}/{name}.parquet"
+        key = (self.spark.sparkContext.applicationId, path)
+        if key not in _schemas:
+            _schemas[key] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_schemas[key]).parquet(path)
 
     @cached_property
     def docs(self) -> DataFrame:

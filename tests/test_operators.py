@@ -162,7 +162,8 @@ def test_containing_against_all_pairs(spark):
 def test_blocks_of_unequal_vectors(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, None), (4, [0.0, 0.0, 0.0]), (5, [0.9, 0.1, 0.0])], "id long, v array<double>")
     assert sorted(map(tuple, D.cosine_pairs_within(rows, 0.9, block=2).collect())) == [(1, 2), (1, 5), (2, 5)]
-    assert dict(D.first_match(rows.where("id > 2"), rows.where("id <= 2"), 0.9).collect()) == {3: 3, 4: 4, 5: 1}
+    assert dict(D.first_match(rows.where("id > 2"), rows.where("id <= 2"), 0.9).collect()) == {5: 1}
+    assert dict(D.ordered_store(rows.where("id > 2"), rows.where("id <= 2"), 0.9).collect()) == {3: 3, 4: 4, 5: 1}
     assert D.cosine_pairs_within(rows.limit(0), 0.9).count() == 0
 
 
@@ -191,3 +192,44 @@ def test_only_new_files_are_taken(spark, tmp_path):
     spark.range(5, 8).write.mode("append").parquet(src)
     files.take_new(spark, src, "id bigint", out, seen)
     assert sorted(r[0] for r in spark.read.parquet(out).collect()) == list(range(8))
+
+
+def saved_one_by_one(new, store, least):
+    """The loop: each in turn is like the first stored thing, or saved."""
+    like = lambda a, b: bool(a and b and any(a) and any(b)) and round(sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b)), 6) >= least
+    held, contents, out = sorted(store.items()), {}, {}
+    for i, (v, content) in sorted(new.items()):
+        if content is not None and content in contents:
+            out[i] = contents[content]
+            continue
+        out[i] = next((j for j, w in held if like(v, w)), i)
+        if out[i] == i:
+            held.append((i, v))
+        if content is not None:
+            contents[content] = out[i]
+    return out
+
+
+@pytest.mark.parametrize(("seed", "least", "empty"), [(1, 0.98, False), (2, 0.9, True)])
+def test_store_in_order_equals_the_loop(spark, seed, least, empty):
+    rng = random.Random(seed)
+    chain = [[math.cos(a / 9), math.sin(a / 9), 0.0] for a in rng.sample(range(57), 40)]  # each is like its neighbours
+    noise = [[rng.gauss(0, 1) for _ in range(3)] for _ in range(60)] + [None, [0.0] * 3]
+    vectors = rng.sample(chain + noise, 102)
+    ids = rng.sample(range(1000), 102)
+    new = {i: (v, rng.choice([None, "a", "b", f"own {i}"])) for i, v in zip(ids, vectors, strict=True)}
+    store = {2000 + i: [rng.gauss(0, 1) for _ in range(3)] for i in range(6)}
+    schema = "id long, v array<double>, content string"
+    rows = spark.createDataFrame([(i, v, c) for i, (v, c) in new.items()], schema).repartition(5)
+    held = spark.createDataFrame([(i, v) for i, v in store.items()], "id long, v array<double>")
+    store, held = ({}, held.limit(0)) if empty else (store, held)
+    assert dict(map(tuple, D.ordered_store(rows, held, least, "content").collect())) == saved_one_by_one(new, store, least)
+    plain = {i: (v, None) for i, (v, _) in new.items()}
+    assert dict(map(tuple, D.ordered_store(rows, held, least).collect())) == saved_one_by_one(plain, store, least)
+    assert D.ordered_store(rows.limit(0), held, 0.9).count() == 0
+
+
+def test_first_independent_set_of_a_long_chain(spark):
+    rows = [(i, i + 1) for i in range(40)] + [(0, 40)] * 2
+    taken = {r["id"] for r in D.first_independent(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert taken == set(range(0, 40, 2))

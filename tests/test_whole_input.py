@@ -1,8 +1,9 @@
 """Queries against brute force over all rows of their tables, whatever their SQL reads."""
 
-from tessella.operators import chunking  # noqa: F401
+from tessella.operators.chunking import rendered
 from tessella.operators.text import sanitize_messages
 from tessella.registry import QUERIES
+from tessella.sources.views import Views
 
 
 def test_headings_of_all_documents(spark, sf_dir):
@@ -39,7 +40,7 @@ def test_twelve_messages_with_their_roles(spark):
 def test_layout_trees_hold_whole_texts(spark, sf_dir):
     texts = dict(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
     flat, lists, tables = {}, *(dict(QUERIES[name](spark, sf_dir).collect()) for name in ("list_markdown", "table_markdown"))
-    for r in QUERIES["layout_flatten"](spark, sf_dir).orderBy("doc_id", "ord").collect():
+    for r in rendered(Views(spark, sf_dir)).orderBy("doc_id", "ord").collect():
         flat.setdefault(r["doc_id"], []).append((r["kind"], r["content"]))
     assert set(flat) == set(lists) == set(tables) == set(texts)
     for i, text in texts.items():
@@ -51,4 +52,5 @@ def test_layout_trees_hold_whole_texts(spark, sf_dir):
         rows.insert(1, ["---"] * width)
         assert lists[i] == "\n".join(f"- {w}" for w in words if w)
         assert tables[i] == "\n".join(f"| {' | '.join(row)} |" for row in rows)
-        assert flat[i] == [("heading", lines[0].strip()), *(("text", x.strip()) for x in lines), ("text", lists[i]), ("table", tables[i])]
+        head, last = lines[0].strip(), [("text", x) for x in [lines[-1].strip()] if x]
+        assert flat[i] == [("heading", head), *(("text", x.strip()) for x in lines if x.strip()), ("list", lists[i]), ("table", tables[i]), ("heading", head), *last, *last, ("image", None), *last, *last]
