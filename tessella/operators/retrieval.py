@@ -401,8 +401,8 @@ def gold_unnest(v: Views) -> DataFrame:
     return gold.select(F.split_part("full_id", F.lit("_"), F.lit(1)).alias("prompt"), "full_id", F.explode("g.gold_chunk_ids").alias("chunk_id"))
 
 
-#: Lengths of the strings under which texts are looked up.
-GRAMS = (1, 2, 4, 8, 16)
+#: Characters of the needles that one pass over the texts looks for: what each task holds and is sent.
+NEEDLE_CHARS = 1 << 22
 
 
 def without_filter(text: Column) -> Column:
@@ -410,27 +410,35 @@ def without_filter(text: Column) -> Column:
     return F.when(text.startswith("@") & (F.instr(text, " ") > 0), F.substr(text, F.instr(text, " ") + 1)).otherwise(text)
 
 
-def grams(text: Column, size: int) -> Column:
-    """All strings of ``size`` characters in ``text``, each once."""
-    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(size))))
-
-
-def containing(needles: DataFrame, texts: DataFrame) -> DataFrame:
+def containing(needles: DataFrame, texts: DataFrame, part_chars: int = NEEDLE_CHARS) -> DataFrame:
     """``(needle, id)`` for each of the distinct ``needles`` and each of ``texts`` (id, body) that contains it, exactly.
 
-    A needle is looked up by one of its strings of 16 characters, or of the largest power of two it has room for: the one
-    that fewest texts hold, so a beginning that many share costs nothing. The whole needle is then checked.
+    Needles go in parts of about ``part_chars`` characters, dealt by a hash. For each part, tasks read the texts once through
+    an Aho-Corasick automaton of its needles, so a text is walked once however many needles there are. No text is shuffled; rows
+    that leave a task are hits. Null and empty needles are in none, null texts hold none; rows that repeat an id are one.
     """
-    size = F.array_max(F.filter(F.array(*map(F.lit, GRAMS)), lambda n: n <= F.length("needle")))
-    held = cut(texts.select("id", F.explode(F.flatten(F.array(*[grams(F.col("body"), n) for n in GRAMS]))).alias("gram")))
-    wanted = needles.select("needle").distinct().where("needle <> ''")
-    own = wanted.select("needle", F.explode(F.coalesce(*[F.when(size == n, grams(F.col("needle"), n)) for n in GRAMS])).alias("gram"))
-    rare = own.join(held.groupBy("gram").agg(F.count("*").alias("texts")), "gram").groupBy("needle", F.length("gram").alias("size")).agg(F.min(F.struct("texts", "gram")).alias("rarest"), F.count("*").alias("known"))
-    # a needle with a string that no text holds is in none
-    whole = own.groupBy("needle").agg(F.count("*").alias("all")).withColumnRenamed("needle", "own_needle")
-    sought = rare.join(whole, F.col("needle") == F.col("own_needle")).where("known = all").select("needle", F.col("rarest.gram").alias("gram"))
-    return sought.join(held, "gram").join(texts, "id").where(F.contains("body", "needle")).select("needle", "id")
+    wanted = cut(needles.select("needle").distinct().where("needle <> ''"))
+    chars = wanted.agg(F.sum(F.length("needle")).alias("n")).first()["n"] or 0
+    parts = -(-chars // part_chars)
+    kind = texts.schema["id"].dataType.simpleString()
+    found = texts.sparkSession.createDataFrame([], f"needle string, id {kind}")
+    for p in range(parts):
+        held = sorted(r["needle"] for r in wanted.where(F.pmod(F.xxhash64("needle"), F.lit(parts)) == p).collect())
+
+        def hits(batches: Iterator[pd.DataFrame], held: list[str] = held) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for n, needle in enumerate(held):
+                automaton.add_word(needle, n)
+            if held:
+                automaton.make_automaton()
+            for batch in batches:
+                at = [(held[n], i) for i, body in zip(batch["id"], batch["body"], strict=True) if held for n in sorted({n for _, n in automaton.iter(body)})]
+                yield pd.DataFrame(at, columns=["needle", "id"])
+
+        found = found.union(texts.select("id", "body").where("body IS NOT NULL").mapInPandas(hits, f"needle string, id {kind}"))
+    return found.distinct()
 
 
 def _questions(v: Views) -> tuple[DataFrame, DataFrame]:

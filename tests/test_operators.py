@@ -157,6 +157,8 @@ def test_containing_against_all_pairs(spark):
     got = R.containing(spark.createDataFrame([(n,) for n in needles], "needle string"), spark.createDataFrame(texts, "id long, body string")).collect()
     want = {(n, i) for n in needles for i, t in texts if n and t and n in t}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+    parts = R.containing(spark.createDataFrame([(n,) for n in needles], "needle string"), spark.createDataFrame(texts, "id long, body string"), part_chars=900).collect()
+    assert {tuple(r) for r in parts} == want and len(parts) == len(want)
 
 
 def test_blocks_of_unequal_vectors(spark):
