@@ -491,14 +491,6 @@ def embed_resilient(v: Views) -> DataFrame:
     return embed_texts(v.table("documents").select("doc_id", "text"), "text", letter_shares).select("doc_id", "vector")
 
 
-@query()
-def feed_entries(v: Views) -> DataFrame:
-    """Entries of feeds written as XML, without those that have no link."""
-    item = F.concat(F.lit("<item><title>"), F.concat(F.lit("Page "), "page_id"), F.lit("</title><link>"), F.when(F.col("page_id") % 6 == 0, "").otherwise(F.replace("url", F.lit("&"), F.lit("&amp;"))), F.lit("</link></item>"))
-    items = v.table("pages").select("page_id", F.from_xml(item, "title string, link string").alias("e"))
-    return items.select("page_id", "e.title", F.trim("e.link").alias("link")).where("coalesce(link, '') <> ''")
-
-
 @query()
 def trace_scan(v: Views) -> DataFrame:
     """Traces, one JSON object a line; lines that are none are passed over."""
