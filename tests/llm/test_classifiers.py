@@ -92,3 +92,63 @@ def test_quality_features():
     ids, shares = Q._document("a a b".split(), s)
     assert np.isclose(shares.sum(), 1) and 1 in ids  # a word twice running falls in the bucket of repetition
     assert len(Q._document([], s)[0]) == 0
+
+
+def plain_hash(part, kind):
+    """The polynomial hash of a part of a word, in Python's numbers."""
+    mask = (1 << 64) - 1
+    x = (sum((ord(c) + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, c in enumerate(part)) + kind * 0xC2B2AE3D27D4EB4F) & mask
+    for _ in range(2):
+        x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & mask
+    return x ^ (x >> 32)
+
+
+def whole_texts(spark, sf_dir):
+    return dict(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+
+
+def same_scores(got, want):
+    assert len(got) == len(want)
+    for r in got:
+        assert abs(r["score"] - want[r["doc_id"]]) < 1e-9
+    return sum(r["predicted"] for r in got)
+
+
+def test_toxicity_scores_word_by_word(spark, sf_dir):
+    """Every whole text again from the weights, a word and a beginning at a time."""
+    s, docs, labels = X.Settings(), spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    weights, bias = X.train_toxicity(labelled_sample(docs, labels, "toxic", ~held_out("doc_id", 4, 2), X.MAX_ROWS, X.MAX_CHARS), s)
+    known = {}
+
+    def of_word(w):
+        if w not in known:
+            known[w] = sum(weights[plain_hash(p, k) >> (64 - s.bits)] for p, k in [(w, 0), *((w[:n], n) for n in s.prefixes if len(w) >= n)])
+        return known[w]
+
+    want = {i: 1 / (1 + np.exp(-np.clip(bias + sum(map(of_word, set(X.WORD.findall((t or "").lower())))), -40, 40))) for i, t in whole_texts(spark, sf_dir).items()}
+    got = QUERIES["op1_toxicity"](spark, sf_dir).collect()
+    assert 0 < same_scores(got, want) < len(got) / 2 and all(r["predicted"] == (r["score"] >= 0.3) for r in got)
+
+
+def test_quality_scores_word_by_word(spark, sf_dir):
+    s, docs, labels = Q.Settings(), spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    buckets, bias = Q.train_quality(labelled_sample(docs, labels, "quality", ~held_out("doc_id", 3, 1), Q.MAX_ROWS, Q.MAX_CHARS), s)
+    known = {}
+
+    def of_word(w):
+        if w not in known:
+            marked = f"<{w}>"
+            parts = [(marked, 0), *((marked[i : i + n], n) for n in s.grams for i in range(len(marked) - n + 1))]
+            hashes = [plain_hash(*p) for p in parts]
+            known[w] = hashes[0], sum(buckets[h >> (64 - s.bits)] for h in hashes), len(parts)
+        return known[w]
+
+    def score(text):
+        words = [of_word(w) for w in text.split()]
+        pairs = [1 if a[0] == b[0] else ((a[0] * 0x9E3779B97F4A7C15 + b[0] * 0xC2B2AE3D27D4EB4F) % (1 << 64)) >> (64 - s.bits) for a, b in zip(words, words[1:], strict=False)]
+        logit = bias + (sum(w[1] for w in words) + sum(buckets[p] for p in pairs)) / max(sum(w[2] for w in words) + len(pairs), 1)
+        return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
+
+    want = {i: score(t or "") for i, t in whole_texts(spark, sf_dir).items()}
+    got = QUERIES["op5_quality"](spark, sf_dir).collect()
+    assert 0 < same_scores(got, want) < len(got) and all(r["predicted"] == (r["score"] >= 0.5) for r in got)
