@@ -109,7 +109,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, chunk: int = CHUNK,
     spark = pages.sparkSession
     table = f"{path}/chunks"
     with arrow_rows(spark, BATCH):
-        chunk_rows(pages, id_col, url_col, payload_col, chunk).write.parquet(table)
+        chunk_rows(pages, id_col, url_col, payload_col, chunk).write.option("compression", "zstd").parquet(table)
     chunks = spark.read.parquet(table)
     typed = cut(roles(chunks.where("last").select("record", "page", "url", "size", "digest", "content"), least))
     uri = F.transform(F.split("url", ""), lambda c: F.when(c.rlike(r"[\x00-\x20\x7f]"), F.concat(F.lit("%"), F.hex(F.encode(c, "utf-8")))).otherwise(c))
