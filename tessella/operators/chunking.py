@@ -491,7 +491,7 @@ def embed_resilient(v: Views) -> DataFrame:
     return embed_texts(v.table("documents").select("doc_id", "text"), "text", letter_shares).select("doc_id", "vector")
 
 
-@query()
+@query("SELECT event_id AS req_id, value AS ms, user_id, event_type FROM events WHERE event_id % 50 <> 0")
 def trace_scan(v: Views) -> DataFrame:
     """Traces, one JSON object a line; lines that are none are passed over."""
     line = F.when(F.col("event_id") % 50 == 0, "{broken").otherwise(F.to_json(F.struct(F.col("event_id").alias("req_id"), F.col("value").alias("ms"), F.struct("user_id", "event_type").alias("filters"))))
@@ -500,7 +500,7 @@ def trace_scan(v: Views) -> DataFrame:
     return parsed.where("t._bad IS NULL").select("t.req_id", "t.ms", "t.filters.user_id", "t.filters.event_type")
 
 
-@query()
+@query("SELECT event_id, user_id AS id, 1 AS n FROM events UNION ALL SELECT event_id, user_id, 2 FROM events WHERE event_id % 3 <> 1")
 def json_or_ndjson(v: Views) -> DataFrame:
     """Listings that are a JSON array, one object, or an object a line."""
     one = lambda n: F.to_json(F.struct(F.col("user_id").alias("id"), F.lit(n).alias("n")))
@@ -511,7 +511,8 @@ def json_or_ndjson(v: Views) -> DataFrame:
     return rows.select("event_id", F.inline(F.from_json(text, "array<struct<id:bigint,n:int>>")))
 
 
-@query()
+@query("""WITH i AS (SELECT id, doc_id, caption, 30 * length(coalesce(caption, '')) AS bytes, 100 + id % 200 AS width FROM chunks WHERE chunk_type = 'image')
+    SELECT min(id) AS id, arg_min(doc_id, id) AS doc_id FROM i WHERE width >= 150 AND bytes >= 5120 GROUP BY caption""")
 def image_guard(v: Views) -> DataFrame:
     """Images large enough to keep, each content once."""
     size = F.length(F.coalesce("caption", F.lit("")))

@@ -309,7 +309,8 @@ def count_links(v: Views) -> DataFrame:
     return v.table("conversations").select("conv_id", "turn", F.size(F.regexp_extract_all(text, F.lit(r"(?<!!)(\[[^\]]+\]\(https?://[^)]+\))"), F.lit(1))).alias("links"))
 
 
-@query()
+@query(r"""SELECT conv_id, turn, array_to_string(list_append(regexp_extract_all(text, '!\[[^\]]*\]\(([^)]+)\)', 1), 'http://a/' || turn || '.png'), '|') AS images, '[A](http://s/' || conv_id || ')|B' AS sources,
+    sha256(regexp_replace(regexp_replace(text, '!\[[^\]]*\]\([^)]+\)', '', 'g'), '\s+$', '')) AS body_sha FROM conversations WHERE role = 'assistant'""")
 def parse_suffix(v: Views) -> DataFrame:
     """An answer's parts: images, the listed sources, and the text before them."""
     made = F.concat("text", F.lit("\n\n![Bild](http://a/"), "turn", F.lit(".png)\n\nQuellen:\n- [A](http://s/"), "conv_id", F.lit(")\n- B\n"))
@@ -319,5 +320,5 @@ def parse_suffix(v: Views) -> DataFrame:
         "conv_id", "turn",
         F.array_join(F.regexp_extract_all("t", F.lit(r"!\[[^\]]*\]\(([^)]+)\)"), F.lit(1)), "|").alias("images"),
         F.array_join(F.transform(F.filter(F.split(block, "\n"), lambda x: x.startswith("- ")), lambda x: F.trim(F.substr(x, F.lit(3)))), "|").alias("sources"),
-        F.sha2(F.rtrim(F.regexp_replace(F.regexp_replace("t", r"(?ms)^Quellen:.*\z", ""), r"!\[[^\]]*\]\([^)]+\)", "")), 256).alias("body_sha"),
+        F.sha2(F.regexp_replace(F.regexp_replace(F.regexp_replace("t", r"(?ms)^Quellen:.*\z", ""), r"!\[[^\]]*\]\([^)]+\)", ""), r"\s+\z", ""), 256).alias("body_sha"),
     )
