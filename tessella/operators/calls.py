@@ -106,10 +106,10 @@ class Moody:
         if len(text) % 5 == 0 and text not in self.seen:
             self.seen.add(text)
             raise TimeoutError("later")
-        return f"Bild: {text[:20].upper()}"
+        return f"Bild: {text[:20]}"
 
 
-@query("""SELECT doc_id, id, CASE WHEN length(caption) % 7 <> 0 THEN 'Bild: ' || upper(left(caption, 20)) END AS result,
+@query("""SELECT doc_id, id, CASE WHEN length(caption) % 7 <> 0 THEN 'Bild: ' || left(caption, 20) END AS result,
     CASE WHEN caption IS NULL THEN 'no payload' WHEN length(caption) % 7 = 0 THEN 'ValueError: not this one' END AS reason,
     CASE WHEN caption IS NULL THEN 0 WHEN length(caption) % 7 = 0 THEN 3 WHEN length(caption) % 5 = 0 THEN 2 ELSE 1 END AS attempts FROM (SELECT doc_id, id, id || ' ' || caption AS caption FROM chunks)""")
 def captions(v: Views) -> DataFrame:
