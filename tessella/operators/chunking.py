@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import html.parser
+import contextlib
 import json
 import math
 import re
@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tessella.operators.text import ELEMENT_TYPES, element_type, embedding_input
+from tessella.functions.dom import Page, listed
+from tessella.operators.text import ELEMENT_TYPES, JUNK, NORM, WIDTH_MARK, bare_image_url, element_type, embedding_input, image_urls
 from tessella.registry import query
 from tessella.sources.views import Views
 
@@ -356,67 +357,41 @@ def layout_flatten(v: Views) -> DataFrame:
     return rendered(v).select("doc_id", "kind", "page", "level", F.md5(F.encode("content", "utf-8")).alias("content_md5")).groupBy("doc_id", "kind", "page", "level", "content_md5").agg(F.count("*").alias("n"))
 
 
-#: Elements that have no end tag (fixed values).
-VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
-HIDDEN = ("script", "style", "template", "noscript")
-
-
-class Selector:
-    """A tag, ``.class``, ``#id`` or several of these, as in ``div.story``; all parts must fit."""
-
-    def __init__(self, text: str):
-        parts = re.findall(r"([.#]?)([\w-]+)", text)
-        self.tag = next((name for mark, name in parts if not mark), None)
-        self.classes = {name for mark, name in parts if mark == "."}
-        self.id = next((name for mark, name in parts if mark == "#"), None)
-
-    def fits(self, tag: str, attrs: dict[str, str | None]) -> bool:
-        return (self.tag in (None, tag)) and self.classes <= set((attrs.get("class") or "").split()) and self.id in (None, attrs.get("id"))
-
-
-class _Text(html.parser.HTMLParser):
-    """Text of a page, or of what a selector finds in it, without what is hidden; a line for each stretch between tags.
-
-    What is found apart makes parts of its own.
-    """
-
-    def __init__(self, within: Selector | None = None, strip: tuple[Selector, ...] = ()):
-        super().__init__()
-        self.within, self.strip, self.parts = within, (*map(Selector, HIDDEN), *strip), [[]]
-        self.open: list[tuple[str, bool, bool]] = []  # tag, begins what is looked for, begins what is hidden
-
-    def handle_starttag(self, tag, attrs):
-        if tag not in VOID:
-            given = dict(attrs)
-            found = self.within is not None and self.within.fits(tag, given)
-            if found and not any(f for _, f, _ in self.open):
-                self.parts.append([])
-            self.open.append((tag, found, any(s.fits(tag, given) for s in self.strip)))
-
-    def handle_endtag(self, tag):
-        if any(t == tag for t, _, _ in self.open):
-            while self.open.pop()[0] != tag:
-                pass
-
-    def handle_data(self, data):
-        inside = self.within is None or any(f for _, f, _ in self.open)
-        if data.strip() and inside and not any(h for _, _, h in self.open):
-            self.parts[-1].append(data.strip())
-
-    def text(self) -> str:
-        return "\n\n".join("\n".join(part) for part in self.parts if part)
+#: What an article is looked for in at last (fixed value).
+DEFAULT_ARTICLE = "article, main"
 
 
 def html_text(page: str | None, within: str | None = None, strip: tuple[str, ...] = ()) -> str:
-    parser = _Text(Selector(within) if within else None, tuple(map(Selector, strip)))
-    parser.feed(page or "")
-    parser.close()
-    return parser.text()
+    """Text of a page, or of each element that a selector finds in it, without what ``strip`` finds; a line for each string."""
+    read = Page(page)
+    without = [e for s in strip for e in read.select(s)]
+    parts = [read.text(e, without) for e in read.select(within)] if within else [read.text(None, without)]
+    return "\n\n".join(p for p in parts if p)
 
 
 def article_body(page: str | None, selectors: tuple[str, ...], strip: tuple[str, ...] = (), least: int = 100) -> str | None:
-    """The text of the first selector that finds ``least`` characters or more; none if no selector does."""
-    return next((text for text in (html_text(page, s, strip) for s in selectors) if len(text) >= least), None)
+    """The text of the first selector that finds ``least`` characters or more; none if no selector does.
+
+    Lists count as their selectors one after the other; the default comes last, as a whole. What is no selector finds nothing.
+    """
+    for selector in [*(x for s in selectors for x in listed(s)), DEFAULT_ARTICLE]:
+        with contextlib.suppress(ValueError):
+            if len(text := html_text(page, selector, strip)) >= least:
+                return text
+    return None
+
+
+def page_images(page: str | None, selector: str) -> list[str]:
+    """URLs of the images that a selector finds, from ``src`` or ``data-src``: absolute, not junk, each image once at its widest."""
+    best: dict[str, tuple[int, str]] = {}
+    for e in Page(page).select(selector):
+        url = e.attrs.get("src") or e.attrs.get("data-src") or ""
+        if url.startswith("http") and not any(mark in url.lower() for mark in JUNK):
+            wide = int(m[1]) if (m := WIDTH_MARK.search(url)) else 0
+            key = bare_image_url(url)
+            if key not in best or wide > best[key][0]:
+                best[key] = (wide, url)
+    return [url for _, url in best.values()]
 
 
 @F.pandas_udf(StringType())
@@ -434,6 +409,20 @@ def html_to_text(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", page_text("html").alias("text"))
 
 
+@query(f"WITH {NORM}, ok AS (SELECT * FROM norm WHERE NOT regexp_matches(lower(image_url), '\\.svg|vgwort\\.de|/pixel|/tracking|/beacon') AND starts_with(image_url, 'http')) SELECT page_id, image_url FROM ok QUALIFY row_number() OVER (PARTITION BY page_id, base ORDER BY width DESC, pos) = 1")
+def article_images(v: Views) -> DataFrame:
+    """Images of pages, here ones that are put at the end of each given page, as those have none."""
+
+    @F.pandas_udf("array<string>")
+    def found(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda p: page_images(p, "figure > img, div.gallery img[data-src]"))
+
+    put = F.concat(F.lit("<div class='gallery'>"), F.array_join(F.transform("urls", lambda u: F.concat(F.when(u.contains("_w960"), F.lit("<p><img src='' data-src=\"")).otherwise(F.lit("<figure><img src=\"")), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit("\"></figure>"))), ""), F.lit("</div>"))
+    urls = image_urls(v).groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "image_url"))), lambda x: x["image_url"]).alias("urls"))
+    pages = v.table("pages").select("page_id", "html").join(urls, "page_id")
+    return pages.select("page_id", F.explode(found(F.concat("html", put))).alias("image_url"))
+
+
 @query()
 def extract_article(v: Views) -> DataFrame:
     """The text that selectors find, without what is stripped, if it has a hundred characters; else the feed's content; else its summary."""

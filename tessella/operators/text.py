@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import parse_qs, urlencode, urlparse, urlunparse
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +19,7 @@ IMAGE_WORDS = ("bild", "bilder", "zeige", "foto", "abbildung", "grafik", "diagra
 #: What marks an image URL as junk, and query parameters that only set a size (fixed values).
 JUNK = (".svg", "vgwort.de", "/pixel", "/tracking", "/beacon")
 SIZE_PARAMS = ("w", "h", "width", "height", "resize", "size", "q")
+SIZE_MARKS, WIDTH_MARK = re.compile(r"_w\d+|_r[\d.]+|_fpx[\d.]+|_fpy[\d.]+"), re.compile(r"_w(\d+)")
 #: Element types of layouts and their common names; ``_skip`` falls away (fixed values).
 ELEMENT_TYPES = {
     "image": "image",
@@ -78,13 +83,27 @@ def preview(text: Column, n: int = 260) -> Column:
     return F.left(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(n))
 
 
+def bare_image_url(url: str) -> str:
+    """A URL without what only sets an image's size: path marks like ``_w520``, size parameters, the fragment.
+
+    Parameters without a value go too; others are decoded and written anew, so that spellings of one URL are equal.
+    """
+    try:
+        at = urlparse(url)
+        held = [(name, value) for name, values in parse_qs(at.query).items() if name not in SIZE_PARAMS for value in values]
+    except ValueError:  # no URL
+        return url
+    return urlunparse((at.scheme, at.netloc, SIZE_MARKS.sub("", at.path), "", urlencode(held), ""))
+
+
 def normal_image_url(url: Column) -> Column:
-    """A URL without what only sets an image's size: path marks like ``_w520``, size parameters, the fragment."""
-    bare = F.split_part(url, F.lit("#"), F.lit(1))
-    path = F.regexp_replace(F.split_part(bare, F.lit("?"), F.lit(1)), r"_w\d+|_r[\d.]+|_fpx[\d.]+|_fpy[\d.]+", "")
-    params = F.filter(F.split(F.split_part(bare, F.lit("?"), F.lit(2)), "&"), lambda p: ~F.split_part(p, F.lit("="), F.lit(1)).isin(*SIZE_PARAMS) & p.contains("="))
-    rest = F.array_join(params, "&")
-    return F.when(rest == "", path).otherwise(F.concat(path, F.lit("?"), rest))
+    """``bare_image_url`` of a column; null of null."""
+
+    @F.pandas_udf("string")
+    def bare(urls: pd.Series) -> pd.Series:
+        return urls.map(lambda u: None if u is None else bare_image_url(u))
+
+    return bare(url)
 
 
 def cdn_width(url: Column) -> Column:
