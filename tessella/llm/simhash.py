@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ from tessella.plans.lineage import cut
 SEED = 42
 SHINGLE = 3
 DISTANCE = 3
+#: Different fingerprints that share a half, beyond which the half is cut further.
+MANY = 1000
 #: Shingle hashes whose bits are counted at a time; bytes count up to 255.
 COUNTED = 255 * 64
 
@@ -93,37 +96,52 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", words_each: int =
     return docs.withColumn("fp", simhash(text_col))
 
 
-def segment_keys(words: str, count: int, bits: int) -> str:
-    """SQL: the segments of ``bits`` bits of an array of ``count`` longs, each as a long that begins with its number."""
-    per = 64 // bits
-    value = f"shiftrightunsigned({words}[cast(k div {per} as int)], cast({bits} * (k % {per}) as int)) & {(1 << bits) - 1}L"
-    return f"transform(sequence(0, {count * per - 1}), k -> shiftleft(cast(k as bigint), {bits}) | ({value}))"
+def segments(bits: int, name: str) -> str:
+    """SQL: the two segments of ``bits`` bits of ``rest``, as rows of ``name``, a long that begins with its number, and the other segment."""
+    part = lambda k: f"shiftrightunsigned(rest, {bits * k}) & {(1 << bits) - 1}L"
+    return f"inline(array(struct({part(0)} AS {name}, {part(1)} AS rest), struct(({part(1)}) | {1 << bits}L AS {name}, {part(0)} AS rest)))"
 
 
-def balls(keys: str, bits: int) -> str:
-    """SQL: the segment keys and their neighbours at one bit's distance that have a one where the key has a zero.
+def ball(key: str, bits: int, both_ways: bool) -> str:
+    """SQL: a segment and its neighbours at one bit's distance; if not ``both_ways``, only those that have a one where it has a zero.
 
-    Of two segments that differ in one bit, one has a zero there, so it is enough to set each zero bit.
+    Of two segments that differ in one bit, one has a zero there, so where both probe it is enough to set each zero bit.
     """
-    return f"flatten(transform({keys}, key -> array_append(transform(filter(sequence(0, {bits - 1}), i -> (key & shiftleft(1L, i)) = 0), i -> key | shiftleft(1L, i)), key)))"
+    at = f"sequence(0, {bits - 1})" if both_ways else f"filter(sequence(0, {bits - 1}), i -> ({key} & shiftleft(1L, i)) = 0)"
+    return f"array_append(transform({at}, i -> {key} ^ shiftleft(1L, i)), {key})"
 
 
-def near_pairs(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """``(src, dst)`` pairs of different fingerprints of ``fps.fp`` that differ in ``distance`` bits or fewer (at most 3).
+def candidates(fps: DataFrame, many: int = MANY) -> DataFrame:
+    """``(src, dst)`` among which are all pairs of different fingerprints of ``fps.fp`` that differ in 3 bits or fewer.
 
-    Cut in two halves, one half of such a pair differs in at most one bit. The table holds each fingerprint under its
-    halves; probes look up each half and its one-bit neighbours; whole distances are then checked.
+    Cut in two halves, one half of such a pair differs in at most one bit. The table holds each fingerprint under its halves;
+    probes look up each half and its one-bit neighbours. A half with more than ``many`` fingerprints makes no pairs itself: what
+    meets there is cut again, in the same way, by the other half's 16 bits, and once more by 8 bits, after which 256 fingerprints
+    at most are under one key. So the work of a hot half grows with its fingerprints, and not with their square.
     """
+    keys: list[str] = []
+    found = []
+    held = probes = fps.select("fp", F.col("fp").alias("rest"))
+    for bits in (32, 16, 8):
+        keys = [*keys, f"k{bits}"]
+        held, probes = (rows.selectExpr("fp", *keys[:-1], segments(bits, keys[-1])) for rows in (held, probes))
+        # which way a pair met is settled by the first segment, so later ones look both ways
+        probes = probes.selectExpr("fp", *keys[:-1], f"explode({ball(keys[-1], bits, bits < 32)}) AS {keys[-1]}", "rest")
+        hot = cut(held.groupBy(*keys).count().where(F.col("count") > many).select(*keys)) if bits > 8 else None
+        split = hot is not None and not hot.isEmpty()
+        direct = held.join(hot, keys, "left_anti") if split else held
+        found.append(probes.select(F.col("fp").alias("src"), *keys).join(direct.select(F.col("fp").alias("dst"), *keys), keys).select("src", "dst"))
+        if not split:
+            break
+        held, probes = held.join(hot, keys, "left_semi"), probes.join(hot, keys, "left_semi")
+    return functools.reduce(DataFrame.union, found).where("src <> dst")
+
+
+def near_pairs(fps: DataFrame, distance: int = DISTANCE, many: int = MANY) -> DataFrame:
+    """``(src, dst)`` pairs of different fingerprints of ``fps.fp`` that differ in ``distance`` bits or fewer (at most 3)."""
     if not 0 <= distance <= 3:
         raise ValueError("two halves with balls of radius 1 find distances up to 3")
-    halves = segment_keys("array(fp)", 1, 32)
-    held = fps.selectExpr("fp AS dst", f"explode({halves}) AS key")
-    probes = fps.selectExpr("fp AS src", f"explode({balls(halves, 32)}) AS key")
-    return (
-        probes.join(held, "key")
-        .where(f"src <> dst AND bit_count(src ^ dst) <= {distance}")
-        .select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-    )
+    return candidates(fps, many).where(f"bit_count(src ^ dst) <= {distance}").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:

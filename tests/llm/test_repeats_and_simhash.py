@@ -161,6 +161,35 @@ def test_near_pairs_against_all_pairs(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("low", [True, False])
+def test_a_hot_half_is_cut_before_pairs_are_made(spark, low):
+    rng = random.Random(8)
+    hot, other = 0xDEADBEEF, 0x12345678
+    near = [hot, hot ^ 1, hot ^ (1 << 31)]  # halves at one bit's distance are hot as well, in either direction
+    rest = {rng.getrandbits(32) for _ in range(300)}
+    rest |= {r ^ sum(1 << b for b in rng.sample(range(32), k)) for r in list(rest)[:80] for k in (1, 2, 3)}
+    rest |= {other << 16 & 0xFFFFFFFF | rng.getrandbits(16) for _ in range(300)}  # and some share 48 bits
+    fps = {half | r << 32 if low else half << 32 | r for half in near for r in rest}
+    fps |= {rng.getrandbits(64) for _ in range(50)}
+    signed = lambda f: f - 2**64 if f >= 2**63 else f
+    df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    got = {frozenset(r) for r in H.near_pairs(df, many=40).collect()}
+    items = np.array(sorted(fps), "u8")
+    apart = np.bitwise_count(items[:, None] ^ items[None, :])
+    want = {frozenset((signed(int(items[a])), signed(int(items[b])))) for a, b in zip(*np.nonzero(apart <= 3), strict=True) if a != b}
+    assert got == want == {frozenset(r) for r in H.near_pairs(df, many=10**6).collect()}
+
+
+def test_candidates_of_a_hot_half_do_not_grow_with_its_square(spark):
+    rng = random.Random(9)
+    counts = []
+    for n in (1000, 4000):
+        df = spark.createDataFrame([(7 | rng.getrandbits(31) << 32,) for _ in range(n)], "fp long")
+        counts.append(H.candidates(df, many=200).count())
+        assert counts[-1] < 0.02 * n * n
+    assert spark.createDataFrame([], "fp long").count() == H.candidates(spark.createDataFrame([], "fp long")).count() == 0
+
+
 def test_components_against_brute_force(spark, sf_dir):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     docs += [(1000 + i, t) for i, t in enumerate(ODD)] + [(None, "One"), (3, docs[3][1])]
