@@ -30,7 +30,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A text with more than a ``1 / hot_share`` part of all rows would make one partition large. Such texts are found
     by counting 64-bit hashes; there are fewer than ``hot_share`` of them, so the table of their smallest id and count,
-    aggregated before its shuffle and keyed by SHA-256, may be broadcast. Their rows are dealt to ``salts`` runs.
+    aggregated before its shuffle and keyed by SHA-256, may be broadcast. Their rows are dealt to ``salts`` runs by id and by the
+    partition they come from, so rows of one repeated or null id are dealt out too; only those of the smallest id itself stay together,
+    as one of them is kept.
 
     Null text counts as empty. A null id is never the smallest while another id exists; if all ids of a group are
     null, ``keep_id`` is null and one of the rows stays. Of repeated rows (same id and text) exactly one stays. Input
@@ -46,9 +48,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.min("id").alias("hot_id"), F.count("*").alias("hot_size"))
         .select(F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("hot_sha"), "hot_id", "hot_size")
     )
+    source = F.when(F.col("id").eqNullSafe(F.col("hot_id")), F.lit(-1)).otherwise(F.spark_partition_id())
     # sha2 is only worked out for rows whose hash is among the hot ones
     marked = rows.join(F.broadcast(hot), (rows["h"] == hot["h"]) & (F.sha2(rows["norm"], 256) == hot["hot_sha"]), "left").select(
-        "row", "id", "norm", F.left("norm", F.lit(PREFIX)).alias("prefix"), rows["h"].alias("h"), "hot_id", "hot_size", F.when(F.col("hot_size").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(salts))).otherwise(F.lit(0)).alias("salt")
+        "row", "id", "norm", F.left("norm", F.lit(PREFIX)).alias("prefix"), rows["h"].alias("h"), "hot_id", "hot_size", F.when(F.col("hot_size").isNotNull(), F.pmod(F.xxhash64("id", source), F.lit(salts))).otherwise(F.lit(0)).alias("salt")
     )
     order = ["prefix", "h", "salt"]
     run = W.partitionBy(*order, "norm")

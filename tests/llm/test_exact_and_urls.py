@@ -45,6 +45,29 @@ def test_hot_text_is_dealt_out_and_whole(spark):
         assert {tuple(r) for r in got.where("n > 1").collect()} == {(1, 2000, 2000, 1)} and got.count() == 1001
 
 
+@pytest.mark.parametrize("own", [7, None])
+def test_hot_text_of_one_repeated_id_is_dealt_out(spark, own):
+    rows = [(own, "same", k) for k in range(600)] + [(1, "same", k) for k in range(3)] + [(k, f"own {k}", k) for k in range(10, 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(12)
+    found = E.exact_dedup(df, hot_share=4, salts=8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these few rows would be put together again
+    try:
+        sizes = [r["c"] for r in found.where("text = 'same'").groupBy(F.spark_partition_id()).agg(F.count("*").alias("c")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = found.collect()
+    assert len(sizes) > 1 and max(sizes) < 600
+    assert sorted(r["n"] for r in got) == sorted(r[2] for r in rows)
+    assert {(r["keep_id"], r["group_size"]) for r in got if r["text"] == "same"} == {(1, 603)}
+    assert [r["doc_id"] for r in got if r["kept"] and r["text"] == "same"] == [1] and sum(r["kept"] for r in got) == 11
+
+
+def test_hot_text_without_ids_keeps_one_row(spark):
+    df = spark.createDataFrame([(None, "same")] * 50 + [(k, f"own {k}") for k in range(5)], "doc_id long, text string").repartition(4)
+    got = E.exact_dedup(df, hot_share=4, salts=8).where("text = 'same'").collect()
+    assert sum(r["kept"] for r in got) == 1 and {(r["keep_id"], r["group_size"]) for r in got} == {(None, 50)}
+
+
 def test_dedup_needs_one_exchange_of_texts_and_no_python(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(4)
     plan = E.exact_dedup(df)._jdf.queryExecution().executedPlan().toString()
