@@ -152,7 +152,8 @@ def decode_bpe(docs: DataFrame, path: str | None = None, ids_col: str = "ids") -
 def bpe_digests(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of the whole text, encoded and decoded in one pass.
 
-    Null text counts as empty: no tokens, and the digests of nothing. Columns of these names are replaced.
+    Null text counts as empty: no tokens, and the digests of nothing. Columns of these names are replaced. Repeated rows give repeated
+    rows; an empty table gives an empty result.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     small_batches(docs.sparkSession)
