@@ -39,6 +39,25 @@ def distance(a: str, b: str, words: int = WORDS) -> Column:
     return F.expr("+".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(words)))
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Longs with a bit for each remainder of the hashes: 1 if an odd number of them leaves it. At least a bit for each hash.
+
+    Every hash in only one of two sets changes one bit, so as many bits as differ, at least so many hashes do. The number of bits is
+    a power of two, so the bits for half the remainders are the two halves, one xor the other.
+    """
+    bits = 64 << (max(0, len(hashes) - 1) // 64).bit_length()
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype("i8"), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
+def fewest_apart(a: str, b: str) -> Column:
+    """Hashes that are in only one of two sets, at least, by their ``parities``; 0 if one has over twice as many longs."""
+    half = lambda x: f"zip_with(slice({x}, 1, size({x}) div 2), slice({x}, size({x}) div 2 + 1, size({x}) div 2), (p, q) -> p ^ q)"
+    count = lambda x, y: f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p ^ q)), 0, (n, k) -> n + k)"
+    cases = ((f"size({a}) = size({b})", a, b), (f"size({a}) = 2 * size({b})", half(a), b), (f"size({b}) = 2 * size({a})", a, half(b)))
+    return F.expr("CASE " + " ".join(f"WHEN {when} THEN {count(x, y)}" for when, x, y in cases) + " ELSE 0 END")
+
+
 def whole_sets(wanted: DataFrame, nodes: DataFrame, rows: DataFrame, words_each: int) -> DataFrame:
     """``(node, held)``: the sets of shingles of ``wanted`` nodes, from one text each."""
 
@@ -52,10 +71,15 @@ def whole_sets(wanted: DataFrame, nodes: DataFrame, rows: DataFrame, words_each:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words_each: int, similarity: float, held: DataFrame | None = None) -> DataFrame:
-    """The ``(src, dst)`` of ``pairs`` whose complete fingerprints are near and whose whole sets have the similarity."""
-    side = lambda name: nodes.select(F.col("node").alias(name), F.col("ws").alias(f"ws_{name}"), F.col("n").alias(f"n_{name}"))
+    """The ``(src, dst)`` of ``pairs`` whose complete fingerprints are near and whose whole sets have the similarity.
+
+    Whole sets travel only for pairs whose parities leave the similarity possible, which are few that do not have it.
+    """
+    side = lambda name: nodes.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("ws", "n", "odd")])
     alike = F.least("n_src", "n_dst") >= similarity * F.greatest("n_src", "n_dst") - EPS
-    near = cut(pairs.distinct().join(side("src"), "src").join(side("dst"), "dst").where(alike & (distance("ws_src", "ws_dst") <= APART)).select("src", "dst"))
+    possible = fewest_apart("odd_src", "odd_dst") <= (1 - similarity) / (1 + similarity) * (F.col("n_src") + F.col("n_dst")) + EPS
+    near = pairs.distinct().join(side("src"), "src").join(side("dst"), "dst").where(alike & (distance("ws_src", "ws_dst") <= APART) & possible)
+    near = cut(near.select("src", "dst"))
     if held is None:
         held = whole_sets(near.select(F.col("src").alias("node")).union(near.select("dst")), nodes, rows, words_each)
     a, b = held.select(F.col("node").alias("src"), F.col("held").alias("a")), held.select(F.col("node").alias("dst"), F.col("held").alias("b"))
@@ -109,17 +133,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = F.xxhash64(F.col(id_col), text)
     rows = docs.select(key.alias("rk"), F.col(id_col).alias("id"), text.alias("text"))
 
-    @F.pandas_udf("node long, n int, ws array<long>, keys array<long>")
+    @F.pandas_udf("node long, n int, ws array<long>, odd array<long>, keys array<long>")
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [shingles(t, words_each) for t in texts]
             node = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), "u8", len(sets)).view("i8")
             counted = [margins(s, WORDS) for s in sets]
-            yield pd.DataFrame({"node": node, "n": list(map(len, sets)), "ws": list(map(packed, counted)), "keys": [likely_balls(m, BITS, FLIPS) for m in counted]})
+            yield pd.DataFrame({"node": node, "n": list(map(len, sets)), "ws": list(map(packed, counted)), "odd": list(map(parities, sets)), "keys": [likely_balls(m, BITS, FLIPS) for m in counted]})
 
     printed = cut(rows.select("rk", "id", prints("text").alias("p")).select("rk", "id", "p.*"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rk")).alias("first")
-    nodes = cut(printed.groupBy("node").agg(F.first("n").alias("n"), F.first("ws").alias("ws"), F.first("keys").alias("keys"), first).select("node", "n", "ws", "keys", "first", "first.rk"))
+    nodes = cut(printed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "ws", "odd", "keys")], first).select("node", "n", "ws", "odd", "keys", "first", "first.rk"))
 
     listed = nodes.select(F.explode("keys").alias("key"), F.struct("node", F.col("ws")[0].alias("w")).alias("at"))
     close = lambda x, y: F.expr(f"bit_count({x}.w ^ {y}.w) <= {WORD_APART}")
@@ -136,10 +160,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     open_ = left.join(strays, (left["key"] == strays["key"]) & (left["part"] != strays["part_b"]) & close("at", "b"), "left_semi")
     open_ = open_.union(left.where("part <> main").join(mains, (left["key"] == mains["key"]) & close("at", "b"), "left_semi"))
     held = whole_sets(cut(open_.select(F.col("at.node").alias("node")).distinct()), nodes, rows, words_each)
-    edges = edges.union(verified(sharing_rare(held, linked, similarity), nodes, rows, words_each, similarity, held))
+    more = verified(sharing_rare(held, linked, similarity), nodes, rows, words_each, similarity, held)
 
-    linked = connected_components(edges).withColumnRenamed("node", "at")
-    kept = nodes.join(linked, F.col("node") == F.col("at"), "left").groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.rk").alias("kept_rk"))
+    # what was linked first is one node of the second graph
+    end = lambda name: linked.select(F.col("node").alias(name), F.col("part").alias(f"part_{name}"))
+    merged = connected_components(more.join(end("src"), "src").join(end("dst"), "dst"), "part_src", "part_dst").withColumnRenamed("node", "part")
+    root = F.coalesce("component", "part").alias("root")
+    kept = nodes.join(linked, "node").join(merged, "part", "left").groupBy(root).agg(F.min("first").alias("first")).select(F.col("first.rk").alias("kept_rk"))
     own = [c for c in docs.columns if c.lower() != "kept"]
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), key.alias("rk")).join(cut(kept), F.col("rk") == F.col("kept_rk"), "left")
     stays = F.col("kept_rk").isNotNull() & (F.row_number().over(W.partitionBy("rk").orderBy("rk")) == 1)

@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline as P
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,27 @@ def test_recall_of_pairs(spark, share, least):
     assert {r[0] % 2 for r in found} == {1} and len(found) >= least * 400
 
 
+def test_parities_never_rule_out_what_is_similar(spark):
+    rng = np.random.default_rng(4)
+    draw = lambda n: rng.integers(0, 2**64, n, dtype="u8")
+    rows, apart = [], []
+    for n in (0, 1, 63, 64, 65, 128, 129, 1000, 5000):
+        for new in (0, 1, n // 10, n // 4, n):
+            base = draw(n)
+            a, b = np.unique(base), np.unique(np.concatenate([base[: n - new // 2], draw(new)]))
+            rows.append((len(rows), N.parities(a).tolist(), N.parities(b).tolist()))
+            apart.append(len(np.setxor1d(a, b)))
+    assert all(len(r[1]) & (len(r[1]) - 1) == 0 for r in rows)
+    df = spark.createDataFrame(rows, "n int, a array<long>, b array<long>")
+    got = {r[0]: (r[1], r[2]) for r in df.select("n", N.fewest_apart("a", "b"), N.fewest_apart("b", "a")).collect()}
+    for n, d in enumerate(apart):
+        assert got[n][0] == got[n][1] <= d
+    for n in (100, 1000, 5000):  # a similarity of 0.6 is told from 0.8
+        shared, own = draw(n * 3 // 4), n // 4
+        pair = [N.parities(np.unique(np.concatenate([shared, draw(own)]))).tolist() for _ in range(2)]
+        assert spark.createDataFrame([pair], "a array<long>, b array<long>").select(N.fewest_apart("a", "b")).first()[0] > 0.2 / 1.8 * 2 * n
+
+
 def test_similar_texts_in_different_groups_are_apart(spark):
     docs = [(1, " ".join(f"w{k}" for k in range(30))), (2, " ".join([*(f"w{k}" for k in range(26)), "x", "y", "z", "t"]))]
     assert N.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).where("kept").count() == 2
