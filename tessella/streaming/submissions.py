@@ -94,7 +94,7 @@ def polls_of(events: DataFrame) -> DataFrame:
     return each.select("path", "poll", F.timestamp_seconds(F.col("poll") * 3600).alias("at"), (F.sum("n").over(W.partitionBy("path").orderBy("poll")) / 3).cast("long").alias("size"))
 
 
-@query("""WITH n AS (SELECT 'inbox/' || user_id || '.pdf' AS path, epoch(ts)::BIGINT // 3600 AS poll, count(*) AS n FROM events GROUP BY ALL),
+@query("""WITH n AS (SELECT 'inbox/' || user_id || '.pdf' AS path, epoch(date_trunc('hour', ts))::BIGINT // 3600 AS poll, count(*) AS n FROM events GROUP BY ALL),
     p AS (SELECT path, poll, sum(n) OVER (PARTITION BY path ORDER BY poll) // 3 AS size FROM n),
     b AS (SELECT *, lag(poll) OVER w AS p, lag(size) OVER w AS s FROM p WINDOW w AS (PARTITION BY path ORDER BY poll)),
     v AS (SELECT *, count(*) FILTER (p IS NULL OR poll > p + 1) OVER (PARTITION BY path ORDER BY poll) AS visit FROM b)

@@ -111,3 +111,22 @@ def test_a_submission_in_flight_is_not_repeated(spark, tmp_path):
     got, query = streamed(spark, tmp_path, df_of, rows, lambda s: S.submitted_once(s, "60 seconds"), [2, 4, 6])
     assert sorted((r["path"], r["at"]) for r in got.collect()) == sorted((p, start(s)) for p, s in [("a", 0), ("b", 6), ("c", 5000), ("d", 5001), ("a", 5002)])
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3  # what was in flight at first is forgotten
+
+
+def test_polls_of_the_last_half_second_of_an_hour(spark, tmp_path):
+    """The SQL counts an event in the hour that it lies in, as the query does, not in that of its rounded second."""
+    import duckdb
+
+    from tessella.registry import ORACLE_SQL
+
+    times = ["08:00:00", "09:59:59.7", "10:00:00", "11:00:00.2", "11:59:59.999999", "13:00:00"]
+    events = spark.createDataFrame([(1, datetime.datetime.fromisoformat(f"2024-01-01T{t}")) for t in times], "user_id long, ts timestamp")
+    db = duckdb.connect()
+    db.execute("SET timezone = 'UTC'")
+    db.execute("CREATE TABLE events AS SELECT 1 AS user_id, unnest(?)::TIMESTAMP AS ts", [[f"2024-01-01 {t}" for t in times]])
+    db.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    db.execute("CREATE TABLE embeddings(vec_id BIGINT, embedding FLOAT[], label INT)")
+    want = {r for r in db.execute(ORACLE_SQL["settled_files"]).fetchall()}
+    got = {tuple(r) for r in S.settled_batch(S.polls_of(events)).collect()}
+    assert got == want
+    assert len(got) == 1
