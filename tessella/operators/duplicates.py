@@ -192,23 +192,28 @@ def first_independent(edges: DataFrame) -> DataFrame:
     many as the logarithm of the number of nodes). Rounds go on until no edge is open.
     """
     nodes = cut(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct())
-    open_, taken, rounds = cut(edges.select("a", "b").distinct()), None, 0
-    gone = None  # nodes that follow one that was taken
+    open_, rounds = cut(edges.select("a", "b").distinct()), 0
+    gone = None  # nodes that follow one that was taken; kept distinct, so that its partitions do not add up round by round
     while True:
         late = open_.select(F.col("b").alias("id")).distinct()
         now = cut(open_.select(F.col("a").alias("id")).distinct().join(late, "id", "left_anti"))
         if now.isEmpty():
             break
         rounds += 1
-        taken = now if taken is None else taken.union(now)
-        after = open_.join(now, F.col("a") == F.col("id"), "left_semi").select(F.col("b").alias("id")).distinct()
-        gone = cut(after) if gone is None else cut(gone.union(after))
+        after = cut(open_.join(now, F.col("a") == F.col("id"), "left_semi").select(F.col("b").alias("id")).distinct())
+        gone = after if gone is None else cut(gone.union(after).distinct())
         left = open_.join(now, F.col("a") == F.col("id"), "left_anti").join(after, F.col("b") == F.col("id"), "left_anti")
         open_ = cut(left.join(after, F.col("a") == F.col("id"), "left_anti"))
     logger.info("first independent set: %d rounds", rounds)
     return nodes if gone is None else nodes.join(gone, "id", "left_anti")
 
 
+def directed(vector: Column) -> Column:
+    """Whether a vector has a direction, so that it is like its copies: its numbers are finite and not all zero."""
+    squares = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return F.coalesce((squares > 0) & (squares < float("inf")), F.lit(False))
+
+
 def ordered_store(new: DataFrame, store: DataFrame, least: float = 0.95, content: str | None = None) -> DataFrame:
     """``(id, stored_as)`` of each of ``new`` (id, v), saved one after the other by id into ``store`` (id, v), which grows.
 
@@ -217,18 +222,20 @@ def ordered_store(new: DataFrame, store: DataFrame, least: float = 0.95, content
     by rounds over the graph of like ones. Ids of the store and of new ones may not meet. Copies by ``content``, a column of
     ``new``, are saved once, whatever their vector; null content is no copy. A null vector, or one without direction, is like
     nothing. Rows that repeat an id are one, the first in order. Pairs are found in blocks, all against all, as a cosine has no
-    key to join on.
+    key to join on. Of equal vectors only the first takes part, as the others are stored as it is: so copies make no pairs.
     """
     copy = F.coalesce(F.col(content).cast("string"), F.concat(F.lit("#"), F.col("id"))) if content else F.concat(F.lit("#"), F.col("id"))
     rows = cut(new.select("id", F.col("v").alias("v"), copy.alias("copy")).groupBy("id").agg(F.min(F.struct("copy", "v")).alias("r")).select("id", "r.v", F.min("id").over(W.partitionBy("r.copy")).alias("first")))
-    firsts = rows.where("id = first").select("id", "v")
-    known = cut(first_match(firsts, store, least))
+    held = rows.where("id = first").select("id", "v").where(directed(F.col("v")))
+    firsts = cut(held.groupBy("v").agg(F.min("id").alias("id")))
+    equal = held.withColumnRenamed("id", "first").join(firsts.withColumnRenamed("id", "leads"), "v").select("first", "leads")
+    known = cut(first_match(firsts, store.where(directed(F.col("v"))).groupBy("v").agg(F.min("id").alias("id")).select("id", "v"), least))
     fresh = firsts.join(known, "id", "left_anti")
     edges = cut(cosine_pairs_within(fresh, least).select(F.col("id").alias("a"), F.col("id2").alias("b")))
     saved = cut(first_independent(edges))
     like = edges.join(saved, F.col("a") == F.col("id"), "left_semi").join(saved, F.col("b") == F.col("id"), "left_anti").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("match"))
-    stored = known.union(like).withColumnRenamed("id", "first")
-    return rows.join(stored, "first", "left").select("id", F.coalesce("match", "first").alias("stored_as"))
+    stored = known.union(like).withColumnRenamed("id", "leads")
+    return rows.join(equal, "first", "left").join(stored, "leads", "left").select("id", F.coalesce("match", "leads", "first").alias("stored_as"))
 
 
 @query("""WITH n AS (SELECT vec_id AS id, embedding AS v, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings WHERE vec_id % 4 = 3),

@@ -235,3 +235,21 @@ def test_first_independent_set_of_a_long_chain(spark):
     rows = [(i, i + 1) for i in range(40)] + [(0, 40)] * 2
     taken = {r["id"] for r in D.first_independent(spark.createDataFrame(rows, "a long, b long")).collect()}
     assert taken == set(range(0, 40, 2))
+
+
+def test_copies_and_long_walks_stay_small(spark, monkeypatch):
+    """Copies of a vector make no pairs, and the partitions of what follows do not add up over the rounds."""
+    made, pairs = [], D.cosine_pairs_within
+    monkeypatch.setattr(D, "cosine_pairs_within", lambda *a: made.append(p := pairs(*a)) or p)
+    kinds = [[1.0, 0.0], [0.96, 0.28], [0.0, 1.0], [0.0, 0.0]]
+    new = spark.createDataFrame([(i, kinds[i % 4]) for i in range(100, 300)], "id long, v array<double>")
+    held = spark.createDataFrame([(i, [0.0, 2.0]) for i in range(50)], "id long, v array<double>")
+    got = dict(map(tuple, D.ordered_store(new, held, 0.9).collect()))
+    assert got == {i: (100, 100, 0, i)[i % 4] for i in range(100, 300)}
+    assert made[0].count() == 1
+
+    kept, cut = [], D.cut
+    monkeypatch.setattr(D, "cut", lambda df: kept.append(c := cut(df)) or c)
+    taken = {r["id"] for r in D.first_independent(spark.createDataFrame([(i, i + 1) for i in range(24)], "a long, b long")).collect()}
+    assert taken == set(range(0, 25, 2))
+    assert max(df.rdd.getNumPartitions() for df in kept) <= 16
