@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.functions.blocks import BLOCK, asked_of_all, dealt, meet
+from tessella.functions.blocks import alike, asked_of_all, dealt, meet, second
 from tessella.operators.components import connected_components
 from tessella.plans.lineage import cut
 from tessella.registry import query
@@ -102,22 +102,22 @@ def hamming_clusters(v: Views) -> DataFrame:
     return clusters(hamming_pairs_within(copies(v), 4))
 
 
-def cosine_pairs_within(rows: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+def cosine_pairs_within(rows: DataFrame, least: float, block: int | None = None) -> DataFrame:
     """Pairs of ids whose vectors have a cosine of ``least`` or more, exactly.
 
     Cosine has no key to join on, so all rows meet all rows, but in blocks: vectors are gathered into matrices, each pair of
     blocks is one product, and only pairs that qualify leave a task.
     """
     blocks, count = dealt(rows.withColumn("flag", F.lit(False)), block)
-    left = blocks.select("ids", "m", F.explode(F.sequence("b", F.lit(count - 1).cast("long"))).alias("b2"))
-    right = blocks.select(F.col("b").alias("b2"), F.col("ids").alias("ids2"), F.col("flags").alias("flags2"), F.col("m").alias("m2"))
+    left = blocks.select("ids", "kind", "m", F.explode(F.sequence("b", F.lit(count - 1).cast("long"))).alias("b2"))
 
-    def found(a: np.ndarray, b: np.ndarray, _: np.ndarray, c: np.ndarray) -> pd.DataFrame:
-        i, j = np.nonzero(c >= least)
-        pairs = pd.DataFrame({"id": np.minimum(a[i], b[j]), "id2": np.maximum(a[i], b[j])})
-        return pairs[pairs["id"] < pairs["id2"]].drop_duplicates()
+    def found(a: np.ndarray, b: np.ndarray, _: np.ndarray, at: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
+        i, j = a[at[0]], b[at[1]]
+        if a[0] in b:  # a block with itself finds each pair from both sides
+            i, j = i[i < j], j[i < j]
+        return pd.DataFrame({"id": np.minimum(i, j), "id2": np.maximum(i, j)}).drop_duplicates()
 
-    return meet(left.join(right, "b2"), found, "id long, id2 long")
+    return meet(left.join(second(blocks), "b2"), found, "id long, id2 long", alike(least))
 
 
 PAIRS = "p AS (SELECT a.vec_id AS id, b.vec_id AS id2 FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.4)"
@@ -176,12 +176,13 @@ def leader_dedup(v: Views) -> DataFrame:
 def first_match(new: DataFrame, store: DataFrame, least: float = 0.95) -> DataFrame:
     """``(id, match)`` for each of ``new`` (id, v) that ``store`` (id, v) has something like: the smallest id with that cosine."""
 
-    def found(a: np.ndarray, b: np.ndarray, _: np.ndarray, c: np.ndarray) -> pd.DataFrame:
-        first = np.where(c >= least, b[None, :], np.iinfo("i8").max).min(axis=1, initial=np.iinfo("i8").max)
+    def found(a: np.ndarray, b: np.ndarray, _: np.ndarray, at: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
+        first = np.full(len(a), np.iinfo("i8").max)
+        np.minimum.at(first, at[0], b[at[1]])
         hit = first < np.iinfo("i8").max
         return pd.DataFrame({"id": a[hit], "match": first[hit]})
 
-    return asked_of_all(new, store.withColumn("flag", F.lit(False)), found, "id long, match long").groupBy("id").agg(F.min("match").alias("match"))
+    return asked_of_all(new, store.withColumn("flag", F.lit(False)), found, "id long, match long", score=alike(least)).groupBy("id").agg(F.min("match").alias("match"))
 
 
 def first_independent(edges: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.functions import blocks as B
 from tessella.functions.vectors import cosine, cosine_to, unit
 from tessella.operators import duplicates as D
 from tessella.operators import retrieval as R
@@ -253,3 +256,29 @@ def test_copies_and_long_walks_stay_small(spark, monkeypatch):
     taken = {r["id"] for r in D.first_independent(spark.createDataFrame([(i, i + 1) for i in range(24)], "a long, b long")).collect()}
     assert taken == set(range(0, 25, 2))
     assert max(df.rdd.getNumPartitions() for df in kept) <= 16
+
+
+def test_blocks_grow_with_the_rows_and_hold_floats_as_floats(spark):
+    rng = np.random.default_rng(3)
+    m = rng.standard_normal((40_000, 2)).astype("f4")
+    rows = spark.createDataFrame(pd.DataFrame({"id": np.arange(40_000), "v": m.tolist()}), "id long, v array<float>").withColumn("flag", F.lit(False))
+    blocks, count = B.dealt(rows)
+    assert count == 32 and blocks.selectExpr("sum(length(m)) AS n").first()["n"] == 40_000 * 8
+
+
+def test_pairs_by_strips_equal_brute_force(spark):
+    """Repeated ids and vectors, vectors of other lengths, without direction or finite numbers, and cosines at the border."""
+    rng = np.random.default_rng(4)
+    kinds = rng.standard_normal((60, 6)).round(1)
+    rows = [(int(i), [float(x) for x in kinds[rng.integers(60)][: rng.integers(4, 7)]]) for i in rng.integers(0, 1500, 1700)] + [(2000, [0.0] * 6), (2001, [float("nan")] * 6), (2002, [3e38] * 6), (2003, [0.6, 0.8]), (2004, [1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    held = [(i, np.pad(np.float32(v).astype("f8"), (0, 6 - len(v)))) for i, v in rows]
+    m = np.stack([v for _, v in held])
+    with np.errstate(invalid="ignore"):
+        size = np.linalg.norm(m, axis=1)
+        cos = np.round(np.divide(m @ m.T, np.outer(size, size), out=np.zeros((len(m), len(m))), where=np.outer(size, size) > 0), 6)
+        for least in (0.6, 0.99, -0.2):
+            want = {(held[i][0], held[j][0]) for i, j in zip(*np.nonzero(cos >= least), strict=True) if held[i][0] < held[j][0]}
+            for block in (None, 300):
+                got = [tuple(r) for r in D.cosine_pairs_within(df, least, block).collect()]
+                assert len(got) == len(set(got)) and set(got) == want
