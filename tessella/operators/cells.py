@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +14,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from tessella.functions.vectors import cosine, cosine_to
+from tessella.functions.blocks import BLOCK, BLOCKS, LARGEST, STRIP, cosines, number_type
+from tessella.functions.vectors import cosine_to
+from tessella.plans.arrow import arrow_rows
 from tessella.plans.lineage import cut, ensure_checkpoint_dir
 from tessella.registry import query
 from tessella.sources.views import Views
@@ -158,23 +161,83 @@ class Cells:
         return best(cells).drop("cell", "away"), cells
 
 
+def in_blocks(sizes: list[int], most: int) -> tuple[list[int], list[int]]:
+    """The first block of each cell, and how many it has: neighbours share a block of ``most`` rows, a larger cell has its own."""
+    start, parts, at, held = [], [], 0, 0
+    for n in sizes:
+        if held and held + n > most:
+            at, held = at + 1, 0
+        start.append(at)
+        parts.append(max(1, -(-n // most)))
+        at, held = (at + parts[-1], 0) if parts[-1] > 1 else (at, held + n)
+    return start, parts
+
+
 def probed(index: Cells, asked: DataFrame, k: int, probe: float = PROBE, vector_col: str = "embedding", id_col: str = "id") -> DataFrame:
     """``(prompt, rank, id, score, cells_read)``: the ``k`` best of many questions (prompt, v), each in its share of nearest cells.
 
-    Questions meet the rows of their cells by a join on the cell. A question takes no part in its own answer.
+    Cells lie in blocks of at most ``LARGEST`` rows. Questions meet the blocks that hold cells of theirs by a join; a block and some
+    questions are one product of matrices, in which only the rows of a question's cells count, and of which its ``k`` best leave
+    the task. A question takes no part in its own answer.
     """
-    spark = asked.sparkSession
-
-    @F.pandas_udf("array<int>")
-    def cells_of(questions: pd.Series) -> pd.Series:
-        return questions.map(lambda q: [*index.nearest(q, probe), ODD])
-
-    spread = asked.where("v IS NOT NULL").select("prompt", "v", F.explode(cells_of("v")).alias("cell"))
-    rows = index.rows(spark, np.flatnonzero(index.members > 0).tolist()).select("cell", F.col(id_col).alias("id"), F.col(vector_col).alias("w"))
-    pairs = spread.join(rows, "cell").where("prompt <> id").select("prompt", "id", F.round(cosine(F.col("v"), F.col("w")), 6).alias("score"))
+    spark, odd = asked.sparkSession, len(index.members)  # the odd cell comes last
+    sizes = [*map(int, index.members), index.odd]
+    start, parts = in_blocks(sizes, min(LARGEST, max(BLOCK, sum(sizes) // BLOCKS)))
+    places = spark.createDataFrame([(c if c < odd else ODD, s, n) for c, (s, n) in enumerate(zip(start, parts, strict=True))], "cell int, s int, n int")
+    rows = index.rows(spark, np.flatnonzero(index.members > 0).tolist()).select("cell", F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    kind, kind_asked = number_type(rows.schema["v"].dataType), number_type(asked.schema["v"].dataType)
+
+    @F.pandas_udf("struct<read:int,at:array<struct<b:int,cells:array<int>>>>")
+    def places_of(questions: pd.Series) -> pd.DataFrame:
+        found = []
+        for q in questions:
+            near, at = index.nearest(q, probe), {}
+            for c in [*near, odd]:
+                for block in range(start[c], start[c] + parts[c]):
+                    at.setdefault(block, []).append(c)
+            found.append((len(near), [{"b": block, "cells": cells} for block, cells in at.items()]))
+        return pd.DataFrame(found, columns=["read", "at"])
+
+    def matrix_of(vectors: pd.Series, kind: str) -> np.ndarray:
+        m = np.zeros((len(vectors), max(map(len, vectors), default=0)), kind)
+        for i, v in enumerate(vectors):
+            m[i, : len(v)] = v
+        return m
+
+    def packed(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        cell = group["cell"].to_numpy("i8")
+        return pd.DataFrame([{"b": key[0], "ids": group["id"].to_numpy("i8").tobytes(), "cells": np.where(cell == ODD, odd, cell).tobytes(), "m": matrix_of(group["v"], kind).tobytes()}])
+
+    def packed_asked(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        ends = np.cumsum([len(c) for c in group["cells"]])
+        return pd.DataFrame([{"b": key[0], "prompts": group["prompt"].to_numpy("i8").tobytes(), "read": group["read"].to_numpy("i8").tobytes(), "ends": ends.astype("i8").tobytes(), "wanted": np.concatenate(list(group["cells"])).astype("i8").tobytes(), "q": matrix_of(group["v"], kind_asked).tobytes()}])
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                ids, cells, prompts, read = (np.frombuffer(x, "i8") for x in (r.ids, r.cells, r.prompts, r.read))
+                ends, wanted = np.frombuffer(r.ends, "i8"), np.frombuffer(r.wanted, "i8")
+                low = min(cells.min(), wanted.min())
+                mask = np.zeros((len(prompts), max(cells.max(), wanted.max()) - low + 1), bool)
+                mask[np.repeat(np.arange(len(prompts)), np.diff(ends, prepend=0)), wanted - low] = True
+                q, m = np.frombuffer(r.q, kind_asked).reshape(len(prompts), -1), np.frombuffer(r.m, kind).reshape(len(ids), -1)
+                for a in range(0, len(prompts), STRIP):
+                    own = prompts[a : a + STRIP]
+                    score = np.where(mask[a : a + STRIP, cells - low] & (own[:, None] != ids), cosines(q[a : a + STRIP], m), -np.inf)
+                    least = np.partition(score, -k, axis=1)[:, -k, None] if len(ids) > k else -np.inf
+                    i, j = np.nonzero((score >= least) & (score > -np.inf))
+                    found = pd.DataFrame({"prompt": own[i], "id": ids[j], "score": score[i, j], "cells_read": read[a : a + STRIP][i]})
+                    yield found.sort_values(["prompt", "score", "id"], ascending=[True, False, True]).groupby("prompt").head(k)
+
+    blocks = rows.join(F.broadcast(places), "cell").withColumn("b", F.col("s") + F.pmod(F.xxhash64("id"), F.col("n"))).groupBy("b").applyInPandas(packed, "b long, ids binary, cells binary, m binary")
+    asked = asked.where("v IS NOT NULL")
+    spread = asked.select("prompt", "v", places_of("v").alias("p")).select("prompt", "v", "p.read", F.inline("p.at"))
+    parts_asked = max(1, -(-asked.count() // BLOCK))
+    questions = spread.withColumn("part", F.pmod(F.xxhash64("prompt"), F.lit(parts_asked))).groupBy("b", "part").applyInPandas(packed_asked, "b long, prompts binary, read binary, ends binary, wanted binary, q binary")
+    with arrow_rows(spark, 4):  # a row holds two blocks
+        found = cut(questions.join(blocks, "b").select("ids", "cells", "m", "prompts", "read", "ends", "wanted", "q").mapInPandas(best, "prompt long, id long, score double, cells_read long"))
     rank = F.row_number().over(W.partitionBy("prompt").orderBy(F.desc("score"), "id"))
-    read = spread.groupBy("prompt").agg((F.count("*") - 1).alias("cells_read"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).join(read, "prompt").select("prompt", "rank", "id", "score", "cells_read")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("prompt", "rank", "id", "score", "cells_read")
 
 
 _built: dict[tuple[str, str], Cells] = {}

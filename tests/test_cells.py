@@ -83,3 +83,27 @@ def test_recall_of_probed_cells(spark):
     rows = C.cell_recall(Views(spark, "/root/testdata/sf0.1")).collect()
     assert len(rows) >= 15 and sum(r["found"] for r in rows) >= 0.9 * 20 * len(rows)
     assert all(r["cells_read"] <= 0.61 * r["cells"] + 1 for r in rows)
+
+
+@pytest.mark.parametrize("probe", [0.4, 1.0])
+def test_probed_answers_equal_brute_force_over_the_cells(spark, built, probe):
+    """Each question against the rows of its cells and the odd one, by single products; no pair of rows is made by a join."""
+    index = built[1]
+    stored = index.rows(spark, list(range(len(index.members)))).where("size(embedding) > 0").select("id", "cell", "embedding").collect()
+    asked = [r for r in stored if r["cell"] != C.ODD][::150]
+    questions = spark.createDataFrame([(r["id"], r["embedding"]) for r in asked], "prompt long, v array<double>")
+    want = set()
+    for r in asked:
+        cells, q = {*index.nearest(r["embedding"], probe), C.ODD}, np.array(r["embedding"], "f8")
+        near = []
+        for x in stored:
+            if x["cell"] in cells and x["id"] != r["id"]:
+                w = np.zeros(max(len(q), len(x["embedding"])))
+                w[: len(x["embedding"])] = x["embedding"]
+                size = np.linalg.norm(w) * np.linalg.norm(q)
+                near.append((-round(float(w[: len(q)] @ q) / size, 6) if size else 0.0, x["id"]))
+        want |= {(r["id"], n, i, s + 0.0 if s == 0 else -s, len(cells) - 1) for n, (s, i) in enumerate(sorted(near)[:7], 1)}
+    found = C.probed(index, questions, 7, probe)
+    assert {(p, n, i, round(s, 6), c) for p, n, i, s, c in map(tuple, found.collect())} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
