@@ -25,6 +25,8 @@ from tessella.sources.views import Views
 WORD = re.compile(r"[^\W_]+")
 #: Texts of an Arrow batch, and bytes of a row group: small, so that a term's list is few of them.
 BATCH, GROUP_BYTES = 500, 4 << 20
+#: Rows of a file of the index, about.
+FILE_ROWS = 500_000
 POSTINGS = "term string, id long, positions array<int>"
 
 
@@ -38,10 +40,13 @@ def postings(texts: DataFrame) -> DataFrame:
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                held: dict[str, list[int]] = {}
+                words: dict[str, list[int]] = {}
                 for at, word in enumerate(WORD.findall(text), 1):
+                    words.setdefault(word, []).append(at)
+                held: dict[str, list[int]] = {}
+                for word, places in words.items():  # a word is stemmed once a text, however often it stands there
                     if (t := term(word)) is not None:
-                        held.setdefault(t, []).append(at)
+                        held[t] = sorted(held[t] + places) if t in held else places
                 yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([i] * len(held), pa.int64()), pa.array(list(held.values()), pa.list_(pa.int32()))], ["term", "id", "positions"])
 
     return texts.select(F.col("id").cast("long").alias("id"), F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(listed, POSTINGS)
@@ -51,11 +56,15 @@ def write_index(texts: DataFrame, path: str) -> None:
     """The index of ``texts`` (id, text) as Parquet in ``path``, in the order of its terms.
 
     It is dealt by ranges of term and id, so the list of a frequent term lies in several files, and sorted within, so that the
-    statistics of files and row groups tell a reader which hold a term.
+    statistics of files and row groups tell a reader which hold a term. Ranges are found on the rows themselves, which are read
+    twice for that: so they are written beside the index first, and texts are taken apart once.
     """
-    with arrow_rows(texts.sparkSession, BATCH):
-        rows = postings(texts).repartitionByRange("term", "id").sortWithinPartitions("term", "id")
-        rows.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+    spark, dealt = texts.sparkSession, f"{ensure_checkpoint_dir(texts.sparkSession)}/postings-{uuid.uuid4().hex}"
+    with arrow_rows(spark, BATCH):
+        postings(texts).write.parquet(dealt)
+    rows = spark.read.schema(POSTINGS).parquet(dealt)
+    files = max(spark.sparkContext.defaultParallelism, -(-rows.count() // FILE_ROWS))
+    rows.repartitionByRange(files, "term", "id").sortWithinPartitions("term", "id").write.option("parquet.block.size", GROUP_BYTES).parquet(path)
 
 
 class Part(NamedTuple):

@@ -83,3 +83,22 @@ def test_a_search_reads_only_its_terms_lists(spark, index, tmp_path):
 def test_index_of_nothing(spark, tmp_path):
     X.write_index(spark.createDataFrame([], "id long, text string"), str(tmp_path / "t"))
     assert X.search(spark.read.schema(X.POSTINGS).parquet(str(tmp_path / "t")), "haus").count() == 0
+
+
+def test_texts_are_taken_apart_once(spark, tmp_path, monkeypatch):
+    """The ranges of an index are not found by taking every text apart a second time."""
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.range(0, 1000, 1, 4).select(F.col("id"), F.concat(F.lit("haus w"), F.col("id")).alias("text"))
+    plain = X.postings
+
+    def counted(texts):
+        def each(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return plain(texts).mapInArrow(each, X.POSTINGS)
+
+    monkeypatch.setattr(X, "postings", counted)
+    X.write_index(rows, str(tmp_path / "t"))
+    assert seen.value == spark.read.parquet(str(tmp_path / "t")).count() == 2000
