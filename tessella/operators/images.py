@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
@@ -103,6 +107,33 @@ def text_images(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", image(F.col("text").cast("binary")).alias("image"))
 
 
+def scaled_texts(rows: DataFrame, sizes: list[tuple[int, int]]) -> DataFrame:
+    """``rows`` (id, bytes) as (id, width, height, and for each size its pixels): bytes row by row as wide as high, as ``text_images``.
+
+    A text's image is as many times its bytes in numbers, so it is made and scaled in one step, text by text, and only the small ones
+    leave it; null and empty texts are left out.
+    """
+
+    def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for i, data in zip(batch["id"], batch["bytes"], strict=True):
+                raw = data.as_buffer() if data.is_valid else b""
+                n = len(raw)
+                if n:
+                    w = math.isqrt(n)
+                    h = -(-n // w)
+                    grid = np.zeros(w * h, "u1")
+                    grid[:n] = np.frombuffer(raw, "u1")
+                    grid = grid.reshape(h, w)
+                    found.append((i.as_py(), w, h, *(area_average(grid, *size).ravel().tolist() for size in sizes)))
+            columns = list(zip(*found, strict=True)) if found else [[]] * (3 + len(sizes))
+            types = [pa.int64(), pa.int32(), pa.int32(), *[pa.list_(pa.int32())] * len(sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["id", "width", "height", *[f"p{k}" for k in range(len(sizes))]])
+
+    return rows.select(F.col("id").cast("long").alias("id"), "bytes").mapInArrow(scaled, "id long, width int, height int, " + ", ".join(f"p{k} array<int>" for k in range(len(sizes))))
+
+
 @query("""WITH s AS (SELECT doc_id, hex(encode(text)) AS hx, octet_length(encode(text)) AS n FROM documents WHERE text <> ''),
     d AS (SELECT *, floor(sqrt(n))::BIGINT AS wide, (n + floor(sqrt(n))::BIGINT - 1) // floor(sqrt(n))::BIGINT AS high FROM s),
     p AS (SELECT doc_id, wide, high, i % wide AS x, i // wide AS y, ('0x' || substr(hx, 2 * i + 1, 2))::BIGINT AS p FROM (SELECT *, unnest(range(n)) AS i FROM d)),
@@ -118,5 +149,6 @@ def text_images(v: Views) -> DataFrame:
     SELECT doc_id, width, height, bits, thumb_md5 FROM m JOIN bits USING (doc_id)""")
 def image_scaling(v: Views) -> DataFrame:
     """Difference hash, as bits, and thumbnail of every document's image."""
-    rows = with_difference_hash(text_images(v).where("image.width > 0"), "image").select("doc_id", "image.width", "image.height", "h", resized(F.col("image"), THUMB, THUMB)["pixels"].alias("thumb"))
-    return rows.select("doc_id", "width", "height", F.reverse(F.lpad(F.bin("h"), 64, "0")).alias("bits"), F.md5(F.encode(F.array_join("thumb", ","), "utf-8")).alias("thumb_md5"))
+    rows = scaled_texts(v.table("documents").select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("bytes")), [(9, 8), (THUMB, THUMB)])
+    bits = F.reverse(F.lpad(F.bin(dhash(F.col("p0"), 9, 8)), 64, "0"))
+    return rows.select(F.col("id").alias("doc_id"), "width", "height", bits.alias("bits"), F.md5(F.encode(F.array_join("p1", ","), "utf-8")).alias("thumb_md5"))

@@ -45,3 +45,21 @@ def test_hashes_and_thumbnails_of_columns(spark):
     assert got[1]["h"] == got[3]["h"] == -1 and got[2]["h"] == 0 and got[1]["w"] == 9
     assert abs(sum(x * x for x in got[1]["t"]) - 1) < 1e-9 and sum(x * y for x, y in zip(got[1]["t"], got[3]["t"], strict=True)) > 0.999
     assert got[4]["t"] is None and got[5]["t"] is None and got[6]["w"] is None and got[7]["t"] is None
+
+
+def test_texts_are_scaled_without_leaving_as_pixels(spark):
+    """As by whole images, one column after the other; the plan has one step in Python, which gives small images only."""
+    texts = ["", None, "a", "ab", "Grüße " * 7, "xyz" * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r for r in I.scaled_texts(docs.selectExpr("doc_id AS id", "CAST(text AS binary) AS bytes"), [(9, 8), (16, 16)]).collect()}
+    assert set(got) == {2, 3, 4, 5}
+
+    class Docs:
+        def table(self, name):
+            return docs
+
+    images = I.text_images(Docs()).where("image.width > 0")
+    for r in images.select("doc_id", "image.width", "image.height", I.resized(F.col("image"), 9, 8)["pixels"].alias("a"), I.resized(F.col("image"), 16, 16)["pixels"].alias("b")).collect():
+        assert tuple(r) == tuple(got[r["doc_id"]])
+    plan = I.image_scaling(Docs())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
