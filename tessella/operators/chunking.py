@@ -11,12 +11,13 @@ from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from tessella.functions.dom import Page, listed
 from tessella.operators.text import ELEMENT_TYPES, JUNK, NORM, WIDTH_MARK, bare_image_url, element_type, embedding_input, image_urls
+from tessella.plans.arrow import slices
 from tessella.registry import query
 from tessella.sources.views import Views
 
@@ -182,6 +183,9 @@ def box(node: Column) -> Column:
 NODES = "array<struct<kind:string,page:int,level:int,node:string,text:string,items:array<string>,cells:array<array<struct<text:string,span:int>>>>>"
 
 
+NODES_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("page", pa.int32()), ("level", pa.int32()), ("node", pa.string()), ("text", pa.string()), ("items", pa.list_(pa.string())), ("cells", pa.list_(pa.list_(pa.struct([("text", pa.string()), ("span", pa.int32())]))))]))
+
+
 def number(value: object, default: int) -> int:
     """A whole number from a layout node, which may be written as text; the default for what is none."""
     try:
@@ -327,12 +331,13 @@ def trees(v: Views) -> DataFrame:
 def rendered(v: Views) -> DataFrame:
     """Each element of the trees: its place, kind, page, level, box and content."""
 
-    @F.pandas_udf(NODES)
-    def read(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: leaves(json.loads(t)))
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            found = [None if t is None else leaves(json.loads(t)) for t in part["tree"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(found, NODES_ARROW)], ["doc_id", "els"])
 
     content = F.when(F.col("e.kind") == "table", table_markdown(F.col("e.cells"))).when(F.col("e.kind") == "list", list_markdown(F.col("e.items"))).otherwise(F.col("e.text"))
-    rows = trees(v).select("doc_id", F.posexplode(read("tree")).alias("ord", "e"))
+    rows = trees(v).select(F.col("doc_id").cast("long").alias("doc_id"), "tree").mapInArrow(read, f"doc_id long, els {NODES}").select("doc_id", F.posexplode("els").alias("ord", "e"))
     return rows.select("doc_id", "ord", "e.kind", "e.page", "e.level", box(F.col("e.node")).alias("bbox"), content.alias("content"))
 
 
@@ -394,19 +399,14 @@ def page_images(page: str | None, selector: str) -> list[str]:
     return [url for _, url in best.values()]
 
 
-@F.pandas_udf(StringType())
-def page_text(pages: pd.Series) -> pd.Series:
-    return pages.map(html_text)
-
-
-@F.pandas_udf(StringType())
-def article_text(pages: pd.Series) -> pd.Series:
-    return pages.map(lambda p: article_body(p, ("div.story", "article"), ("h1", ".ad")))
-
-
 @query()
 def html_to_text(v: Views) -> DataFrame:
-    return v.table("pages").select("page_id", page_text("html").alias("text"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            yield pa.RecordBatch.from_arrays([part["page_id"], pa.array([html_text(p) for p in part["html"].to_pylist()], pa.string())], ["page_id", "text"])
+
+    return v.table("pages").select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(read, "page_id long, text string")
 
 
 @query(f"WITH {NORM}, ok AS (SELECT * FROM norm WHERE NOT regexp_matches(lower(image_url), '\\.svg|vgwort\\.de|/pixel|/tracking|/beacon') AND starts_with(image_url, 'http')) SELECT page_id, image_url FROM ok QUALIFY row_number() OVER (PARTITION BY page_id, base ORDER BY width DESC, pos) = 1")
@@ -426,7 +426,16 @@ def article_images(v: Views) -> DataFrame:
 @query()
 def extract_article(v: Views) -> DataFrame:
     """The text that selectors find, without what is stripped, if it has a hundred characters; else the feed's content; else its summary."""
-    tiers = v.table("pages").select("page_id", F.when(F.col("page_id") % 5 != 0, article_text("html")).alias("a"), F.when(F.col("page_id") % 10 != 0, page_text("html")).alias("b"), F.concat(F.lit("summary of "), "url").alias("c"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            ids, pages = part["page_id"].to_pylist(), part["html"].to_pylist()
+            a = [article_body(p, ("div.story", "article"), ("h1", ".ad")) if i is not None and i % 5 else None for i, p in zip(ids, pages, strict=True)]
+            b = [html_text(p) if i is not None and i % 10 and len(x or "") < 100 else None for i, p, x in zip(ids, pages, a, strict=True)]
+            yield pa.RecordBatch.from_arrays([part["page_id"], pa.array(a, pa.string()), pa.array(b, pa.string()), part["c"]], ["page_id", "a", "b", "c"])
+
+    pages = v.table("pages").select(F.col("page_id").cast("long").alias("page_id"), "html", F.concat(F.lit("summary of "), "url").alias("c"))
+    tiers = pages.mapInArrow(read, "page_id long, a string, b string, c string")
     long = lambda c: F.length(F.coalesce(F.col(c), F.lit(""))) >= 100
     return tiers.select("page_id", F.when(long("a"), 1).when(long("b"), 2).otherwise(3).alias("tier"), F.when(long("a"), F.col("a")).when(long("b"), F.col("b")).otherwise(F.col("c")).alias("text"))
 

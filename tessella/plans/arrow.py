@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +19,11 @@ def arrow_rows(spark: SparkSession, rows: int):
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """``batches`` in parts of about ``most`` bytes, for work whose Python objects are many times what they are made from."""
+    for batch in batches:
+        step = max(1, batch.num_rows * most // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)

@@ -3,11 +3,13 @@ import random
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import chunking as C
 from tessella.operators.text import element_type, embedding_input
+from tessella.plans.arrow import slices
 from tessella.registry import QUERIES
 
 
@@ -212,3 +214,16 @@ def test_selectors():
     assert C.html_text(page, ".story.big", ("p",)) == "buy" and C.html_text(page, "section") == ""
     assert C.article_body(page, ("section", "div.story", "nav"), (), 10) == "one\nbuy\ntwo\n\nthree"
     assert C.article_body(page, ("nav",)) is None and C.article_body(None, ("nav",)) is None
+
+
+def test_slices_hold_few_bytes_and_every_row():
+    """However long a batch of texts is, what is parsed at a time is about so many bytes."""
+    batch = pa.RecordBatch.from_pydict({"t": ["x" * 1000] * 5000 + ["", None]})
+    parts = list(slices(iter([batch, batch.slice(0, 0)]), 100_000))
+    assert max(p.num_rows for p in parts) <= 101 and [x for p in parts for x in p["t"].to_pylist()] == batch["t"].to_pylist()
+
+
+def test_trees_and_pages_are_read_by_slices(spark, sf_dir):
+    for name in ("html_to_text", "extract_article", "table_markdown", "list_markdown", "layout_flatten"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
