@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -202,24 +203,32 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int, id_col: str, text_col: str) -> DataFrame:
-    """Per piece: ``doc_id``, ``piece``, ``start``, ``length`` and ``ids_crc32``."""
+    """Per piece: ``doc_id``, ``piece``, ``start``, ``length`` and ``ids_crc32``.
+
+    Rows come straight from the task that encodes. An array of pieces from a function, spread by a generator, would have every
+    text encoded twice: Spark infers a filter on the array and evaluates the function for it once more.
+    """
     small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
-    @F.pandas_udf("array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>")
-    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            rows = []
-            for text in texts:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, found = [], []
+            for at, text in enumerate(batch.column("text").to_pylist()):
                 ids = encode(path, text or "") + bytes(4)  # id 0 ends a document
                 n = len(ids) // 4
                 count = -(-n // capacity)
                 first = n - capacity * (count - 1)
                 starts = [0, *(first + capacity * k for k in range(count - 1))]
                 ends = [*starts[1:], n]
-                rows.append([{"piece": k, "start": a, "length": b - a, "ids_crc32": zlib.crc32(ids[4 * a : 4 * b])} for k, (a, b) in enumerate(zip(starts, ends, strict=True))])
-            yield pd.Series(rows)
+                owner += [at] * count
+                found += [(k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(starts, ends, strict=True))]
+            numbers = np.array(found, "i8").reshape(-1, 4).T
+            columns = [pa.array(x, kind) for x, kind in zip(numbers, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner, pa.int64())), *columns], names=names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), pieces(text_col).alias("pieces")).selectExpr("doc_id", "inline(pieces)")
+    return rows.mapInArrow(pieces, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

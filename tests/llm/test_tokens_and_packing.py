@@ -80,6 +80,15 @@ def test_pieces_against_tokenizers(spark, sf_dir):
         assert sorted(got[i]) == want
 
 
+def test_texts_are_encoded_once(spark):
+    df = spark.createDataFrame([("b", "x y"), (None, None), ("b", "x" * 3000)], "name string, body string")
+    pieces = K.cut_pieces(df, P.path("byte_bpe_50k.json"), 64, "name", "body")
+    plan = pieces._jdf.queryExecution().executedPlan().toString()
+    assert sum(plan.count(node) for node in ("EvalPython", "MapInArrow", "MapInPandas")) == 1
+    assert {r["doc_id"] for r in pieces.collect()} == {"b", None}
+    assert sum(r["length"] for r in pieces.collect() if r["doc_id"] is None) == 1  # id 0 alone
+
+
 def check_packing(rows, capacity):
     seen = {}
     for r in rows:
