@@ -33,11 +33,18 @@ _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _MAX = np.iinfo("i8").max
 
 
-@functools.lru_cache(8)
+_made: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, size: int) -> np.ndarray:
-    """Powers of ``base`` modulo 2**64, from 0 to ``size``, a power of two so that few sizes are made."""
-    with np.errstate(over="ignore"):
-        return np.concatenate([np.ones(1, "u8"), np.cumprod(np.full(size, base, "u8"))])
+    """Powers of ``base`` modulo 2**64, from 0 to ``size`` at least. One array a base is kept, and none for a very long text."""
+    made = _made.get(base, ())
+    if len(made) <= size:
+        with np.errstate(over="ignore"):
+            made = np.cumprod(np.concatenate([np.ones(1, "u8"), np.full(1 << max(1, size).bit_length(), base, "u8")]))
+        if size <= 2 * PASS_BYTES:
+            _made[base] = made
+    return made
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -52,10 +59,11 @@ class _Rolling:
     """Polynomial hashes of any stretch of a byte string, modulo 2**64, mixed; they do not depend on the place."""
 
     def __init__(self, data: np.ndarray, base: int):
-        size = 1 << max(1, len(data)).bit_length()
-        self.inverse = _powers(pow(base, -1, 1 << 64), size)
+        self.inverse = _powers(pow(base, -1, 1 << 64), len(data))
+        self.total = np.zeros(len(data) + 1, "u8")
         with np.errstate(over="ignore"):
-            self.total = np.concatenate([np.zeros(1, "u8"), np.cumsum((data.astype("u8") + np.uint64(1)) * _powers(base, size)[: len(data)])])
+            np.multiply(_powers(base, len(data))[: len(data)], data + np.uint64(1), out=self.total[1:])
+        np.cumsum(self.total, out=self.total)
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -76,9 +84,9 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int, width: i
     if n < length:
         return empty
     roll = _Rolling(data, _BASES[0])
-    place = np.arange(n - gram + 1, dtype="u8")
-    hashes = roll.of(place.astype("i8"), place.astype("i8") + gram)
-    least = (hashes & np.uint64(0xFFFFFFFF00000000)) | place
+    place = np.arange(n - gram + 1)
+    least = (roll.of(place, place + gram) & np.uint64(0xFFFFFFFF00000000)) | place.view("u8")
+    del place
     reach, span = length - gram + 1, 1
     while span < reach:  # minimum over `span` grams, doubled until it covers the window
         step = min(span, reach - span)
@@ -90,10 +98,12 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int, width: i
     if not len(window):
         return empty
     at = (least[window] & np.uint64(0xFFFFFFFF)).astype("i8")
+    del least, doc_end
     part = (at - window) // width
     first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (window[1:] != window[:-1] + 1) | (part[1:] != part[:-1])]))
     last = np.concatenate([first[1:], [len(at)]]) - 1
     lo, hi, anchor, part = window[first], window[last], at[first], part[first]
+    del window, at
     core = anchor - part * width
     core_end = anchor - np.minimum(part * width + width - 1, length - gram) + length
     with np.errstate(over="ignore"):
@@ -184,6 +194,7 @@ def gather(buckets: int, length: int, gram: int, width: int):
 
         def send() -> Iterator[pd.DataFrame]:
             doc, h, s, lo, hi = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             ids, th, base = (np.array(x, "i8") for x in zip(*owners, strict=True))
             lo, hi = lo + base[doc], hi + base[doc]
             by = np.lexsort((base, th, ids))
@@ -221,7 +232,6 @@ def gather(buckets: int, length: int, gram: int, width: int):
                 pending = 0
             if count >= SENT:
                 yield from send()
-                held.clear()
                 owners.clear()
                 count = 0
         if held:

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -77,6 +79,21 @@ def test_repeats_of_odd_rows(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_memory_of_a_task_that_gathers():
+    rng = random.Random(3)
+    data = [rng.randbytes(rng.choice([3_000, 200_000, 400_000])) for _ in range(60)]
+    batches = (pd.DataFrame({"id": range(k, k + 5), "th": 0, "base": 0, "data": data[k : k + 5]}) for k in range(0, 60, 5))
+    tracemalloc.start()
+    try:
+        for _ in S.gather(4, S.LENGTH, S.GRAM, S.WIDTHS[0])(batches):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+    finally:
+        tracemalloc.stop()
+    S._powers(S._BASES[0], 4 * S.PASS_BYTES)
+    assert all(len(x) <= 4 * S.PASS_BYTES for x in S._made.values())  # a very long text leaves nothing behind
+
+
 def test_cut_characters_are_left_out_of_text(spark):
     docs = [(1, "é" * 20), (2, "xé" + "é" * 19 + "y")]
     got = {r["doc_id"]: r["kept"] for r in S.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), length=9, gram=4, as_text=True).collect()}
