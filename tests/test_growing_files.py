@@ -130,3 +130,44 @@ def test_polls_of_the_last_half_second_of_an_hour(spark, tmp_path):
     got = {tuple(r) for r in S.settled_batch(S.polls_of(events)).collect()}
     assert got == want
     assert len(got) == 1
+
+
+def test_paths_of_a_bucket_are_followed_one_by_one(spark, tmp_path):
+    """State has a row for each bucket, whatever the number of paths; a path without polls for long is forgotten, its bucket stays."""
+    rng = random.Random(7)
+    polls = [(f"f{f}", n, rng.choice([1, 1, 2])) for n in range(12) for f in range(40) if rng.random() < 0.8]
+    polls += [("gone", 0, 5), (None, 2, 5), (None, 3, 5)]
+    polls = sorted(polls, key=lambda p: p[1])
+    df_of = lambda rows: spark.createDataFrame([(*r, start(r[1] * 3600)) for r in rows], "path string, poll long, size long, at timestamp")
+    ends = [next(i for i, p in enumerate(polls) if p[1] == n) for n in (3, 4, 9)]
+    got, query = streamed(spark, tmp_path, df_of, polls, lambda s: S.settled(s, forget_s=4 * 3600, buckets=3), ends, [S.PROVIDER])
+    assert {tuple(r) for r in got.collect()} == set(by_hand([p for p in polls if p[0]])) | {(None, 3, 5)}
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 3
+
+
+def test_a_path_is_forgotten_after_a_while(spark, tmp_path):
+    """Polls of "a" are numbered on, but a day lies between: what was known of it went with the watermark; that of "b" did not."""
+    rows = [("a", 1, 5, 0), ("b", 1, 5, 0), ("b", 2, 6, 80_000), ("c", 1, 5, 100_000), ("c", 2, 4, 100_001), ("a", 2, 5, 100_002), ("b", 3, 6, 100_002)]
+    df_of = lambda part: spark.createDataFrame([(p, n, s, start(t)) for p, n, s, t in part], "path string, poll long, size long, at timestamp")
+    got, _ = streamed(spark, tmp_path, df_of, rows, lambda s: S.settled(s, buckets=1), [2, 3, 4, 5], [S.PROVIDER])
+    assert [tuple(r) for r in got.collect()] == [("b", 3, 6)]
+
+
+def test_more_rows_make_no_more_triggers(spark, tmp_path, monkeypatch):
+    """Whatever the number of rows, ``TRIGGERS`` runs over stretches of time, with the rows of the SQL; events without a time count nowhere."""
+    import duckdb
+
+    from tessella.registry import ORACLE_SQL, QUERIES
+
+    runs = []
+    monkeypatch.setattr(S, "settled", lambda polls, f=S.settled: runs.append(1) or f(polls, buckets=16))
+    db = duckdb.connect()
+    db.execute("SET timezone = 'UTC'")
+    db.execute("""CREATE TABLE events AS SELECT i % 2500 AS user_id, CASE WHEN i % 97 <> 5 THEN TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * (i * 7919 % 432000) END AS ts FROM range(110000) r(i)
+        UNION ALL SELECT NULL, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * i FROM range(4) r(i)""")
+    db.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    db.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    db.execute("CREATE TABLE embeddings(vec_id BIGINT, embedding FLOAT[], label INT)")
+    want = sorted(db.execute(ORACLE_SQL["settled_files"]).fetchall(), key=str)
+    assert sorted((tuple(r) for r in QUERIES["settled_files"](spark, str(tmp_path)).collect()), key=str) == want
+    assert len(runs) == S.TRIGGERS and len(want) > 1000 and any(path is None for path, _, _ in want)
