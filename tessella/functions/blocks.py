@@ -106,4 +106,9 @@ def asked_of_all(asked: DataFrame, rows: DataFrame, found: Callable[..., pd.Data
 
 
 def second(blocks: DataFrame) -> DataFrame:
-    return blocks.select(F.col("b").alias("b2"), *[F.col(c).alias(f"{c}2") for c in ("ids", "flags", "kind", "m")])
+    """``blocks`` as the other side of pairs, to be joined on ``b2``.
+
+    The join is never a broadcast: Spark does not count that the first side is repeated for each block, takes it for as small as
+    its rows once, and would gather all of it on the driver.
+    """
+    return blocks.select(F.col("b").alias("b2"), *[F.col(c).alias(f"{c}2") for c in ("ids", "flags", "kind", "m")]).hint("merge")

@@ -282,3 +282,15 @@ def test_pairs_by_strips_equal_brute_force(spark):
             for block in (None, 300):
                 got = [tuple(r) for r in D.cosine_pairs_within(df, least, block).collect()]
                 assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_blocks_that_meet_are_not_gathered_on_the_driver(spark, monkeypatch):
+    """The first side is repeated for each block, which Spark does not count: it would broadcast many times what it takes it for."""
+    plans = []
+    monkeypatch.setattr(B, "cut", lambda df: df.collect() and plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    rows = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(60)], "id long, v array<double>")
+    alike = {(i, j) for i in range(60) for j in range(i) if math.cos(i - j) >= 0.99}
+    pairs = B.asked_of_all(rows, rows.withColumn("flag", F.lit(False)), lambda a, b, _, at: pd.DataFrame({"id": a[at[0]], "id2": b[at[1]]}), "id long, id2 long", 8, B.alike(0.99))
+    assert {(r["id"], r["id2"]) for r in pairs.collect() if r["id"] > r["id2"]} == alike
+    assert {(r["id2"], r["id"]) for r in D.cosine_pairs_within(rows, 0.99, 8).collect()} == alike
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "BroadcastExchange" not in p for p in plans)
